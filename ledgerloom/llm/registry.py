@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import op1_fingerprints
+from .packing import op2_packing
+from .pii import op6_pii
+from .quality import op10_quality_rules
+from .simhash import op4_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints}
+    return {f.__name__: f for f in (op1_fingerprints, op2_packing, op4_simhash, op6_pii, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
