@@ -88,12 +88,10 @@ def with_edited(df: DataFrame, per_bucket: int = 64) -> tuple[DataFrame, DataFra
     rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), id_bucket("doc_id", width).alias("bucket"))
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     after = next_buckets(rows)
-    heads = df.select(id_bucket("doc_id", width).alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    heads = heads.join(rows.groupBy("bucket").agg(F.max("doc_id").alias("top")), "bucket").filter(F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = heads.groupBy("bucket").agg(F.min("text").alias("head"))
-    heads = after.join(heads.withColumnRenamed("bucket", "next_bucket"), "next_bucket").select("bucket", "head")
     rows = rows.select("*", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("following"))
-    rows = rows.join(heads, "bucket", "left")
+    # the ranges' first rows come from the same shuffle
+    heads = rows.filter("rn = 1").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("head"))
+    rows = rows.join(after.join(heads, "next_bucket").select("bucket", "head"), "bucket", "left")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     following = F.coalesce("following", F.col("head"))
