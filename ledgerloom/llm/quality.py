@@ -1,8 +1,8 @@
 """Quality rules: counted rules, and a hashed n-gram log-likelihood ratio against trusted texts, in DataFrame operations only.
 
-Words and pairs of neighbouring words are hashed into n_buckets features. Two multinomials over the features are counted: over the
-trusted texts (labelled good and not toxic) and over the raw corpus, every document of both included, with add-one smoothing. A
-document's score is the sum of log(trusted / raw) over its features, divided by their number. Documents that score below the
+Words, pairs of neighbouring words and the words' last three characters are hashed into n_buckets features. Two multinomials over
+the features are counted, with add-one smoothing: over the raw corpus, every document included, and over trusted texts (labelled good
+and not toxic), TRUSTED of them at most, those whose doc_ids have the smallest hashes. A document's score is the sum of log(trusted / raw) over its features, divided by their number. Documents that score below the
 threshold are rejected. The threshold is a parameter: the same document and the same counts always give the same verdict.
 """
 
@@ -13,11 +13,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, saved, words_of
+from .common import documents, words_of
 
-BUCKETS = 4096
+BUCKETS = 8192
 #: Mean log ratio under which a document is unlike the trusted texts.
-THRESHOLD = -0.35
+THRESHOLD = -0.4
+#: Trusted documents at most: so few that their ids can be sent to every executor.
+TRUSTED = 20_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
@@ -25,10 +27,11 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def features(words: str, n_buckets: int = BUCKETS) -> Column:
-    """array<int> of the hashed words and pairs of neighbouring words of an array column."""
+    """array<int> of the hashed words, pairs of neighbouring words and word ends of an array column."""
     singles = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(n_buckets)).cast("int"))
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(n_buckets)).cast("int"))
-    return F.concat(singles, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<int>")))
+    ends = F.transform(words, lambda w: F.pmod(F.xxhash64(F.right(w, F.lit(3)), F.lit(3)), F.lit(n_buckets)).cast("int"))
+    return F.concat(singles, ends, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<int>")))
 
 
 def ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS) -> list[float]:
@@ -38,6 +41,7 @@ def ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS) -> list
     documents all ratios are 0, so that no document is rejected for its score.
     """
     trusted = labels.groupBy("doc_id").agg((F.max(F.coalesce("quality", F.lit(0))) * (1 - F.max(F.coalesce("toxic", F.lit(0))))).alias("_trusted")).filter("_trusted = 1")
+    trusted = F.broadcast(trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED))
     counts = docs.select("doc_id", words_of(F.col("text")).alias("_w")).join(trusted, "doc_id", "left")
     counts = counts.select("_trusted", F.explode(features("_w", n_buckets)).alias("_f")).groupBy("_f").agg(F.count("*").alias("raw"), F.count("_trusted").alias("good"))
     rows = {r["_f"]: r for r in counts.collect()}  # at most n_buckets rows
@@ -74,7 +78,7 @@ def score(words: str, table: list[float]) -> Column:
     """Mean log ratio of the features of a word array; 0 without words."""
     known = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")  # folded to a constant
     total = F.aggregate(features(words, len(table)), F.lit(0.0), lambda s, f: s + F.get(known, f))
-    return F.when(F.size(words) == 0, 0.0).otherwise(total / F.greatest(2 * F.size(words) - 1, F.lit(1)))
+    return F.when(F.size(words) == 0, 0.0).otherwise(total / (3 * F.size(words) - 1))
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_buckets: int = BUCKETS) -> DataFrame:
