@@ -30,10 +30,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """array<string> of the words of a text; null and blank texts have none. Replacing five characters and splitting at one is several times as fast as a regular expression."""
+    return F.array_remove(F.split(spaced(text), " "), "")
+
+
+def spaced(text: Column) -> Column:
+    """The text with each of the white-space characters as a space; null as empty."""
     text = F.coalesce(text, F.lit(""))
     for blank in "\t\n\x0b\x0c\r":
         text = F.replace(text, F.lit(blank), F.lit(" "))
-    return F.array_remove(F.split(text, " "), "")
+    return text
+
+
+def without(text: Column, characters: str) -> Column:
+    """The text without each of the characters; several times as fast as translate()."""
+    for c in characters:
+        text = F.replace(text, F.lit(c))
+    return text
 
 
 def id_width(df: DataFrame, key: str, per_bucket: int) -> int:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, words_of
+from .common import documents, spaced, without, words_of
 
 BUCKETS = 8192
 #: Mean log ratio under which a document is unlike the trusted texts.
@@ -23,14 +23,17 @@ TRUSTED = 20_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+
+
+def _feature(n_buckets: int, *of: Column) -> Column:
+    return F.xxhash64(*of).bitwiseAND(F.lit(n_buckets - 1)).cast("int")
 
 
 def features(words: str, n_buckets: int = BUCKETS) -> Column:
-    """array<int> of the hashed words, pairs of neighbouring words and word ends of an array column."""
-    singles = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(n_buckets)).cast("int"))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(n_buckets)).cast("int"))
-    ends = F.transform(words, lambda w: F.pmod(F.xxhash64(F.right(w, F.lit(3)), F.lit(3)), F.lit(n_buckets)).cast("int"))
+    """array<int> of the hashed words, pairs of neighbouring words and word ends of an array column; n_buckets: a power of two."""
+    singles = F.transform(words, lambda w: _feature(n_buckets, w))
+    ends = F.transform(words, lambda w: _feature(n_buckets, F.right(w, F.lit(3)), F.lit(3)))
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: _feature(n_buckets, a, b))
     return F.concat(singles, ends, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<int>")))
 
 
@@ -43,7 +46,11 @@ def ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS) -> list
     trusted = labels.groupBy("doc_id").agg((F.max(F.coalesce("quality", F.lit(0))) * (1 - F.max(F.coalesce("toxic", F.lit(0))))).alias("_trusted")).filter("_trusted = 1")
     trusted = F.broadcast(trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED))
     counts = docs.select("doc_id", words_of(F.col("text")).alias("_w")).join(trusted, "doc_id", "left")
-    counts = counts.select("_trusted", F.explode(features("_w", n_buckets)).alias("_f")).groupBy("_f").agg(F.count("*").alias("raw"), F.count("_trusted").alias("good"))
+    # the same features as features(), of one word after the other, in generated code
+    counts = counts.select("_trusted", "_w", F.posexplode("_w").alias("_i", "_word")).withColumn("_next", F.get("_w", F.col("_i") + 1))
+    of = F.array(_feature(n_buckets, F.col("_word")), _feature(n_buckets, F.right("_word", F.lit(3)), F.lit(3)), F.when(F.col("_next").isNotNull(), _feature(n_buckets, F.col("_word"), F.col("_next"))))
+    counts = counts.select("_trusted", F.explode(of).alias("_f")).filter("_f is not null")
+    counts = counts.groupBy("_f").agg(F.count("*").alias("raw"), F.count("_trusted").alias("good"))
     rows = {r["_f"]: r for r in counts.collect()}  # at most n_buckets rows
     raw, good = (sum(r[k] for r in rows.values()) for k in ("raw", "good"))
     if not good:
@@ -55,11 +62,10 @@ def ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS) -> list
 def with_rules(docs: DataFrame) -> DataFrame:
     """docs with _w (words) and the counted rules n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    drop = lambda c: F.length(text) - F.length(F.translate(text, c, ""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.withColumn("_w", words_of(F.col("text"))).withColumn("_lines", lines)
     df = df.withColumn("n_words", F.size("_w").cast("long")).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
-    df = df.withColumn("word_chars", (F.length(text) - drop(BLANKS)).cast("long")).withColumn("n_symbols", drop(SYMBOLS).cast("long"))
+    df = df.withColumn("word_chars", F.length(without(spaced(text), " ")).cast("long")).withColumn("n_symbols", (F.length(text) - F.length(without(text, SYMBOLS))).cast("long"))
     # windows of three words as hashes; sorted, equal ones are neighbours
     df = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     pairs = F.zip_with("_h", F.slice("_h", 2, F.size("_h")), lambda a, b: F.xxhash64(a, b))
