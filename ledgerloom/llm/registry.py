@@ -10,11 +10,12 @@ from .fingerprints import op1_fingerprints
 from .packing import op2_packing
 from .pii import op6_pii
 from .quality import op10_quality_rules
+from .repeats import op3_repeats
 from .simhash import op4_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_packing, op4_simhash, op6_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_repeats, op4_simhash, op6_pii, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -97,3 +97,32 @@ def repeats(texts: list[tuple[int, str | None]], n: int = 50) -> list[tuple]:
         spans = sum(gone[p] and not (p and gone[p - 1]) for p in range(len(b)))
         out.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
     return out
+
+
+def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
+    """One bin after the other, one piece after the other."""
+    left = sorted(lengths, reverse=True)
+    bins = []
+    while left:
+        own, gap = [], capacity
+        for x in list(left):
+            if x <= gap:
+                own.append(x)
+                left.remove(x)
+                gap -= x
+        if gap and len(own) > 1:
+            small = own[-1]
+            best = (small, None, None)
+            for i, a in enumerate(left):
+                for b in left[i + 1 :]:
+                    if best[0] < a + b <= gap + small:
+                        best = (a + b, a, b)
+                        break
+            if best[1]:
+                own.remove(small)
+                left = sorted(left + [small], reverse=True)
+                for x in best[1:]:
+                    left.remove(x)
+                    own.append(x)
+        bins.append(sorted(own, reverse=True))
+    return bins
