@@ -1,10 +1,11 @@
 """Personal data: patterns, and information-theoretic sanitisation of terms that reveal what the patterns protect; DataFrame operations only.
 
 Base spans are emails, IP addresses, card and phone numbers. Each distinct value of those is a protected entity. A term is a word
-of at least MIN_LETTERS letters. Over the lines of the whole corpus, each different line counted once, the information that a term
-gives about an entity is log2(p(entity | term) / p(entity)); divided by -log2 p(entity), it is the share of the entity's information
-that the term discloses: 1 if the term never occurs without the entity. Terms that share MIN_SUPPORT or more different lines with an
-entity and disclose at least DISCLOSURE of it are spans too, wherever they occur, and are generalised like the others.
+of at least MIN_LETTERS letters, without the punctuation around it. Over all words of the corpus, the information that a term gives
+about an entity is log2(p(entity's line | term) / p(entity's line)); divided by -log2 p(entity's line), it is the share of the
+entity's information that the term discloses: 1 if the term never occurs but in lines with the entity. Terms that share MIN_SUPPORT or
+more different lines with an entity and disclose at least DISCLOSURE of it are spans too, wherever they occur, and are generalised
+like the others.
 
 All patterns are runs of single character classes, so that no text, however long, makes matching recurse or backtrack far. Where
 the definition has a repeated group, the text is rewritten first, character for character, so that a run does the same.
@@ -23,6 +24,10 @@ KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE = 0.9
 MIN_SUPPORT = 3
 MIN_LETTERS = 3
+#: Punctuation that may stand around a term.
+AROUND = ".,;:!?()[]{}<>\"'`*_~-"
+#: So few candidates are sent to every executor.
+SENT = 100_000
 
 _LOCAL = "A-Za-z0-9._%+-"
 EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"
@@ -89,10 +94,17 @@ def with_base_spans(df: DataFrame, text: str = "text") -> DataFrame:
     return df.drop("_x", "_y")
 
 
-def terms_of(line: Column) -> Column:
-    """Different lower-case words of letters, without what surrounds them."""
-    bare = F.transform(words_of(line), lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]++|[^\p{L}\p{N}]++$", "")))
-    return F.array_distinct(F.filter(bare, lambda w: w.rlike(rf"^\p{{L}}{{{MIN_LETTERS},64}}$")))
+def bare(word: Column) -> Column:
+    """A word as a term: lower case, without punctuation around it."""
+    return F.lower(F.btrim(word, F.lit(AROUND)))
+
+
+def corpus_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(sha, term) for every word of docs' text that is one of terms; sha: SHA-256 of the whole text."""
+    n = terms.count()
+    words = docs.select(F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.explode(words_of(F.col("text"))).alias("word"))
+    words = words.select("sha", bare(F.col("word")).alias("term"))
+    return words.join(F.broadcast(terms) if n <= SENT else terms, "term")
 
 
 def revealing_terms(docs: DataFrame, spans: DataFrame, disclosure: float = DISCLOSURE, support: int = MIN_SUPPORT) -> DataFrame | None:
@@ -102,19 +114,20 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, disclosure: float = DISCL
     rows = rows.select("text", F.explode("_e").alias("_e"))
     # the line that holds the span: spans never reach over a line's end
     before, after = F.expr("substring_index(substring(text, 1, _e.start), '\n', -1)"), F.expr("substring_index(substring(text, _e.start + 1), '\n', 1)")
-    rows = rows.select(F.xxhash64("_e.kind", "_e.value").alias("entity"), F.concat(before, after).alias("line")).distinct()
+    rows = rows.select(F.xxhash64("_e.kind", "_e.value").alias("entity"), F.concat(before, after).alias("line")).groupBy("entity", "line").agg(F.count("*").alias("copies"))
     rows = saved(rows, "pii-lines")
-    entities = rows.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
-    pairs = rows.join(entities, "entity").select("entity", "n_entity", F.explode(terms_of(F.col("line"))).alias("term"))
-    pairs = saved(pairs.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support), "pii-pairs")
+    entities = rows.groupBy("entity").agg(F.count("*").alias("n_lines"), F.sum("copies").alias("n_entity")).filter(F.col("n_lines") >= support)
+    words = rows.join(entities, "entity").select("entity", "n_entity", "copies", F.xxhash64("line").alias("of"), F.explode(words_of(F.col("line"))).alias("word"))
+    words = words.withColumn("term", bare(F.col("word"))).filter(F.col("term").rlike(rf"^\p{{L}}{{{MIN_LETTERS},64}}$"))
+    each = words.groupBy("entity", "n_entity", "term", "of").agg(F.sum("copies").alias("n"))
+    pairs = each.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("lines"), F.sum("n").alias("n_both")).filter(F.col("lines") >= support)
+    pairs = saved(pairs, "pii-pairs")
     candidates = saved(pairs.select("term").distinct(), "pii-candidates")
     if candidates.isEmpty():
         return None
-    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    n_lines = lines.agg(F.count("*")).first()[0]
-    seen = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select(F.xxhash64("line").alias("of"), F.explode(terms_of(F.col("line"))).alias("term"))
-    seen = seen.join(candidates, "term").groupBy("term", "of").agg(F.count("*")).groupBy("term").agg(F.count("*").alias("n_term"))
-    own = -F.log2(F.col("n_entity") / F.lit(float(max(n_lines, 1))))
+    n_lines = docs.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0]
+    seen = corpus_terms(docs, candidates).groupBy("term").agg(F.count("*").alias("n_term"))
+    own = -F.log2(F.col("n_entity") / F.lit(float(n_lines)))
     share = (F.log2(F.col("n_both") / F.col("n_term")) + own) / F.greatest(own, F.lit(1e-9))
     terms = saved(pairs.join(seen, "term").filter(share >= disclosure).select("term").distinct(), "pii-terms")
     return None if terms.isEmpty() else terms
@@ -130,8 +143,7 @@ def with_spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = M
     if terms is None:
         return df.withColumn("term", F.slice("email", 1, 0))
     sha = F.sha2(F.col("text").cast("binary"), 256).alias("_sha")
-    hits = docs.select("text").withColumn("_t", F.explode(terms_of(F.col("text"))))
-    hits = hits.join(terms.withColumnRenamed("term", "_t"), "_t").groupBy(sha).agg(F.collect_set("_t").alias("_terms"))
+    hits = corpus_terms(docs, terms).groupBy(F.col("sha").alias("_sha")).agg(F.collect_set("term").alias("_terms"))
     df = df.select("*", sha).join(hits, "_sha", "left")
     words = F.array_join(F.transform(F.array_sort("_terms"), lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")
     df = df.withColumn("_pattern", F.coalesce(F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), words, F.lit(r")(?![\p{L}\p{N}])")), F.lit("")))
