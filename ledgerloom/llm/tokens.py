@@ -36,7 +36,7 @@ class _Kept(dict):
             self.older = dict(self)
             self.clear()
         new = []
-        for p in {*pieces}.difference(self):
+        for p in {p for p in pieces if p not in self}:
             ids = self.older.get(p)
             if ids is None:
                 new.append(p)
