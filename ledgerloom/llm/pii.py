@@ -109,12 +109,15 @@ def corpus_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def revealing_terms(docs: DataFrame, spans: DataFrame, disclosure: float = DISCLOSURE, support: int = MIN_SUPPORT) -> DataFrame | None:
     """(term): terms of the corpus docs(text) that disclose an entity of spans(text, email, ip, card, phone), saved; None if there is none."""
-    entity = lambda kind: F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), F.lower(s["value"]).alias("value"), s["start"].alias("start")))
-    rows = spans.select("text", F.concat(*[entity(k) for k in KINDS[:4]]).alias("_e")).filter(F.size("_e") > 0)
-    rows = rows.select("text", F.explode("_e").alias("_e"))
-    # the line that holds the span: spans never reach over a line's end
-    before, after = F.expr("substring_index(substring(text, 1, _e.start), '\n', -1)"), F.expr("substring_index(substring(text, _e.start + 1), '\n', 1)")
-    rows = rows.select(F.xxhash64("_e.kind", "_e.value").alias("entity"), F.concat(before, after).alias("line")).groupBy("entity", "line").agg(F.count("*").alias("copies"))
+    def lines(kind: str) -> Column:
+        """(entity, line) of each span; spans never reach over a line's end."""
+        before = lambda s: F.substring_index(F.substring(F.col("text"), F.lit(1), s["start"]), "\n", -1)
+        after = lambda s: F.substring_index(F.substring(F.col("text"), s["start"] + 1, F.length("text")), "\n", 1)
+        return F.transform(kind, lambda s: F.struct(F.xxhash64(F.lit(kind), F.lower(s["value"])).alias("entity"), F.concat(before(s), after(s)).alias("line")))
+
+    # saved before any filter: a filter on the spans would be pushed below them, and find them again for each of its terms
+    rows = saved(spans.select(F.concat(*[lines(k) for k in KINDS[:4]]).alias("_e")), "pii-contexts")
+    rows = rows.select(F.explode("_e").alias("_e")).groupBy("_e.entity", "_e.line").agg(F.count("*").alias("copies"))
     rows = saved(rows, "pii-lines")
     entities = rows.groupBy("entity").agg(F.count("*").alias("n_lines"), F.sum("copies").alias("n_entity")).filter(F.col("n_lines") >= support)
     words = rows.join(entities, "entity").select("entity", "n_entity", "copies", F.xxhash64("line").alias("of"), F.explode(words_of(F.col("line"))).alias("word"))
