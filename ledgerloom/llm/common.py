@@ -67,3 +67,12 @@ def next_buckets(buckets: DataFrame, fan: int = 4096) -> DataFrame:
     order = Window.orderBy(F.desc("up"))
     tops = tops.select("up", F.coalesce(F.lead("top").over(order), F.max("top").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
     return inner.join(tops, "up").select("bucket", F.coalesce("next_bucket", "after").alias("next_bucket"))
+
+
+def filtered(df: DataFrame, condition: Column) -> DataFrame:
+    """df.filter(condition) for a condition on long chains of computed columns.
+
+    A filter is pushed below the columns it reads, where each of their expressions stands in it as often as it is referred to; over a
+    chain, that grows exponentially. A row number that the filter reads too is not deterministic, so the filter stays above.
+    """
+    return df.withColumn("_row", F.monotonically_increasing_id()).filter(condition & (F.col("_row") >= 0)).drop("_row")

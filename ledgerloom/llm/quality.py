@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, spaced, without, words_of
+from .common import documents, filtered, spaced, without, words_of
 
 BUCKETS = 8192
 #: Mean log ratio under which a document is unlike the trusted texts.
@@ -108,4 +108,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules or the score reject go."""
-    return judged(docs, documents(spark, sf_dir, "labels")).filter("kept").select(docs.columns)
+    return filtered(judged(docs, documents(spark, sf_dir, "labels")), F.col("kept")).select(docs.columns)
