@@ -30,8 +30,8 @@ from .common import documents, id_width, saved
 SPAN = 50
 GRAM = 20
 #: Documents of a chunk, about, and bytes of text whose keys one task holds, about.
-CHUNK_DOCS = 256
-TASK_BYTES = 24_000_000
+CHUNK_DOCS = 512
+TASK_BYTES = 8_000_000
 
 _rng = np.random.default_rng(20240607)
 _VALUES = _rng.integers(0, 2**64, 256, np.uint64) | np.uint64(1)
