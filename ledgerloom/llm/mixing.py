@@ -78,8 +78,8 @@ def weights(sizes: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS
     a = exponent(some, entropy, repeats, budget)
     total = some.agg(F.sum("n_tokens")).first()[0] or 0
     z = some.agg(F.sum(F.pow(F.col("n_tokens") / F.lit(float(total or 1)), F.lit(a)))).first()[0] or 1.0
-    weight = F.when(F.col("n_tokens") > 0, F.round(F.pow(F.col("n_tokens") / F.lit(float(total or 1)), F.lit(a)) / F.lit(z), 12)).otherwise(0.0)
-    rows = sources.withColumn("weight", weight).withColumn("budget", F.floor(F.col("weight") * F.lit(float(total) * budget)).cast("long"))
+    weight = F.when(F.col("n_tokens") > 0, F.round(F.pow(F.col("n_tokens") / F.lit(float(total or 1)), F.lit(a)) / F.lit(z), 15)).otherwise(0.0)
+    rows = sources.withColumn("weight", weight).withColumn("budget", F.round(F.col("weight") * F.lit(float(total) * budget)).cast("long"))
     rows = rows.withColumn("passes", F.when(F.col("n_tokens") > 0, F.floor(F.col("budget") / F.greatest("n_tokens", F.lit(1)))).otherwise(1).cast("int"))
     return saved(rows.withColumn("rest", F.when(F.col("n_tokens") > 0, F.col("budget") - F.col("passes") * F.col("n_tokens")).otherwise(0)), "mixing-weights")
 
