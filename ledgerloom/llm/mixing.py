@@ -133,4 +133,5 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Pipeline stage: documents as often as their source's budget takes them."""
     sizes = sized(docs)
     marks = ends(sizes, weights(sizes))
-    return mixed(docs.withColumn("key", source_key(F.col("source"))), marks).select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), source_key(F.col("source")).alias("key"), "doc_id")  # other columns' names may clash
+    return mixed(rows, marks).select("_doc.*")

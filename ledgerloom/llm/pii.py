@@ -172,7 +172,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = MIN_SUPPORT) -> DataFrame:
     """docs with each span of text replaced by its kind, as in [EMAIL]; spans that overlap become one. Null texts stay null. n_chars, if there, is counted again."""
-    df = with_spans(docs, disclosure, support)
+    df = with_spans(docs.select("text", F.struct(*docs.columns).alias("_doc")), disclosure, support)  # other columns' names may clash
 
     def tagged(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("tag")))
@@ -184,9 +184,10 @@ def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = MI
     parts = F.transform("_s", lambda s, i: F.when(s["start"] >= F.get("_before", i), F.concat(F.substring(F.col("text"), F.get("_before", i) + 1, s["start"] - F.get("_before", i)), s["tag"])).otherwise(""))
     text = F.concat(F.array_join(parts, ""), F.expr("substring(text, array_max(_ends) + 1)"))
     df = df.withColumn("text", F.when(F.size("_s") > 0, text).otherwise(F.col("text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return df.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

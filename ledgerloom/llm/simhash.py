@@ -224,6 +224,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pipeline stage: of each group of near-duplicates, the document with the smallest doc_id stays (of equal rows, one)."""
     key = F.coalesce("doc_id", F.lit(-(2**63))).alias("_key")
     stay = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    one = Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))
-    kept = docs.select("*", key).join(stay, "_key", "left_semi").withColumn("_nth", F.row_number().over(one))
-    return kept.filter("_nth = 1").select(docs.columns)
+    one = Window.partitionBy("_key").orderBy(F.xxhash64("_doc"))
+    rows = docs.select(key, F.struct(*docs.columns).alias("_doc"))  # other columns' names may clash
+    kept = rows.join(stay, "_key", "left_semi").withColumn("_nth", F.row_number().over(one))
+    return kept.filter("_nth = 1").select("_doc.*")

@@ -158,3 +158,16 @@ def test_pipeline(spark):
         assert docs.count() > 50
     out = corpus_pipeline.run(spark, SF)
     assert out.count() >= docs.count()
+
+
+def test_stages_keep_clashing_columns(spark):
+    import corpus_pipeline
+
+    own = ["email", "score", "kept", "key", "n_docs", "block", "_key", "n_words", "term"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    docs = mixing.saved(docs.selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in own]), "t")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in own), name
