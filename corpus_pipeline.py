@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.common import documents, saved
 from ledgerloom.llm.mixing import mixing_stage
+from ledgerloom.llm.neardup import near_duplicate_stage
 from ledgerloom.llm.packing import packing_stage
 from ledgerloom.llm.pii import pii_stage
 from ledgerloom.llm.quality import quality_stage
-from ledgerloom.llm.simhash import simhash_stage
 
 STAGES = [
     ("quality rules", quality_stage),
-    ("SimHash near-dedup", simhash_stage),
+    ("near-dedup", near_duplicate_stage),
     ("personal data", pii_stage),
     ("mixing", mixing_stage),
     ("packing", packing_stage),
