@@ -4,6 +4,10 @@ Words, pairs of neighbouring words and the words' last three characters are hash
 the features are counted, with add-one smoothing: over the raw corpus, every document included, and over trusted texts (labelled good
 and not toxic), TRUSTED of them at most, those whose doc_ids have the smallest hashes. A document's score is the sum of log(trusted / raw) over its features, divided by their number. Documents that score below the
 threshold are rejected. The threshold is a parameter: the same document and the same counts always give the same verdict.
+
+A few toxic words among hundreds don't move that mean, so a second part of the verdict does not average. A word is a mark of toxic
+texts if MARK_SHARE of the texts labelled toxic have it, MARK_TEXTS at least, and the share of them that have it is MARK_RATIO times that of
+trusted texts (each count plus one); TRUSTED texts of either kind at most are counted. Documents with MARKS different marks are rejected, however long they are.
 """
 
 from __future__ import annotations
@@ -13,13 +17,21 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, filtered, spaced, without, words_of
+from .common import documents, filtered, saved, spaced, without, words_of
 
 BUCKETS = 8192
 #: Mean log ratio under which a document is unlike the trusted texts.
 THRESHOLD = -0.4
-#: Trusted documents at most: so few that their ids can be sent to every executor.
+#: Trusted documents at most, and toxic ones: so few that their ids can be sent to every executor.
 TRUSTED = 20_000
+#: Share and number of toxic texts that have a mark, at least; how much more frequent it is in them than in good ones.
+MARK_SHARE = 0.01
+MARK_TEXTS = 3
+MARK_RATIO = 32.0
+#: So many different marks in a document reject it.
+MARKS = 2
+#: Punctuation that may stand around a word.
+AROUND = ".,;:!?()[]{}<>\"'`*_~-"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
@@ -59,6 +71,31 @@ def ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS) -> list
     return [math.log((at(f, "good") + 1) / (good + n_buckets) / ((at(f, "raw") + 1) / (raw + n_buckets))) for f in range(n_buckets)]
 
 
+def _bare(words: Column) -> Column:
+    """The different words of an array, in lower case and without punctuation around them; some may be equal then."""
+    return F.transform(F.array_distinct(words), lambda w: F.lower(F.btrim(w, F.lit(AROUND))))
+
+
+def toxic_marks(docs: DataFrame, labels: DataFrame) -> list[str]:
+    """The marks of toxic texts, sorted. Each is in MARK_SHARE of the toxic texts, so their number is bounded by the length of texts, whatever the input's size. Without toxic or good texts there are none."""
+    most = lambda c: F.max(F.coalesce(c, F.lit(0)))
+    kinds = labels.groupBy("doc_id").agg(most("quality").alias("_good"), most("toxic").alias("_toxic"))
+    ids = lambda which: kinds.filter(which).select("doc_id", "_toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED)
+    sent = F.broadcast(ids("_toxic = 1").union(ids("_toxic = 0 AND _good = 1")))
+    texts = saved(docs.join(sent, "doc_id").select("_toxic", "text"), "quality-labelled")
+    n = {r["_toxic"]: r["count"] for r in texts.groupBy("_toxic").count().collect()}
+    toxic, good = n.get(1, 0), n.get(0, 0)
+    if not toxic or not good:
+        return []
+    words = lambda kind: texts.filter(F.col("_toxic") == kind).select(F.explode(F.array_distinct(_bare(words_of(F.col("text"))))).alias("word"))
+    often = words(1).filter("word <> ''").groupBy("word").agg(F.count("*").alias("toxic")).filter(F.col("toxic") >= max(MARK_TEXTS, MARK_SHARE * toxic))
+    often = saved(often, "quality-often")
+    other = words(0).join(F.broadcast(often.select("word")), "word").groupBy("word").agg(F.count("*").alias("good"))
+    counts = often.join(other, "word", "left").withColumn("good", F.coalesce("good", F.lit(0)))
+    ratio = (F.col("toxic") + 1) / (toxic + 2) / ((F.col("good") + 1) / (good + 2))
+    return sorted(r["word"] for r in counts.filter(ratio >= MARK_RATIO).select("word").collect())
+
+
 def with_rules(docs: DataFrame) -> DataFrame:
     """docs with _w (words) and the counted rules n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -95,9 +132,12 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_b
     """
     table = ratios(docs.select("doc_id", "text"), labels, n_buckets)
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
-    df = with_rules(docs.drop(*added)).withColumn("score", score("_w", table)).drop("_w")
+    marks = toxic_marks(docs.select("doc_id", "text"), labels)
+    df = with_rules(docs.drop(*added)).withColumn("score", score("_w", table))
+    found = F.size(F.array_intersect(_bare(F.col("_w")), F.array(*map(F.lit, marks)))) if marks else F.lit(0)
+    df = df.withColumn("_marks", found).drop("_w")
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & (F.col("_marks") < MARKS)).drop("_marks")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 
 from tests.llm import brute
 
-from ledgerloom.llm import neardup
+from ledgerloom.llm import neardup, quality
 
 
 def shingle_set(text):
@@ -56,3 +56,22 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
     kept = sorted(r["doc_id"] for r in neardup.near_duplicate_stage(spark, df, "").collect())
     assert kept == sorted({w: i for i, w in reversed(list(enumerate(want)))}.values())
     assert neardup.near_duplicate_stage(spark, df.limit(0), "").count() == 0
+
+
+def test_a_few_toxic_words_in_a_long_text_reject_it(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(3))
+    rows, labels = [], []
+    for i in range(400):
+        words = [word() for _ in range(600)]
+        if i % 8 == 0:
+            for at, bad in zip(r.sample(range(600), 3), r.sample(["Rotter,", "swine", "(oaf)", "lout!"], 3), strict=True):
+                words[at] = bad
+        rows.append((i, " ".join(words)))
+        labels += [(i, 1, int(i % 8 == 0))] * (i < 300)
+    df = spark.createDataFrame([*rows, (None, rows[1][1])], "doc_id long, text string")
+    out = quality.judged(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(out) == 401 and not any(r["base_failed"] for r in out)
+    assert all(r["score"] >= quality.THRESHOLD for r in out)
+    for r in out:
+        assert r["kept"] == (r["doc_id"] is None or r["doc_id"] % 8 != 0), r["doc_id"]
