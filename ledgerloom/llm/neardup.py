@@ -65,9 +65,14 @@ def band_keys(hashes: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.
     return keys
 
 
+def _row(docs: DataFrame) -> Column:
+    """A hash of all columns. It passes nulls over, so that their places are hashed too."""
+    return F.xxhash64(F.struct(*docs.columns), *[F.col(c).isNull() for c in docs.columns])
+
+
 def _identified(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text) of docs; row: a hash of all columns. Rows with equal hashes are taken as equal rows."""
-    return docs.select(F.xxhash64(F.struct(*docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.select(_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def with_bands(rows: DataFrame) -> DataFrame:
@@ -141,10 +146,10 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates, the document with the smallest doc_id stays (of equal rows, one)."""
-    key = F.coalesce("doc_id", F.lit(-(2**63))).alias("_key")
-    stay = similar_groups(docs).groupBy("group").agg(F.min("doc_id").alias("doc_id")).select(key).distinct()
-    one = Window.partitionBy("_key").orderBy(F.xxhash64("_doc"))
-    rows = docs.select(key, F.struct(*docs.columns).alias("_doc"))  # other columns' names may clash
-    kept = rows.join(stay, "_key", "left_semi").withColumn("_nth", F.row_number().over(one))
+    """Pipeline stage: of each group of near-duplicates one document stays, that with the smallest doc_id, or with the smallest row hash where doc_ids are equal or all null."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    stay = similar_groups(docs).groupBy("group").agg(first).select(F.col("first.row").alias("_row"))
+    one = Window.partitionBy("_row").orderBy(F.xxhash64("_doc"))
+    rows = docs.select(_row(docs).alias("_row"), F.struct(*docs.columns).alias("_doc"))  # other columns' names may clash
+    kept = rows.join(stay, "_row", "left_semi").withColumn("_nth", F.row_number().over(one))  # of equal rows, one
     return kept.filter("_nth = 1").select("_doc.*")

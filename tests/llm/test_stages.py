@@ -75,3 +75,14 @@ def test_a_few_toxic_words_in_a_long_text_reject_it(spark):
     assert all(r["score"] >= quality.THRESHOLD for r in out)
     for r in out:
         assert r["kept"] == (r["doc_id"] is None or r["doc_id"] % 8 != 0), r["doc_id"]
+
+
+def test_null_and_repeated_ids_lose_no_group(spark):
+    word = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(None, word(i), "a", None) for i in range(6)] + [(None, word(1), None, "a"), (7, word(2), "a", None), (7, word(8), "a", None), (7, word(9), "b", None), (3, word(9), "c", None)]
+    rows += [(None, None, "x", None), (None, "x", None, None), rows[0], rows[7]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = [tuple(r) for r in neardup.near_duplicate_stage(spark, df, "").collect()]
+    assert sorted(r[1] or "" for r in kept) == sorted({r[1] or "" for r in rows})
+    assert set(kept) <= set(rows)
+    assert {r[0] for r in kept if r[1] == word(9)} == {3} and {r[0] for r in kept if r[1] == word(2)} == {7}
