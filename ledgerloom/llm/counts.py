@@ -8,6 +8,7 @@ is kept, so a word's token count is known after one pass over its characters, wi
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -77,6 +78,12 @@ class Automaton:
         return count
 
 
+@functools.lru_cache(maxsize=2)
+def _automaton(vocabulary: Callable[[], tuple[list[str], list[str]]]) -> tuple[Automaton, dict[bytes, int]]:
+    """The automaton and the counts of words seen, kept by a worker process for its later tasks."""
+    return Automaton(*vocabulary()), {}
+
+
 def sentencepiece_vocabulary(path: str) -> tuple[list[str], list[str]]:
     """(pieces that begin a word, pieces that go on) of a sentencepiece model; control and byte pieces are left out."""
     import sentencepiece
@@ -90,12 +97,11 @@ def token_counts(docs: DataFrame, vocabulary: Callable[[], tuple[list[str], list
     """(doc_id, n_words, n_tokens, n_unknown) for each row of docs (doc_id, text).
 
     Words stand between white space (space and \\t to \\r). An unknown word counts as one token. Null, empty and blank texts have
-    none; an empty table gives no rows; other columns are ignored. vocabulary: called once in a task.
+    none; an empty table gives no rows; other columns are ignored. vocabulary: called once in a worker process.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(*vocabulary())
-        kept: dict[bytes, int] = {}
+        automaton, kept = _automaton(vocabulary)
         for batch in batches:
             rows = np.zeros((3, batch.num_rows), np.int64)
             for i, text in enumerate(batch.column(1)):

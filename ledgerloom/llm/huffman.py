@@ -19,16 +19,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, id_width, saved
+from .common import documents, forgotten, saved
 from .tokens import encoder
 
 STRIDE = 256
 LONGEST = 20
 END = 2
-#: Documents of a file, about.
+#: Documents of a file at most.
 FILE_DOCS = 512
 _HEAD = "<4sIIQIB"
 
@@ -164,68 +165,101 @@ def read_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if x else int(d) for d, x in zip(rows["doc"], rows["null"], strict=True)], rows["n"].astype(np.int64), ids
 
 
-def _with_end(encode: Callable[[str], np.ndarray], text: pa.Scalar, end: int) -> np.ndarray:
-    return np.append(encode(text.as_py() or ""), np.uint32(end))
+def encoded_once(docs: DataFrame, make: Callable[[], Callable[[str], np.ndarray]], end: int = END) -> DataFrame:
+    """(doc_id, wide, ids) of docs' (doc_id, text), saved: little-endian ids with the end id, of two bytes each, or of four where wide."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = make()
+        for batch in batches:
+            own = [np.append(encode(text.as_py() or ""), np.uint32(end)) for text in batch.column(1)]
+            wide = [int(x.max()) > 0xFFFF for x in own]
+            ids = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(own, wide, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.bool_()), pa.array(ids, pa.binary())], ["doc_id", "wide", "ids"])
+
+    return saved(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, wide boolean, ids binary"), "token-ids")
+
+
+def _ids(wide: pa.Scalar, ids: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(ids.as_buffer(), "<u4" if wide.as_py() else "<u2")
 
 
-def id_counts(docs: DataFrame, make: Callable[[], Callable[[str], np.ndarray]], end: int = END) -> np.ndarray:
-    """How often each id occurs in all of docs' (text), end ids included; its size is that of the vocabulary."""
+def id_counts(rows: DataFrame, end: int = END) -> np.ndarray:
+    """How often each id occurs in all rows (wide, ids); its size is that of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, counts = make(), np.zeros(1, np.int64)
+        counts = np.zeros(1, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                own = np.bincount(_with_end(encode, text, end))
+            for own in map(np.bincount, map(_ids, batch.column(0), batch.column(1))):
                 if len(own) > len(counts):
                     counts = np.append(counts, np.zeros(len(own) - len(counts), np.int64))
                 counts[: len(own)] += own
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row for each id of the vocabulary at most
-    counts = np.zeros(max(rows["id"].max() + 1 if len(rows) else 0, end + 1), np.int64)
-    counts[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    counted = rows.select("wide", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row for each id of the vocabulary at most
+    counts = np.zeros(max(counted["id"].max() + 1 if len(counted) else 0, end + 1), np.int64)
+    counts[counted["id"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     return counts
 
 
 def write_files(docs: DataFrame, make: Callable[[], Callable[[str], np.ndarray]], end: int = END, longest: int = LONGEST) -> DataFrame:
     """(file, content): files in ascending doc_id order, saved. docs: doc_id, text; null texts count as empty, null doc_ids come last.
 
-    Texts are encoded twice, to count and to write, so that their ids are stored nowhere but in the files; what is dealt out by file
-    are the coded bits, not texts.
+    Each text is encoded once; its ids are counted and coded from where they are saved. Documents are dealt by ranges of doc_id that
+    Spark samples, so ids may be spread as they like. Rows with one doc_id are in the order of their ids. An empty table gives no file.
     """
-    lengths = code_lengths(id_counts(docs, make, end), longest)
+    rows = encoded_once(docs, make, end)
+    lengths = code_lengths(id_counts(rows, end), longest)
     codes, _ = canonical(lengths)
-    width = id_width(docs, "doc_id", FILE_DOCS)
-    number = F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(2**62)).alias("file")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = make()
         for batch in batches:
             coded = []
-            for text in batch.column(2):
-                ids = _with_end(encode, text, end)
+            for ids in map(_ids, batch.column(1), batch.column(2)):
                 bits, points = encoded(ids, lengths, codes)
                 coded.append(struct.pack("<I", len(ids)) + points.tobytes() + bits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(coded, pa.binary())], ["file", "doc_id", "coded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary())], ["doc_id", "coded"])
+
+    coded = saved(rows.mapInArrow(code, "doc_id long, coded binary"), "token-codes")
+    forgotten(rows)
 
-    def join(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["doc_id"].to_pylist(), table["coded"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    def joined(docs: list[tuple[int | None, bytes]]) -> bytes:
         heads, points, bits, at, total = [], [], [], 0, 0
-        for doc, coded in rows:
-            (n,) = struct.unpack_from("<I", coded)
+        for doc, own in docs:
+            (n,) = struct.unpack_from("<I", own)
             cut = 4 + 4 * -(-n // STRIDE)
             heads.append(struct.pack("<qBIQ", doc or 0, doc is None, n, at))
-            points.append(coded[4:cut])
-            bits.append(coded[cut:])
-            at += len(coded) - cut
+            points.append(own[4:cut])
+            bits.append(own[cut:])
+            at += len(own) - cut
             total += n
-        head = struct.pack(_HEAD, b"LLH1", len(lengths), len(rows), total, STRIDE, int(lengths.max(initial=0)))
-        content = b"".join((head, lengths.tobytes(), *heads, *points, *bits))
-        return pa.table({"file": [table["file"][0].as_py()], "content": pa.array([content], pa.binary())})
+        head = struct.pack(_HEAD, b"LLH1", len(lengths), len(docs), total, STRIDE, int(lengths.max(initial=0)))
+        return b"".join((head, lengths.tobytes(), *heads, *points, *bits))
+
+    size = FILE_DOCS
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32  # ranges are numbered in their order
+        waiting: list[tuple[int | None, bytes]] = []
+
+        def file(own: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([number - 1]), pa.array([joined(own)], pa.binary())], ["file", "content"])
+
+        for batch in batches:
+            for doc, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                waiting.append((doc, own.as_py()))
+                if len(waiting) == size:
+                    yield file(waiting)
+                    waiting = []
+        if waiting:
+            yield file(waiting)
 
-    coded = docs.select(number, F.col("doc_id").cast("long"), "text").mapInArrow(code, "file long, doc_id long, coded binary")
-    return saved(coded.groupBy("file").applyInArrow(join, "file long, content binary"), "token-files")
+    order = (F.col("doc_id").isNull(), F.col("doc_id"))
+    files = saved(coded.repartitionByRange(*order).sortWithinPartitions(*order, "coded").mapInArrow(join, "file long, content binary"), "token-files")
+    forgotten(coded)
+    return files
 
 
 def read_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -236,8 +270,8 @@ def read_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
             n = [struct.unpack_from(_HEAD, memoryview(x.as_buffer()))[3] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["file", "n"])
 
-    sizes = files.mapInArrow(size, "file long, n long").withColumn("up", F.expr("file div 4096L"))
-    # running sums within groups of files, and over the groups
+    sizes = files.mapInArrow(size, "file long, n long").withColumn("up", F.expr("file div 4294967296L"))
+    # running sums within the files of a range, and over the ranges
     groups = sizes.groupBy("up").agg(F.sum("n").alias("n"))
     groups = groups.select("up", (F.sum("n").over(Window.orderBy("up")) - F.col("n")).alias("before"))
     within = F.sum("n").over(Window.partitionBy("up").orderBy("file")) - F.col("n")

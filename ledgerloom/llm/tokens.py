@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -17,7 +18,14 @@ KEPT_PIECES = 350_000
 UNSURE = re.compile("[\x1c-\x1f\x85]")
 DOUBLE = re.compile(r"\s\s")
 PIECE = re.compile(r"\s*\S+|\s+")
-SENTENCE_END = re.compile(r"(?<=[^\W_])(?=[.,]\s)")
+#: Between a letter or digit and a full stop or comma that ends a word, only after characters that normalise to a single one of their kind.
+SENTENCE_END = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,]\s)")
+#: Pieces whose characters normalise each by itself, without the apostrophe, with which contractions begin.
+PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+#: Parts of a plain piece in lower case.
+PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: No UTF-8 text has this byte: it stands for the end of a word.
+WORD_END = b"\xff"
 
 
 class _Kept(dict):
@@ -47,53 +55,91 @@ class _Kept(dict):
         return b"".join([self[p] for p in pieces])
 
 
-def _byte_ranks(path: str) -> dict[bytes, int] | None:
-    """Merge ranks of a plain byte-level BPE file whose ids are in the order of its merges; None for any other."""
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)
-    if model["normalizer"] or (model["pre_tokenizer"] or {}).get("type") != "ByteLevel" or model["model"]["type"] != "BPE":
-        return None
+def _letters() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
-    vocabulary, merges = model["model"]["vocab"], model["model"]["merges"]
-    pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
-    if any(vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)) or len(vocabulary) != 256 + len(merges):
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
+def _pairs(model: dict) -> list[tuple[str, str]]:
+    return [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+
+
+def _byte_ranks(file: dict) -> dict[bytes, int] | None:
+    """Merge ranks of a plain byte-level BPE whose ids are in the order of its merges; None for any other."""
+    model, letters = file["model"], _letters()
+    if file["normalizer"] or (file["pre_tokenizer"] or {}).get("type") != "ByteLevel" or model["type"] != "BPE":
+        return None
+    vocabulary, pairs = model["vocab"], _pairs(model)
+    if any(vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)) or len(vocabulary) != 256 + len(pairs):
         return None
     return {bytes(letters[c] for c in token): i for token, i in vocabulary.items()}
 
 
+#: How a lower-case BPE with word ends prepares texts; ranks are used for this form alone.
+_WORDS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _word_ranks(file: dict) -> dict[bytes, int] | None:
+    """Merge ranks of a lower-case byte-level BPE with word ends, WORD_END for the end; None for any other."""
+    model, letters = file["model"], _letters()
+    end = model.get("end_of_word_suffix")
+    if not end or (file["normalizer"] or {}).get("normalizers") != _WORDS or _WORD_SPLIT not in json.dumps(file["pre_tokenizer"]).replace("\\\\", "\\"):
+        return None
+    vocabulary, pairs = model["vocab"], _pairs(model)
+    joined = [a + b for a, b in pairs]
+    if any(vocabulary.get(t) != 512 + i for i, t in enumerate(joined)) or len(vocabulary) != 512 + len(pairs):
+        return None
+    spelt = lambda t: bytes(letters[c] for c in t.removesuffix(end)) + WORD_END * t.endswith(end)
+    ranks = {spelt(t): i for t, i in vocabulary.items()}
+    return ranks if len(ranks) == len(vocabulary) else None
+
+
+@functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """A function from a text to its ids (uint32): those of the tokenizers library with add_special_tokens=False for the whole text.
 
+    Made once in a worker process, so that what it has encoded serves its later tasks too.
+
     Neither of the patterns that split a text before its merges matches over the end of a word and what follows: a white-space
     character after a character that is none always begins a new match. Texts are cut there, and different pieces are encoded once.
-    Where white space is dropped anyway, a space may also come before a full stop or comma that ends a word. Pieces of a plain
-    byte-level BPE go through its merge ranks, which give the same ids in a quarter of the time; special tokens' strings and any
-    other tokenizer go through the tokenizers library.
+    Where white space is dropped anyway, a full stop or comma that ends a word may be cut off too, after letters that normalise to one.
+    Pieces of a plain byte-level BPE, and plain pieces of a lower-case one with word ends, go through its merge ranks, which give the same
+    ids in a fraction of the time; special tokens' strings, all other pieces and any other tokenizer go through the tokenizers library.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for a task
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
 
     def whole(texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    ranks = _byte_ranks(path)
-    if ranks:
+    byte_ranks, word_ranks = _byte_ranks(file), _word_ranks(file)
+    spaces_count = "Removed" not in json.dumps(file["pre_tokenizer"])
+    pieces_ids = whole
+    if byte_ranks:
         import public_tokenizers
         import tiktoken
 
-        plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        spaces_count = True
+        plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_ranks, special_tokens={}).encode_ordinary
 
         def pieces_ids(texts: list[str]) -> list[bytes]:
             return [array("I", plain(x)).tobytes() for x in texts]
-    else:
-        pieces_ids = whole
-        with open(path, encoding="utf-8") as f:
-            spaces_count = "Removed" not in json.dumps(json.load(f)["pre_tokenizer"])
+    elif word_ranks:
+        import tiktoken
+
+        single = tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=word_ranks, special_tokens={})._core_bpe.encode_single_piece
+
+        def pieces_ids(texts: list[str]) -> list[bytes]:
+            out = [array("I", [i for p in PARTS.findall(x.lower()) for i in single(p.encode() + WORD_END)]).tobytes() if PLAIN.fullmatch(x) else None for x in texts]
+            rest = iter(whole([x for x, ids in zip(texts, out, strict=True) if ids is None]))
+            return [next(rest) if ids is None else ids for ids in out]
+
     kept = _Kept(pieces_ids)
 
     def ids(text: str) -> np.ndarray:

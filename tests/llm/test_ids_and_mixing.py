@@ -1,5 +1,7 @@
+import json
 import math
 import random
+import unicodedata
 import zlib
 
 import duckdb
@@ -7,7 +9,7 @@ import numpy as np
 import pytest
 from tests.llm import brute
 
-from ledgerloom.llm import counts, huffman, mixing, tokens, urls
+from ledgerloom.llm import counts, huffman, mixing, packing, tokens, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,7 +90,7 @@ def test_token_files(spark, docs_of_file, monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(huffman, "FILE_DOCS", docs_of_file)
-    rows = rows_of(spark)
+    rows = rows_of(spark) + [(2**63 - 1, "far above", None), (-(2**63), "far below", None), (10**12, "İ. far, क़. off", None)]
     path = huffman.default_tokenizer()
     t = Tokenizer.from_file(path)
     df = spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id long, text string")
@@ -102,6 +104,34 @@ def test_token_files(spark, docs_of_file, monkeypatch):
     assert huffman.read_files(huffman.write_files(df.limit(0), lambda: tokens.encoder(path))).count() == 0
 
 
+def tokenizers_ids(path, texts):
+    from tokenizers import Tokenizer
+
+    return [x.ids for x in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("path", [huffman.default_tokenizer(), packing.default_tokenizer()])
+def test_every_letter_before_the_end_of_a_sentence(path):
+    encode = tokens.encoder(path)
+    letters = [chr(i) for i in range(0x2FFFF) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i))[0] in "LNM"]
+    texts = [" ".join(f"w{c}. {c}, {c}{c}. x" for c in letters[at : at + 16]) for at in range(0, len(letters), 16)]
+    for text, want in zip(texts, tokenizers_ids(path, texts), strict=True):
+        assert encode(text).tolist() == want, text
+
+
+@pytest.mark.parametrize("path", [huffman.default_tokenizer(), packing.default_tokenizer()])
+def test_ids_of_odd_texts_and_of_the_whole_vocabulary(path):
+    r = random.Random(8)
+    own = [t.replace("</w>", "") for t in json.load(open(path))["model"]["vocab"]]
+    alphabet = [*"abcdefgilmnostuvz  ..,,'’-@0159àéèñÇÉİßſ\n\t\u0301\u093c\u00a0\x85~#", "'s", "'re ", "क़", "한", "<|endoftext|>"]
+    texts = [" ".join(own[at : at + 40]) for at in range(0, len(own), 40)]
+    texts += ["".join(r.choices(alphabet, k=r.randint(0, 60))) for _ in range(4000)]
+    texts += [" ".join("".join(r.choices(own, k=r.randint(1, 4))) for _ in range(20)) for _ in range(1500)]
+    encode = tokens.encoder(path)
+    for text, want in zip(texts, tokenizers_ids(path, texts), strict=True):
+        assert encode(text).tolist() == want, text
+
+
 def test_url_filter(spark):
     odd = [None, "", "no scheme", "http://", "http://COM/", "http://com", "ftp://a.com/x?y#z", "http://wwwexample.com/en/", "http://Www.Example.Com/en/x/", "http://net/es/", "http://a.net/es", "x://y://net/fr/?a/b", "http://a.net?x/es/", "http://a.net#/fr/", "http://example.com/en/ \n/x", "http://[::1]/", "http://.com/", "http://a..com//"]
     rows = [(i, u) for i, u in enumerate(odd + odd[:9])] + [(None, "http://b.com/")]
