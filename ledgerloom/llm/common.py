@@ -60,25 +60,66 @@ def without(text: Column, characters: str) -> Column:
     return text
 
 
-def id_width(df: DataFrame, key: str, per_bucket: int) -> int:
-    """Width of equal ranges of an integer key that hold about per_bucket rows each; the rows' order by key is their ranges' order."""
-    low, high, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    return max(1, -(-(high - low + 1) * per_bucket // n)) if n else 1
+#: Ranges that are cut again at a time, and so rows sent to every executor, at most.
+CUT = 65_536
+#: The range of null keys, below all others.
+NULLS = -(2**62)
 
 
-def id_bucket(key: str, width: int) -> Column:
-    """Range number of a key; null keys are in a range below all others."""
-    return F.coalesce(F.expr(f"`{key}` div {width}L"), F.lit(-(2**62)))
+def _div(a: int, b: int) -> int:
+    """As SQL's div: towards zero."""
+    return a // b if a >= 0 else -(-a // b)
 
 
-def next_buckets(buckets: DataFrame, fan: int = 4096) -> DataFrame:
-    """(bucket) -> (bucket, next_bucket): the next lower range that holds rows, the highest after the lowest. Ranges are taken fan at a time, so one task sees only a row for every fan ranges."""
-    groups = buckets.select("bucket").distinct().withColumn("up", F.expr(f"bucket div {fan}L"))
-    inner = groups.withColumn("next_bucket", F.lead("bucket").over(Window.partitionBy("up").orderBy(F.desc("bucket"))))
-    tops = groups.groupBy("up").agg(F.max("bucket").alias("top"))
+def with_ranges(df: DataFrame, key: str, size: Column, per_range: int) -> DataFrame:
+    """df with `bucket`: the number of its row's range of an integer key. Rows' order by key is their ranges' order.
+
+    size is summed over rows. Ranges are of equal width first, so that they would hold per_range each if keys were evenly spread. Ranges
+    whose measured sum is over twice that are cut again, by the spread of the keys in them, until none is left that holds two keys; so
+    far-off keys, or keys close together, don't fill one range. One key is never cut. Null keys have a range of their own.
+    """
+    measured = df.select(F.col(key).cast("long").alias("_k"), size.cast("long").alias("_n"))
+    low, high, total = measured.agg(F.min("_k"), F.max("_k"), F.sum(F.when(F.col("_k").isNotNull(), F.col("_n")))).first()
+    if low is None:
+        return df.withColumn("bucket", F.lit(NULLS))
+    # half of 64 bits' range at most, so that no number overflows
+    width = min(max(1, -(-(high - low + 1) * per_range // max(total, 1))), 2**62)
+    steps: list[tuple[DataFrame, int]] = []
+
+    def numbered(rows: DataFrame, key: str) -> DataFrame:
+        rows = rows.withColumn("bucket", F.expr(f"`{key}` div {width}L"))
+        for table, fan in steps:
+            part = F.coalesce(F.expr(f"`{key}` div _width") - F.col("_first"), F.lit(0))
+            rows = rows.join(F.broadcast(table), F.col("bucket") == F.col("_of"), "left").withColumn("bucket", F.col("bucket") * fan + part).drop("_of", "_width", "_first")
+        return rows
+
+    most = max(abs(low), abs(high)) // width + 1
+    while True:
+        sums = numbered(measured.filter("_k is not null"), "_k").groupBy("bucket").agg(F.sum("_n").alias("n"), F.min("_k").alias("low"), F.max("_k").alias("high"))
+        full = sums.filter((F.col("n") > 2 * per_range) & (F.col("low") < F.col("high"))).orderBy(F.desc("n"), "bucket").limit(CUT).collect()
+        cuts, fan = [], 1
+        for r in full:
+            own = -(-(r["high"] - r["low"] + 1) // -(-r["n"] // per_range))
+            first = _div(r["low"], own)
+            cuts.append((r["bucket"], own, first))
+            fan = max(fan, _div(r["high"], own) - first + 1)
+        if not cuts or (most + 1) * fan >= 2**62:  # beyond that, ranges could not be numbered
+            break
+        most = (most + 1) * fan
+        steps.append((df.sparkSession.createDataFrame(cuts, "_of long, _width long, _first long"), fan))
+    return numbered(df, key).withColumn("bucket", F.coalesce("bucket", F.lit(NULLS)))
+
+
+def next_buckets(buckets: DataFrame) -> DataFrame:
+    """(bucket) -> (bucket, next_bucket), saved: the next lower range that holds rows, the highest after the lowest. Numbers are dealt by ranges that Spark samples, so one task sees only a row for each of those."""
+    dealt = saved(buckets.select("bucket").distinct().repartitionByRange("bucket").withColumn("up", F.spark_partition_id()), "ranges")
+    inner = dealt.withColumn("next_bucket", F.lead("bucket").over(Window.partitionBy("up").orderBy(F.desc("bucket"))))
+    tops = dealt.groupBy("up").agg(F.max("bucket").alias("top"))
     order = Window.orderBy(F.desc("up"))
     tops = tops.select("up", F.coalesce(F.lead("top").over(order), F.max("top").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    return inner.join(tops, "up").select("bucket", F.coalesce("next_bucket", "after").alias("next_bucket"))
+    out = saved(inner.join(tops, "up").select("bucket", F.coalesce("next_bucket", "after").alias("next_bucket")), "next-ranges")
+    forgotten(dealt)
+    return out
 
 
 def filtered(df: DataFrame, condition: Column) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, id_bucket, id_width, next_buckets, saved, words_of
+from .common import documents, next_buckets, saved, with_ranges, words_of
 
 SAMPLES = 32
 SHINGLE = 5
@@ -84,8 +84,7 @@ def with_edited(df: DataFrame, per_bucket: int = 64) -> tuple[DataFrame, DataFra
 
     The next document comes from a window over ranges of doc_id; only the last row of each range looks it up in another range.
     """
-    width = id_width(df, "doc_id", per_bucket)
-    rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), id_bucket("doc_id", width).alias("bucket"))
+    rows = with_ranges(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", F.lit(1), per_bucket)
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     after = next_buckets(rows)
     rows = rows.select("*", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("following"))

@@ -1,18 +1,18 @@
 """Long repeats: bytes covered by a 50-byte string that also starts in an earlier document are removed.
 
-The index is a logarithmic family of suffix arrays. Documents come in chunks, ranges of doc_id. Of a chunk, the suffixes at
-content-defined places are taken: a window of `span` bytes is assigned to its minimizer (the place with the smallest hash of
-`gram` bytes in it), so equal windows always choose the same place within them, and about one place in 16 is taken. Each place stands
-for a stretch: the run of windows that chose it. Keys of the places' grams and stretches, sorted, are the chunk's suffix array; it
-is merge-scanned against the levels of the index, each twice as large as the one before, then enters the first level, and levels of
-equal size merge. The arrays are dealt over tasks by the grams' keys, so every task has a family of its own and sees all chunks in
-order; only keys move, not texts.
-
-A stretch that occurs as a whole in an earlier document is repeated throughout. Stretches whose gram occurs with another stretch,
-before or after, may still share windows: their windows' hashes go through a second family, which settles each window by itself.
-Both rounds answer with one bit for each key sent. Strings count as equal if their 64-bit hashes are.
-
-Polynomial hashes modulo 2**64 over random byte values give the hash of any window from two prefix sums.
+The index is a logarithmic family of suffix arrays. Its entries are suffixes, of which the first `span` bytes count, in the order of
+their bytes. Documents come in batches, by ascending doc_id. A batch's suffixes are sorted; the sorted batch is merge-scanned against
+each level of the index, where a suffix that meets its equal is one that an earlier batch has; then it becomes the first level, and levels
+merge while the next is not larger, so sizes grow geometrically. Equality is that of the bytes themselves.
+
+The index is dealt over tasks so that equal suffixes always meet, and each task has a family of its own. Only suffixes that may have an
+equal are sent. A window of `span` bytes is assigned to its minimizer (the place with the smallest hash of `gram` bytes in it), so equal
+windows choose the same place in them. The run of windows with one minimizer is a stretch. First, hashes of the stretches' grams
+are counted; a stretch whose gram no other document has cannot share a window. The bytes of the others go to the task of their gram, each
+different stretch once for a chunk of documents, and one bit for each window comes back. A gram with very many different stretches
+would fill its task, so those windows are sent one by one, to tasks by their own hashes.
+
+Hashes only choose places and tasks; two strings with one hash cost time, and don't count as equal.
 """
 
 from __future__ import annotations
@@ -22,16 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_width, saved
+from .common import NULLS, documents, saved, with_ranges
 
 SPAN = 50
 GRAM = 20
-#: Documents of a chunk, about, and bytes of text whose keys one task holds, about.
-CHUNK_DOCS = 512
-TASK_BYTES = 8_000_000
+#: Bytes of text of a chunk, about (a longer document is a chunk of its own), and of those whose windows one task may get.
+CHUNK_BYTES = 4_000_000
+TASK_BYTES = 4_000_000
+#: Windows of a batch, at least, and the part of a task's windows that makes one.
+BATCH_WINDOWS = 50_000
+BATCHES = 8
+#: Different stretches, summed over chunks, from which a gram's windows are dealt one by one.
+HOT = 4096
 
 _rng = np.random.default_rng(20240607)
 _VALUES = _rng.integers(0, 2**64, 256, np.uint64) | np.uint64(1)
@@ -73,15 +79,12 @@ class Text:
         count = self.n - length + 1
         return (self.sums[length:] - self.sums[:count]) * _kept["down"][:count]
 
-    def between(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (self.sums[stop] - self.sums[start]) * _kept["down"][start]
 
-
-def stretches(text: Text, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """first, last window and the keys of gram and stretch, of each run of windows with one minimizer. Empty for texts shorter than a span."""
+def stretches(text: Text, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """first and last window and the gram's hash, of each run of windows with one minimizer. Empty for texts shorter than a span."""
     if text.n < span:
         none = np.empty(0, np.int64)
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none.view(np.uint64)
     grams = text.every(gram)
     order = _mixed(grams)
     width = span - gram + 1
@@ -94,136 +97,169 @@ def stretches(text: Text, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarra
         have += step
     first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
     last = np.concatenate((first[1:] - 1, [len(at) - 1]))
-    place = at[first].astype(np.int64)
-    body = text.between(first, last + span)
-    return first, last, _mixed(grams[place]), _mixed(body ^ ((place - first) * 1024 + (last - first)).astype(np.uint64))
+    return first, last, order[at[first]]
 
 
-def _repeated(low: np.ndarray, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For (key, doc) items with docs in ascending order: whether an earlier doc has the key; low: inverse of np.unique(keys)."""
-    first = np.full(len(keys), np.iinfo(np.int64).max)
-    np.minimum.at(first, low, docs)
-    return first[low] < docs
+def _tasks(keys: np.ndarray, n: int) -> np.ndarray:
+    """Task numbers of keys: ranges of the key."""
+    return (keys >> np.uint64(32)).astype(np.int64) * n >> 32
 
 
 class Chunk:
-    """A chunk's documents (sorted by id) and the keys to ask about."""
+    """A chunk's documents (sorted by id) and what to ask about."""
 
     def __init__(self, ids: list, texts: list[bytes]):
         self.ids, self.data = ids, texts
-        self.texts = [Text(t) for t in texts]
-        parts = [stretches(t) for t in self.texts]
+        parts = [stretches(Text(t)) for t in texts]
         self.doc = np.repeat(np.arange(len(ids)), [len(p[0]) for p in parts])
-        self.first, self.last, self.gram, self.key = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(4))
-        pairs = np.empty(len(self.gram), [("g", np.uint64), ("s", np.uint64)])
-        pairs["g"], pairs["s"] = self.gram, self.key
-        order = np.lexsort((pairs["s"], pairs["g"]))
-        change = np.ones(len(order), bool)
-        change[1:] = pairs[order][1:] != pairs[order][:-1]
-        self.own = np.empty(len(order), np.int64)
-        self.own[order] = np.cumsum(change) - 1
-        self.unique = pairs[order[change]]  # sorted by gram, then stretch
+        self.first, self.last, self.gram = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(3))
         # of documents with one id, none is earlier than another
         same = [i > 0 and ids[i] == ids[i - 1] for i in range(len(ids))]
         self.rank = np.cumsum(~np.array(same, bool)) - 1 if ids else np.empty(0, np.int64)
-
-    def local(self) -> np.ndarray:
-        return _repeated(self.own, self.unique, self.rank[self.doc]) if len(self.own) else np.zeros(0, bool)
-
-    def windows(self, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """doc, place and key of each window of the stretches ask."""
-        chosen = np.flatnonzero(ask)
-        size = self.last[chosen] - self.first[chosen] + 1
-        doc = np.repeat(self.doc[chosen], size)
-        place = np.repeat(self.first[chosen], size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-        keys = np.empty(len(doc), np.uint64)
-        edges = np.searchsorted(doc, np.arange(len(self.texts) + 1))
-        for d in np.unique(doc):
-            part = slice(edges[d], edges[d + 1])
-            keys[part] = _mixed(self.texts[d].between(place[part], place[part] + SPAN))
-        return doc, place, keys
+        self.grams, self.own = np.unique(self.gram, return_inverse=True) if len(self.gram) else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    def gram_counts(self) -> np.ndarray:
+        """Of each different gram, twice the number of its stretches, and 1 more if two documents here have it."""
+        n = np.bincount(self.own, minlength=len(self.grams))
+        ranks = self.rank[self.doc] if len(self.doc) else self.doc
+        low, high = np.full(len(self.grams), 2**62), np.full(len(self.grams), -1)
+        np.minimum.at(low, self.own, ranks)
+        np.maximum.at(high, self.own, ranks)
+        return (2 * np.minimum(n, 2**30) + (low < high)).astype(np.uint32)
+
+    def asked(self, shared: np.ndarray, hot: np.ndarray, n: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Different pieces of text to ask about, in the order they come in: their bytes, tasks and first documents' ranks; of each place of each: which, document, first window."""
+        known: dict[bytes, int] = {}
+        pieces: list[bytes] = []
+        tasks: list[int] = []
+        ranks: list[int] = []
+        which, docs, firsts = [], [], []
+        gram_tasks = _tasks(self.grams, n).tolist()
+        chosen = np.flatnonzero((shared | hot)[self.own]) if len(self.own) else np.empty(0, np.int64)
+        split = hot[self.own[chosen]]
+        rank = self.rank.tolist()
+        for d, f, e, g, each in zip(self.doc[chosen].tolist(), self.first[chosen].tolist(), (self.last[chosen] + SPAN).tolist(), self.own[chosen].tolist(), split.tolist(), strict=True):
+            data = self.data[d]
+            for start, end in ((i, i + SPAN) for i in range(f, e - SPAN + 1)) if each else ((f, e),):
+                piece = data[start:end]
+                at = known.get(piece)
+                if at is None:
+                    at = known[piece] = len(pieces)
+                    pieces.append(piece)
+                    tasks.append(-1 if each else gram_tasks[g])
+                    ranks.append(rank[d])
+                which.append(at)
+                docs.append(d)
+                firsts.append(start)
+        dealt = np.array(tasks, np.int64)
+        alone = np.flatnonzero(dealt < 0)
+        if len(alone):
+            windows = np.frombuffer(b"".join([pieces[i] for i in alone.tolist()]), np.uint8).reshape(-1, SPAN)
+            dealt[alone] = _tasks(_mixed((_VALUES[windows] * _kept["up"][:SPAN]).sum(1, dtype=np.uint64)), n)
+        return pieces, dealt, np.array(ranks, np.int64), np.array(which, np.int64), np.array(docs, np.int64), np.array(firsts, np.int64)
 
 
 class Family:
-    """Sorted arrays of distinct keys; a level merges with the next while that is not larger."""
+    """Levels of sorted different suffixes, each of `span` bytes; a level merges with the next while that is not larger."""
 
     def __init__(self) -> None:
         self.levels: list[np.ndarray] = []
 
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        """Merge scan of sorted keys against each level."""
-        found = np.zeros(len(keys), bool)
+    def holds(self, batch: np.ndarray) -> np.ndarray:
+        """Merge scan of a sorted batch of different suffixes against each level."""
+        found = np.zeros(len(batch), bool)
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
-            found |= level[at] == keys
+            both = np.concatenate((level, batch))
+            order = np.argsort(both, kind="stable")  # two sorted runs are merged; of equal ones, the level's comes first
+            merged = both[order]
+            found[order[1:][merged[1:] == merged[:-1]] - len(level)] = True
         return found
 
-    def add(self, keys: np.ndarray) -> None:
-        """Sorted keys, none of which is held."""
-        if not len(keys):
+    def add(self, batch: np.ndarray) -> None:
+        """A sorted batch of different suffixes, none of which is held."""
+        if not len(batch):
             return
-        while self.levels and len(self.levels[-1]) <= len(keys):
-            keys = np.sort(np.concatenate((self.levels.pop(), keys)), kind="stable")  # two sorted runs: one merge
-        self.levels.append(keys)
-
-
-def _tasks(keys: np.ndarray, n: int) -> np.ndarray:
-    """Task numbers for sorted keys, in ascending order: ranges of the key."""
-    return (keys >> np.uint64(32)).astype(np.int64) * n >> 32
-
-
-def _asked(keys: np.ndarray, more: np.ndarray | None, n: int) -> Iterator[tuple[int, bytes]]:
-    edges = np.searchsorted(_tasks(keys, n), np.arange(n + 1))
-    for task in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-        part = slice(edges[task], edges[task + 1])
-        yield task, keys[part].tobytes() + (more[part].tobytes() if more is not None else b"")
-
-
-def _bits(answers: list[tuple[int, bytes]], keys: np.ndarray, n: int, each: int) -> list[np.ndarray]:
-    """each bool arrays over keys, from the tasks' packed answers."""
-    out = [np.zeros(len(keys), bool) for _ in range(each)]
-    edges = np.searchsorted(_tasks(keys, n), np.arange(n + 1))
-    for task, packed in answers:
-        size = edges[task + 1] - edges[task]
-        bits = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-        for i in range(each):
-            out[i][edges[task] : edges[task + 1]] = bits[i * size : (i + 1) * size]
-    return out
-
-
-ASKED = "task long, chunk long, keys binary"
+        while self.levels and len(self.levels[-1]) <= len(batch):
+            batch = np.sort(np.concatenate((self.levels.pop(), batch)), kind="stable")  # two sorted runs: one merge
+        self.levels.append(batch)
+
+
+def suffixes(pieces: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first SPAN bytes of each suffix that has as many, of pieces one after the other (uint8), and the piece of each."""
+    windows = sizes - SPAN + 1
+    of = np.repeat(np.arange(len(sizes)), windows)
+    starts = np.cumsum(sizes) - sizes
+    place = starts[of] + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+    return np.ascontiguousarray(sliding_window_view(pieces, SPAN)[place]).view(f"S{SPAN}").ravel(), of
+
+
+def batch_array(strings: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix array of a batch: the different suffixes in order, which of them each string is, and whether a smaller doc has it too."""
+    by_doc = np.argsort(docs, kind="stable")
+    order = by_doc[np.argsort(strings[by_doc], kind="stable")]
+    ordered = strings[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], which, docs > docs[order[new]][which]
+
+
+COUNTED = "task long, chunk long, grams binary"
+ASKED = "task long, chunk long, sizes binary, ranks binary, bytes binary"
 ANSWER = "chunk long, task long, bits binary"
 
 
-def _answers(asked: DataFrame, grams: bool) -> DataFrame:
-    """Each task's chunks in order through its family. Bits: key seen in an earlier chunk; and with grams: its gram has other keys."""
+def _gram_answers(counted: DataFrame) -> DataFrame:
+    """For each gram of each chunk, in their order, two bits: another document has it; it has too many stretches for one task."""
+    most = HOT
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, counts, ends = [], [], []
+        for blob in table["grams"]:
+            data = np.frombuffer(blob.as_py(), np.uint8)
+            n = len(data) // 12
+            keys.append(data[: 8 * n].view(np.uint64))
+            counts.append(data[8 * n :].view(np.uint32))
+            ends.append(n)
+        own, which = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.concatenate(counts)
+        several = np.bincount(which, 1 + (count & 1), len(own)) > 1
+        hot = (several & (np.bincount(which, count >> 1, len(own)) > most))[which]
+        several = several[which]
+        edges = np.cumsum([0, *ends])
+        bits = [np.packbits(np.concatenate((several[a:b], hot[a:b]))).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table({"chunk": table["chunk"], "task": table["task"], "bits": pa.array(bits, pa.binary())})
+
+    return counted.groupBy("task").applyInArrow(run, ANSWER)
+
+
+def _family_answers(asked: DataFrame) -> DataFrame:
+    """Each task's chunks in order through its family. For each piece's windows in their order a bit: an earlier document has it."""
+    least, parts = BATCH_WINDOWS, BATCHES
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
-        family, chunks, task = Family(), table["chunk"].to_pylist(), table["task"][0].as_py()
-        bits: list[np.ndarray] = []
-        every = []
-        for blob in table["keys"]:
-            data = np.frombuffer(blob.as_py(), np.uint64)
-            if grams:
-                gram, key = data.reshape(2, -1)
-                order = np.argsort(key, kind="stable")
-                seen = np.empty(len(key), bool)
-                seen[order] = family.holds(key[order])
-                family.add(np.sort(key[~seen]))
-                every.append((gram[~seen], key[~seen]))
-            else:
-                seen = family.holds(data)
-                family.add(data[~seen])
-            bits.append(seen)
-        if grams:
-            gram = np.sort(np.concatenate([g for g, _ in every]))
-            shared = np.unique(gram[1:][gram[1:] == gram[:-1]])  # grams with two stretches or more
-            for i, blob in enumerate(table["keys"]):
-                gram = np.frombuffer(blob.as_py(), np.uint64).reshape(2, -1)[0]
-                at = np.minimum(np.searchsorted(shared, gram), max(len(shared) - 1, 0))
-                bits[i] = np.concatenate((bits[i], shared[at] == gram if len(shared) else np.zeros(len(gram), bool)))
-        return pa.table({"chunk": chunks, "task": [task] * len(chunks), "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
+        sizes = [np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in table["sizes"]]
+        windows = [int((x - SPAN + 1).sum()) for x in sizes]
+        batch = max(least, sum(windows) // parts)
+        family, bits, at = Family(), [], 0
+        while at < table.num_rows:
+            end, n = at, 0
+            while end < table.num_rows and (end == at or n < batch):
+                n += windows[end]
+                end += 1
+            rows = table.slice(at, end - at)
+            ranks = [np.frombuffer(x.as_py(), np.uint32).astype(np.int64) + (i << 32) for i, x in enumerate(rows["ranks"])]
+            strings, of = suffixes(np.frombuffer(b"".join(x.as_py() for x in rows["bytes"]), np.uint8), np.concatenate(sizes[at:end]))
+            different, which, repeated = batch_array(strings, np.concatenate(ranks)[of])
+            found = family.holds(different)
+            family.add(different[~found])
+            repeated |= found[which]
+            edges = np.cumsum([0, *windows[at:end]])
+            bits += [np.packbits(repeated[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            at = end
+        return pa.table({"chunk": table["chunk"], "task": table["task"], "bits": pa.array(bits, pa.binary())})
 
     return asked.groupBy("task").applyInArrow(run, ANSWER)
 
@@ -233,8 +269,15 @@ def _chunk(table: pa.Table) -> Chunk:
     return Chunk([r[0] for r in rows], [(r[1].as_py() or "").encode("utf-8", "surrogatepass") for r in rows])
 
 
-def _by_task(table: pa.Table) -> list[tuple[int, bytes]]:
-    return list(zip(table["task"].to_pylist(), table["bits"].to_pylist(), strict=True))
+def _by_task(answers: pa.Table) -> list[tuple[int, np.ndarray]]:
+    return [(t, np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool)) for t, b in zip(answers["task"].to_pylist(), answers["bits"].to_pylist(), strict=True)]
+
+
+def _dealt(tasks: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each task with the places of what goes to it, in order."""
+    order = np.argsort(tasks, kind="stable")
+    edges = np.flatnonzero(np.diff(tasks[order], prepend=-1, append=-1)) if len(order) else np.empty(0, np.int64)
+    return [(int(tasks[order[a]]), order[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
 def removed_bytes(docs: DataFrame, with_kept: bool = False) -> DataFrame:
@@ -243,36 +286,43 @@ def removed_bytes(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     A null text counts as empty. Null doc_ids come after all others. Rows with one doc_id are one document for each other: none is
     earlier. Texts shorter than 50 bytes lose nothing. An empty table gives no rows; columns besides doc_id and text are ignored.
     """
-    width = id_width(docs, "doc_id", CHUNK_DOCS)
-    number = F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(2**62))
-    rows = docs.select(number.alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
+    rows = with_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", size, CHUNK_BYTES)
+    rows = rows.select(F.when(F.col("bucket") == NULLS, -NULLS).otherwise(F.col("bucket")).alias("chunk"), "doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(16, -(-total // TASK_BYTES))
+    n = max(64, -(-total // TASK_BYTES))
 
-    def ask(table: pa.Table) -> pa.Table:
+    def count(table: pa.Table) -> pa.Table:
         chunk = _chunk(table)
-        asked = list(_asked(chunk.unique["g"], chunk.unique["s"], n))
-        return pa.table({"task": pa.array([a[0] for a in asked], pa.int64()), "chunk": pa.array([table["chunk"][0].as_py()] * len(asked), pa.int64()), "keys": pa.array([a[1] for a in asked], pa.binary())})
-
-    first = saved(_answers(rows.groupBy("chunk").applyInArrow(ask, ASKED), True), "repeats-stretches")
-
-    def open_windows(chunk: Chunk, answers: pa.Table) -> tuple[np.ndarray, ...]:
-        seen, shared = (b[chunk.own] for b in _bits(_by_task(answers), chunk.unique["g"], n, 2))
-        gone = seen | chunk.local()
-        doc, place, keys = chunk.windows(shared & ~gone)
-        unique, own = np.unique(keys, return_inverse=True)
-        return gone, doc, place, unique, own
-
-    def ask_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({"task": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "keys": pa.array([], pa.binary())})
-        unique = open_windows(_chunk(table), answers)[3]
-        asked = list(_asked(unique, None, n))
-        return pa.table({"task": pa.array([a[0] for a in asked], pa.int64()), "chunk": pa.array([table["chunk"][0].as_py()] * len(asked), pa.int64()), "keys": pa.array([a[1] for a in asked], pa.binary())})
-
-    asked = rows.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(ask_windows, ASKED)
-    second = saved(_answers(asked, False), "repeats-windows")
-    both = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
+        counts = chunk.gram_counts()
+        parts = [(t, chunk.grams[at].tobytes() + counts[at].tobytes()) for t, at in _dealt(_tasks(chunk.grams, n))]
+        return pa.table({"task": pa.array([p[0] for p in parts], pa.int64()), "chunk": pa.array([table["chunk"][0].as_py()] * len(parts), pa.int64()), "grams": pa.array([p[1] for p in parts], pa.binary())})
+
+    counted = _gram_answers(rows.groupBy("chunk").applyInArrow(count, COUNTED))
+    grams = saved(counted, "repeats-grams")
+
+    def to_ask(chunk: Chunk, answers: pa.Table) -> tuple:
+        shared, hot = (np.zeros(len(chunk.grams), bool) for _ in range(2))
+        places = dict(_dealt(_tasks(chunk.grams, n)))
+        for task, bits in _by_task(answers):
+            at = places[task]
+            shared[at], hot[at] = bits[: len(at)], bits[len(at) : 2 * len(at)]
+        return chunk.asked(shared, hot, n)
+
+    def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
+        out: list[list] = [[] for _ in range(5)]
+        if table.num_rows:
+            pieces, tasks, ranks, *_ = to_ask(_chunk(table), answers)
+            for task, at in _dealt(tasks):
+                own = [pieces[i] for i in at.tolist()]
+                for column, value in zip(out, (task, table["chunk"][0].as_py(), bytes(map(len, own)), ranks[at].astype(np.uint32).tobytes(), b"".join(own)), strict=True):
+                    column.append(value)
+        types = [pa.int64()] * 2 + [pa.binary()] * 3
+        return pa.table([pa.array(v, t) for v, t in zip(out, types, strict=True)], ["task", "chunk", "sizes", "ranks", "bytes"])
+
+    asked = rows.groupBy("chunk").cogroup(grams.groupBy("chunk")).applyInArrow(ask, ASKED)
+    second = saved(_family_answers(asked), "repeats-windows")
+    both = grams.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -280,20 +330,26 @@ def removed_bytes(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         if table.num_rows:
             chunk = _chunk(table)
             of = answers["round"].to_numpy() if answers.num_rows else np.empty(0)
-            gone, doc, place, unique, own = open_windows(chunk, answers.filter(pa.array(of == 1)))
-            seen = _bits(_by_task(answers.filter(pa.array(of == 2))), unique, n, 1)[0][own] if len(own) else np.zeros(0, bool)
-            if len(own):
-                seen = seen | _repeated(own, unique, chunk.rank[doc])
-            starts = np.concatenate((chunk.first[gone], place[seen]))
-            stops = np.concatenate((chunk.last[gone] + SPAN, place[seen] + SPAN))
-            docs_of = np.concatenate((chunk.doc[gone], doc[seen]))
-            order = np.argsort(docs_of, kind="stable")
-            edges = np.searchsorted(docs_of[order], np.arange(len(chunk.ids) + 1))
+            pieces, tasks, ranks, which, docs, firsts = to_ask(chunk, answers.filter(pa.array(of == 1)))
+            windows = np.array([len(p) - SPAN + 1 for p in pieces], np.int64)
+            starts = np.cumsum(windows) - windows
+            flags = np.zeros(int(windows.sum()), bool)
+            places = dict(_dealt(tasks))
+            for task, bits in _by_task(answers.filter(pa.array(of == 2))):
+                at = places[task]
+                spread = np.repeat(starts[at], windows[at]) + np.arange(windows[at].sum()) - np.repeat(np.cumsum(windows[at]) - windows[at], windows[at])
+                flags[spread] = bits[: len(spread)]
+            # documents after the first that has a piece here repeat all of it
+            edges = np.searchsorted(docs, np.arange(len(chunk.ids) + 1))
             for d, (doc_id, data) in enumerate(zip(chunk.ids, chunk.data, strict=True)):
-                part = order[edges[d] : edges[d + 1]]
+                part = slice(edges[d], edges[d + 1])
+                own, n_own = which[part], windows[which[part]]
+                of_piece = np.arange(n_own.sum()) - np.repeat(np.cumsum(n_own) - n_own, n_own)
+                gone = flags[np.repeat(starts[own], n_own) + of_piece] | np.repeat(ranks[own] < chunk.rank[d], n_own)
+                at = (np.repeat(firsts[part], n_own) + of_piece)[gone]
                 depth = np.zeros(len(data) + 1, np.int32)
-                np.add.at(depth, starts[part], 1)
-                np.add.at(depth, stops[part], -1)
+                depth[at] += 1  # each window of a document is in one place only
+                depth[at + SPAN] -= 1
                 covered = np.cumsum(depth)[:-1] > 0
                 kept = np.frombuffer(data, np.uint8)[~covered].tobytes()
                 spans = int(np.count_nonzero(covered[1:] & ~covered[:-1]) + (len(covered) > 0 and covered[0]))

@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm import brute
 
-from ledgerloom.llm import repeats
+from ledgerloom.llm import common, repeats
 
 
 def corpus(seed: int) -> list[tuple]:
@@ -23,9 +24,11 @@ def corpus(seed: int) -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize("docs_in_chunk", [4, 256])
-def test_against_brute_force(spark, docs_in_chunk, monkeypatch):
-    monkeypatch.setattr(repeats, "CHUNK_DOCS", docs_in_chunk)
+@pytest.mark.parametrize("chunk,hot,batch", [(1500, 4096, 1), (4_000_000, 4096, 50_000), (6000, 3, 40)])
+def test_against_brute_force(spark, chunk, hot, batch, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "BATCH_WINDOWS", batch)
     rows = corpus(1)
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, chunk string")
     got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.removed_bytes(df).collect())
@@ -41,13 +44,33 @@ def test_repeated_ids_and_empty_tables(spark):
     assert repeats.removed_bytes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["hashes", "outlier", "clusters"])
+def test_ids_spread_in_any_way(spark, ids, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 2000)
+    r = random.Random(2)
+    rows = corpus(4)
+    new = {"hashes": [r.randrange(-(2**63), 2**63) for _ in rows], "outlier": [*range(len(rows) - 2), 10**12, -(2**63)], "clusters": [i % 3 * 10**15 + i // 3 for i in range(len(rows))]}[ids]
+    rows = [(i, t) for i, (_, t) in zip(new, rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.removed_bytes(df).collect())
+    assert got == brute.repeats(rows)
+    sized = common.with_ranges(df, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)), 2000).groupBy("bucket").agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).collect()
+    assert all(x["n"] <= 4000 or x["rows"] == 1 for x in sized if x["n"])
+
+
 def test_levels_double():
     family, rng = repeats.Family(), np.random.default_rng(1)
     seen: set = set()
     for _ in range(40):
-        keys = np.unique(rng.integers(0, 5000, 100, np.uint64))
-        assert family.holds(keys).tolist() == [int(k) in seen for k in keys]
-        family.add(keys[~family.holds(keys)])
-        seen |= set(keys.tolist())
+        text = rng.integers(0, 2, 90, np.uint8)
+        strings, of = repeats.suffixes(text, np.array([len(text)]))
+        assert strings.tolist() == [bytes(text[i : i + 50]).rstrip(b"\0") for i in range(41)] and not of.any()
+        different, which, repeated = repeats.batch_array(np.concatenate((strings, strings)), np.repeat([3, 5], 41))
+        assert (different[which] == np.concatenate((strings, strings))).all() and repeated.tolist() == [False] * 41 + [True] * 41
+        found = family.holds(different)
+        assert found.tolist() == [bytes(x) in seen for x in different]
+        family.add(different[~found])
+        seen |= {bytes(x) for x in different}
         sizes = [len(x) for x in family.levels]
         assert all(a > b for a, b in zip(sizes, sizes[1:])) and sum(sizes) == len(seen)
+        assert all((np.sort(x) == x).all() for x in family.levels)
