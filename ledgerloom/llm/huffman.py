@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, forgotten, saved
-from .tokens import encoder
+from .tokens import Encoder, encoder
 
 STRIDE = 256
 LONGEST = 20
@@ -165,13 +165,13 @@ def read_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if x else int(d) for d, x in zip(rows["doc"], rows["null"], strict=True)], rows["n"].astype(np.int64), ids
 
 
-def encoded_once(docs: DataFrame, make: Callable[[], Callable[[str], np.ndarray]], end: int = END) -> DataFrame:
+def encoded_once(docs: DataFrame, make: Callable[[], Encoder], end: int = END) -> DataFrame:
     """(doc_id, wide, ids) of docs' (doc_id, text), saved: little-endian ids with the end id, of two bytes each, or of four where wide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make()
         for batch in batches:
-            own = [np.append(encode(text.as_py() or ""), np.uint32(end)) for text in batch.column(1)]
+            own = [np.append(ids, np.uint32(end)) for ids in encode.batch(batch.column(1))]
             wide = [int(x.max()) > 0xFFFF for x in own]
             ids = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(own, wide, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.bool_()), pa.array(ids, pa.binary())], ["doc_id", "wide", "ids"])
@@ -202,7 +202,7 @@ def id_counts(rows: DataFrame, end: int = END) -> np.ndarray:
     return counts
 
 
-def write_files(docs: DataFrame, make: Callable[[], Callable[[str], np.ndarray]], end: int = END, longest: int = LONGEST) -> DataFrame:
+def write_files(docs: DataFrame, make: Callable[[], Encoder], end: int = END, longest: int = LONGEST) -> DataFrame:
     """(file, content): files in ascending doc_id order, saved. docs: doc_id, text; null texts count as empty, null doc_ids come last.
 
     Each text is encoded once; its ids are counted and coded from where they are saved. Documents are dealt by ranges of doc_id that

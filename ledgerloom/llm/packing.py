@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, saved
-from .tokens import encoder
+from .tokens import Encoder, encoder
 
 CAPACITY = 1024
 END = 2
@@ -99,19 +99,19 @@ def located(table: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray)
     return table["sequence"][at] + n // table["each"][at], table["offset"][at] + n % table["each"][at] * length
 
 
-def pieces(docs: DataFrame, make: Callable[[], Callable[[str], np.ndarray]], capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, make: Callable[[], Encoder], capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of docs' (doc_id, text), each text's ids followed by end.
 
     Only a document of more than capacity ids is cut, into pieces of capacity; the first piece may be shorter. A null text counts as
-    empty and so has just the end id. make: called once in a task, gives the function from a text to its ids.
+    empty and so has just the end id. make: called in each task, gives what encodes texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end)).astype("<u4")
+            for doc, ids in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1)), strict=True):
+                ids = np.append(ids, np.uint32(end)).astype("<u4")
                 start = 0
                 stop = len(ids) % capacity or capacity
                 n = 0

@@ -32,7 +32,7 @@ SPAN = 50
 GRAM = 20
 #: Bytes of text of a chunk, about (a longer document is a chunk of its own), and of those whose windows one task may get.
 CHUNK_BYTES = 4_000_000
-TASK_BYTES = 4_000_000
+TASK_BYTES = 2_000_000
 #: Windows of a batch, at least, and the part of a task's windows that makes one.
 BATCH_WINDOWS = 50_000
 BATCHES = 8

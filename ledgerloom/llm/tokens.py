@@ -10,22 +10,26 @@ from array import array
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces kept by each worker in either of two memories. When the newer is full, it becomes the older, and what the older held is gone
 #: unless it has been used meanwhile.
 KEPT_PIECES = 350_000
 #: White space to Python but not to the tokenizers' patterns, or the other way round: such texts are encoded whole.
-UNSURE = re.compile("[\x1c-\x1f\x85]")
+UNSURE = "[\\x1c-\\x1f\\x{85}]"
 DOUBLE = re.compile(r"\s\s")
 PIECE = re.compile(r"\s*\S+|\s+")
-#: Between a letter or digit and a full stop or comma that ends a word, only after characters that normalise to a single one of their kind.
-SENTENCE_END = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,]\s)")
+#: A full stop or comma that ends a word, only after characters that normalise to a single one of their kind.
+SENTENCE_END, APART = r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,]\s)", r"\1 \2"
 #: Pieces whose characters normalise each by itself, without the apostrophe, with which contractions begin.
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
 #: Parts of a plain piece in lower case.
 PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: No UTF-8 text has this byte: it stands for the end of a word.
 WORD_END = b"\xff"
+#: Bytes of text whose words are looked up together.
+BATCH_BYTES = 8_000_000
 
 
 class _Kept(dict):
@@ -35,9 +39,9 @@ class _Kept(dict):
         super().__init__()
         self.encode, self.older = encode, {}
 
-    def joined(self, pieces: list[str]) -> bytes:
+    def each(self, pieces: list[str]) -> list[bytes]:
         try:
-            return b"".join([self[p] for p in pieces])
+            return [self[p] for p in pieces]
         except KeyError:
             pass
         if len(self) > KEPT_PIECES:
@@ -52,7 +56,7 @@ class _Kept(dict):
                 self[p] = ids
         if new:
             self.update(zip(new, self.encode(new), strict=True))
-        return b"".join([self[p] for p in pieces])
+        return [self[p] for p in pieces]
 
 
 def _letters() -> dict[str, int]:
@@ -96,11 +100,8 @@ def _word_ranks(file: dict) -> dict[bytes, int] | None:
     return ranks if len(ranks) == len(vocabulary) else None
 
 
-@functools.lru_cache(maxsize=4)
-def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """A function from a text to its ids (uint32): those of the tokenizers library with add_special_tokens=False for the whole text.
-
-    Made once in a worker process, so that what it has encoded serves its later tasks too.
+class Encoder:
+    """Texts to ids (uint32): those of the tokenizers library with add_special_tokens=False for the whole text.
 
     Neither of the patterns that split a text before its merges matches over the end of a word and what follows: a white-space
     character after a character that is none always begins a new match. Texts are cut there, and different pieces are encoded once.
@@ -108,54 +109,98 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     Pieces of a plain byte-level BPE, and plain pieces of a lower-case one with word ends, go through its merge ranks, which give the same
     ids in a fraction of the time; special tokens' strings, all other pieces and any other tokenizer go through the tokenizers library.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for a task
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    with open(path, encoding="utf-8") as f:
-        file = json.load(f)
-
-    def whole(texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    byte_ranks, word_ranks = _byte_ranks(file), _word_ranks(file)
-    spaces_count = "Removed" not in json.dumps(file["pre_tokenizer"])
-    pieces_ids = whole
-    if byte_ranks:
-        import public_tokenizers
-        import tiktoken
-
-        plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_ranks, special_tokens={}).encode_ordinary
-
-        def pieces_ids(texts: list[str]) -> list[bytes]:
-            return [array("I", plain(x)).tobytes() for x in texts]
-    elif word_ranks:
-        import tiktoken
-
-        single = tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=word_ranks, special_tokens={})._core_bpe.encode_single_piece
-
-        def pieces_ids(texts: list[str]) -> list[bytes]:
-            out = [array("I", [i for p in PARTS.findall(x.lower()) for i in single(p.encode() + WORD_END)]).tobytes() if PLAIN.fullmatch(x) else None for x in texts]
-            rest = iter(whole([x for x, ids in zip(texts, out, strict=True) if ids is None]))
-            return [next(rest) if ids is None else ids for ids in out]
-
-    kept = _Kept(pieces_ids)
-
-    def ids(text: str) -> np.ndarray:
-        if UNSURE.search(text) or any(s in text for s in special):
-            return np.frombuffer(whole([text])[0], np.uint32)
-        if not spaces_count:
-            if text.isascii():
-                text = text.lower()
-            pieces = SENTENCE_END.sub(" ", text).split()
-        elif DOUBLE.search(text):
-            pieces = PIECE.findall(text)
-        else:
-            first, *rest = text.split(" ")
-            pieces = [*map(" ".__add__, rest)]
-            if first:
-                pieces.insert(0, first)
-        return np.frombuffer(kept.joined(pieces), np.uint32)
-
-    return ids
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for a task
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        byte_ranks, word_ranks = _byte_ranks(file), _word_ranks(file)
+        self.spaces_count = "Removed" not in json.dumps(file["pre_tokenizer"])
+        pieces_ids = self.whole
+        if byte_ranks:
+            import public_tokenizers
+            import tiktoken
+
+            plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_ranks, special_tokens={}).encode_ordinary
+
+            def pieces_ids(texts: list[str]) -> list[bytes]:
+                return [array("I", plain(x)).tobytes() for x in texts]
+        elif word_ranks:
+            import tiktoken
+
+            single = tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=word_ranks, special_tokens={})._core_bpe.encode_single_piece
+
+            def piece(x: str) -> bytes | None:
+                if x.isascii() and x.isalpha():
+                    return array("I", single(x.lower().encode() + WORD_END)).tobytes()
+                if PLAIN.fullmatch(x):
+                    return array("I", [i for p in PARTS.findall(x.lower()) for i in single(p.encode() + WORD_END)]).tobytes()
+                return None
+
+            def pieces_ids(texts: list[str]) -> list[bytes]:
+                out = [piece(x) for x in texts]
+                rest = iter(self.whole([x for x, ids in zip(texts, out, strict=True) if ids is None]))
+                return [next(rest) if ids is None else ids for ids in out]
+
+        self.kept = _Kept(pieces_ids)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.batch(pa.array([text], pa.string()))[0]
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null counts as empty."""
+        texts = pc.coalesce(texts, "")
+        odd = pc.match_substring_regex(texts, UNSURE)
+        for special in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, special))
+        if pc.any(odd).as_py():
+            alone = iter(self.whole(texts.filter(odd).to_pylist()))
+            rest = iter(self._batch(texts.filter(pc.invert(odd))))
+            return [np.frombuffer(next(alone), np.uint32) if x else next(rest) for x in odd.to_pylist()]
+        return self._batch(texts)
+
+    def _batch(self, texts: pa.Array) -> list[np.ndarray]:
+        if self.spaces_count:
+            return [np.frombuffer(b"".join(self.kept.each(_pieces(text))), np.uint32) for text in texts.to_pylist()]
+        out: list[np.ndarray] = []
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        cuts = np.searchsorted(ends, np.arange(BATCH_BYTES, ends[-1] if len(ends) else 0, BATCH_BYTES))
+        for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+            out += self._words(texts.slice(a, b - a))
+        return out
+
+    def _words(self, texts: pa.Array) -> list[np.ndarray]:
+        """Different words of all texts are found and encoded first; then their ids are put in the words' places."""
+        texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+        words = pc.utf8_split_whitespace(pc.replace_substring_regex(texts, SENTENCE_END, APART))
+        coded = words.flatten().dictionary_encode()
+        own = self.kept.each(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) >> 2
+        ids = np.frombuffer(b"".join(own), np.uint32)
+        which = coded.indices.to_numpy()
+        n = sizes[which]
+        ends = np.cumsum(n)
+        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - n), n) + np.arange(len(n) and ends[-1])]
+        edges = np.append(0, ends)[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def _pieces(text: str) -> list[str]:
+    """A text cut before the white space that follows a word."""
+    if DOUBLE.search(text):
+        return PIECE.findall(text)
+    first, *rest = text.split(" ")
+    return [first] * bool(first) + [*map(" ".__add__, rest)]
+
+
+@functools.lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    """Made once in a worker process, so that what it has encoded serves its later tasks too."""
+    return Encoder(path)
