@@ -32,7 +32,7 @@ SPAN = 50
 GRAM = 20
 #: Bytes of text of a chunk, about (a longer document is a chunk of its own), and of those whose windows one task may get.
 CHUNK_BYTES = 4_000_000
-TASK_BYTES = 2_000_000
+TASK_BYTES = 4_000_000
 #: Windows of a batch, at least, and the part of a task's windows that makes one.
 BATCH_WINDOWS = 50_000
 BATCHES = 8
@@ -97,7 +97,7 @@ def stretches(text: Text, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarra
         have += step
     first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
     last = np.concatenate((first[1:] - 1, [len(at) - 1]))
-    return first, last, order[at[first]]
+    return first, last, _mixed(order[at[first]])  # mixed again: the smallest hashes are not evenly spread
 
 
 def _tasks(keys: np.ndarray, n: int) -> np.ndarray:
