@@ -8,6 +8,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,14 @@ PIECE = re.compile(r"\s*\S+|\s+")
 SENTENCE_END, APART = r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,]\s)", r"\1 \2"
 #: Pieces whose characters normalise each by itself, without the apostrophe, with which contractions begin.
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+#: Words of letters that normalise each by itself.
+WORD = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 #: Parts of a plain piece in lower case.
 PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: No UTF-8 text has this byte: it stands for the end of a word.
 WORD_END = b"\xff"
 #: Bytes of text whose words are looked up together.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 16_000_000
 
 
 class _Kept(dict):
@@ -120,7 +123,7 @@ class Encoder:
             file = json.load(f)
         byte_ranks, word_ranks = _byte_ranks(file), _word_ranks(file)
         self.spaces_count = "Removed" not in json.dumps(file["pre_tokenizer"])
-        pieces_ids = self.whole
+        pieces_ids, self.single = self.whole, None
         if byte_ranks:
             import public_tokenizers
             import tiktoken
@@ -132,17 +135,10 @@ class Encoder:
         elif word_ranks:
             import tiktoken
 
-            single = tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=word_ranks, special_tokens={})._core_bpe.encode_single_piece
-
-            def piece(x: str) -> bytes | None:
-                if x.isascii() and x.isalpha():
-                    return array("I", single(x.lower().encode() + WORD_END)).tobytes()
-                if PLAIN.fullmatch(x):
-                    return array("I", [i for p in PARTS.findall(x.lower()) for i in single(p.encode() + WORD_END)]).tobytes()
-                return None
+            single = self.single = tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=word_ranks, special_tokens={})._core_bpe.encode_single_piece
 
             def pieces_ids(texts: list[str]) -> list[bytes]:
-                out = [piece(x) for x in texts]
+                out = [array("I", [i for p in PARTS.findall(x.lower()) for i in single(p.encode() + WORD_END)]).tobytes() if PLAIN.fullmatch(x) else None for x in texts]
                 rest = iter(self.whole([x for x, ids in zip(texts, out, strict=True) if ids is None]))
                 return [next(rest) if ids is None else ids for ids in out]
 
@@ -181,16 +177,30 @@ class Encoder:
         texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
         words = pc.utf8_split_whitespace(pc.replace_substring_regex(texts, SENTENCE_END, APART))
         coded = words.flatten().dictionary_encode()
-        own = self.kept.each(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) >> 2
-        ids = np.frombuffer(b"".join(own), np.uint32)
+        sizes, starts, ids = self._different(coded.dictionary)
         which = coded.indices.to_numpy()
         n = sizes[which]
         ends = np.cumsum(n)
-        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - n), n) + np.arange(len(n) and ends[-1])]
+        ids = ids[np.repeat(starts[which] - (ends - n), n) + np.arange(len(n) and ends[-1])]
         edges = np.append(0, ends)[words.offsets.to_numpy() - words.offsets[0].as_py()]
         return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
+    def _different(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word how many ids it has and where they start, and all ids."""
+        plain = pc.match_substring_regex(words, WORD) if self.single else pa.array(np.zeros(len(words), bool))
+        other = self.kept.each(words.filter(pc.invert(plain)).to_pylist())
+        # words of letters are so quickly encoded that keeping them costs more
+        lists = [self.single(w.encode() + WORD_END) for w in pc.utf8_lower(words.filter(plain)).to_pylist()]
+        own = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.concatenate((np.fromiter(chain.from_iterable(lists), np.uint32, int(own.sum())), np.frombuffer(b"".join(other), np.uint32)))
+        sizes = np.empty(len(words), np.int64)
+        sizes[(mask := plain.to_numpy(zero_copy_only=False))] = own
+        sizes[~mask] = np.fromiter(map(len, other), np.int64, len(other)) >> 2
+        order = np.concatenate((np.flatnonzero(mask), np.flatnonzero(~mask)))
+        starts = np.empty(len(words), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return sizes, starts, ids
+
 
 def _pieces(text: str) -> list[str]:
     """A text cut before the white space that follows a word."""
