@@ -19,20 +19,20 @@ import pyarrow.compute as pc
 KEPT_PIECES = 350_000
 #: White space to Python but not to the tokenizers' patterns, or the other way round: such texts are encoded whole.
 UNSURE = "[\\x1c-\\x1f\\x{85}]"
-DOUBLE = re.compile(r"\s\s")
+DOUBLE = "[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]{2}|\\x00"
 PIECE = re.compile(r"\s*\S+|\s+")
 #: A full stop or comma that ends a word, only after characters that normalise to a single one of their kind.
 SENTENCE_END, APART = r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,]\s)", r"\1 \2"
 #: Pieces whose characters normalise each by itself, without the apostrophe, with which contractions begin.
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
-#: Words of letters that normalise each by itself.
-WORD = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+#: Where a match ends before what follows, if white space stands alone: texts are cut there.
+CUTS = [(r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])", "\\1\0\\2"), ("\n", "\0\n\0"), (" ", "\0 ")]
 #: Parts of a plain piece in lower case.
 PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: No UTF-8 text has this byte: it stands for the end of a word.
 WORD_END = b"\xff"
 #: Bytes of text whose words are looked up together.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 8_000_000
 
 
 class _Kept(dict):
@@ -128,13 +128,15 @@ class Encoder:
             import public_tokenizers
             import tiktoken
 
-            plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_ranks, special_tokens={}).encode_ordinary
+            plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_ranks, special_tokens={})
+            self.single, self.word, self.end = plain._core_bpe.encode_single_piece, "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$", b""
 
             def pieces_ids(texts: list[str]) -> list[bytes]:
-                return [array("I", plain(x)).tobytes() for x in texts]
+                return [array("I", plain.encode_ordinary(x)).tobytes() for x in texts]
         elif word_ranks:
             import tiktoken
 
+            self.word, self.end = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", WORD_END
             single = self.single = tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=word_ranks, special_tokens={})._core_bpe.encode_single_piece
 
             def pieces_ids(texts: list[str]) -> list[bytes]:
@@ -164,7 +166,11 @@ class Encoder:
 
     def _batch(self, texts: pa.Array) -> list[np.ndarray]:
         if self.spaces_count:
-            return [np.frombuffer(b"".join(self.kept.each(_pieces(text))), np.uint32) for text in texts.to_pylist()]
+            slow = pc.match_substring_regex(texts, DOUBLE) if self.single else pa.array(np.ones(len(texts), bool))
+            if pc.any(slow).as_py():
+                alone = (np.frombuffer(b"".join(self.kept.each(PIECE.findall(x))), np.uint32) for x in texts.filter(slow).to_pylist())
+                rest = iter(self._batch(texts.filter(pc.invert(slow)))) if self.single else iter(())
+                return [next(alone) if x else next(rest) for x in slow.to_pylist()]
         out: list[np.ndarray] = []
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         cuts = np.searchsorted(ends, np.arange(BATCH_BYTES, ends[-1] if len(ends) else 0, BATCH_BYTES))
@@ -172,10 +178,18 @@ class Encoder:
             out += self._words(texts.slice(a, b - a))
         return out
 
+    def _cut(self, texts: pa.Array) -> pa.Array:
+        """Lists of pieces that can be encoded each by itself."""
+        if self.spaces_count:
+            for what, by in CUTS:
+                texts = (pc.replace_substring_regex if "(" in what else pc.replace_substring)(texts, what, by)
+            return pc.split_pattern(texts, "\0")
+        texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+        return pc.utf8_split_whitespace(pc.replace_substring_regex(texts, SENTENCE_END, APART))
+
     def _words(self, texts: pa.Array) -> list[np.ndarray]:
         """Different words of all texts are found and encoded first; then their ids are put in the words' places."""
-        texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
-        words = pc.utf8_split_whitespace(pc.replace_substring_regex(texts, SENTENCE_END, APART))
+        words = self._cut(texts)
         coded = words.flatten().dictionary_encode()
         sizes, starts, ids = self._different(coded.dictionary)
         which = coded.indices.to_numpy()
@@ -187,10 +201,11 @@ class Encoder:
 
     def _different(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each word how many ids it has and where they start, and all ids."""
-        plain = pc.match_substring_regex(words, WORD) if self.single else pa.array(np.zeros(len(words), bool))
+        plain = pc.match_substring_regex(words, self.word) if self.single else pa.array(np.zeros(len(words), bool))
         other = self.kept.each(words.filter(pc.invert(plain)).to_pylist())
         # words of letters are so quickly encoded that keeping them costs more
-        lists = [self.single(w.encode() + WORD_END) for w in pc.utf8_lower(words.filter(plain)).to_pylist()]
+        simple = words.filter(plain) if self.spaces_count else pc.utf8_lower(words.filter(plain))
+        lists = [self.single(w.encode() + self.end) for w in simple.to_pylist()]
         own = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = np.concatenate((np.fromiter(chain.from_iterable(lists), np.uint32, int(own.sum())), np.frombuffer(b"".join(other), np.uint32)))
         sizes = np.empty(len(words), np.int64)
@@ -202,14 +217,6 @@ class Encoder:
         return sizes, starts, ids
 
 
-def _pieces(text: str) -> list[str]:
-    """A text cut before the white space that follows a word."""
-    if DOUBLE.search(text):
-        return PIECE.findall(text)
-    first, *rest = text.split(" ")
-    return [first] * bool(first) + [*map(" ".__add__, rest)]
-
-
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """Made once in a worker process, so that what it has encoded serves its later tasks too."""
