@@ -240,24 +240,41 @@ def _family_answers(asked: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
-        sizes = [np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in table["sizes"]]
-        windows = [int((x - SPAN + 1).sum()) for x in sizes]
+        # a piece that an earlier chunk has as a whole is repeated throughout; suffixes of the others only go through the family
+        known: set[bytes] = set()
+        sizes, whole, pieces, ranks = [], [], [], []
+        for i, (size, rank, text) in enumerate(zip(table["sizes"], table["ranks"], table["bytes"], strict=True)):
+            own, data = np.frombuffer(size.as_py(), np.uint8).astype(np.int64), text.as_py()
+            ends = np.cumsum(own).tolist()
+            cut = [data[a:b] for a, b in zip([0, *ends], ends)]
+            seen = np.fromiter(map(known.__contains__, cut), bool, len(cut))
+            new = [p for p, s in zip(cut, seen.tolist(), strict=True) if not s]
+            known.update(new)
+            sizes.append(own)
+            whole.append(seen)
+            pieces.append(b"".join(new))
+            ranks.append(np.frombuffer(rank.as_py(), np.uint32)[~seen].astype(np.int64) + (i << 32))
+        del known
+        windows = [int((n[~w] - SPAN + 1).sum()) for n, w in zip(sizes, whole, strict=True)]
         batch = max(least, sum(windows) // parts)
         family, bits, at = Family(), [], 0
-        while at < table.num_rows:
+        while at < len(sizes):
             end, n = at, 0
-            while end < table.num_rows and (end == at or n < batch):
+            while end < len(sizes) and (end == at or n < batch):
                 n += windows[end]
                 end += 1
-            rows = table.slice(at, end - at)
-            ranks = [np.frombuffer(x.as_py(), np.uint32).astype(np.int64) + (i << 32) for i, x in enumerate(rows["ranks"])]
-            strings, of = suffixes(np.frombuffer(b"".join(x.as_py() for x in rows["bytes"]), np.uint8), np.concatenate(sizes[at:end]))
-            different, which, repeated = batch_array(strings, np.concatenate(ranks)[of])
-            found = family.holds(different)
-            family.add(different[~found])
-            repeated |= found[which]
+            found = np.empty(0, bool)
+            if n:
+                strings, of = suffixes(np.frombuffer(b"".join(pieces[at:end]), np.uint8), np.concatenate([m[~w] for m, w in zip(sizes[at:end], whole[at:end], strict=True)]))
+                different, which, found = batch_array(strings, np.concatenate(ranks[at:end])[of])
+                held = family.holds(different)
+                family.add(different[~held])
+                found |= held[which]
             edges = np.cumsum([0, *windows[at:end]])
-            bits += [np.packbits(repeated[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            for row, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True), at):
+                repeated = np.repeat(whole[row], sizes[row] - SPAN + 1)
+                repeated[~repeated] = found[a:b]
+                bits.append(np.packbits(repeated).tobytes())
             at = end
         return pa.table({"chunk": table["chunk"], "task": table["task"], "bits": pa.array(bits, pa.binary())})
 
