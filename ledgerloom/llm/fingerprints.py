@@ -6,8 +6,9 @@ t = floor(ln S / r + beta) and ln a = ln c - r (t - beta + 1). The component's s
 two texts agree in a component with a probability that is the generalised Jaccard similarity sum(min) / sum(max) of their weights.
 
 a >= (1 - u3 u4) u1 u2 / S, where r = -ln(u1 u2) and c = -ln(u3 u4): logarithms are taken only for terms where this bound is
-at most BOUND / (sum of weights). The smallest a is Exp(sum of weights), so it exceeds that in exp(-BOUND) = 0.03 % of the
-components; there the smallest of the terms that were not passed over is taken, which is still the same for equal texts.
+at most BOUND / (sum of weights). The smallest a is Exp(sum of weights), so in exp(-BOUND) of the components, less than one in a
+million, it is over that, and a term that was passed over could have a smaller one. Texts with such a component are sampled again,
+all of their terms without a bound, so that every fingerprint is that of the definition.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, next_buckets, saved, with_ranges, words_of
+from .common import NULLS, documents, forgotten, next_buckets, saved, with_ranges, words_of
 
 SAMPLES = 32
 SHINGLE = 5
-BOUND = 8.0
+BOUND = 14.0
 
 
 def with_term_runs(df: DataFrame, text: str, shingle: int = SHINGLE) -> DataFrame:
@@ -40,8 +41,8 @@ def with_term_runs(df: DataFrame, text: str, shingle: int = SHINGLE) -> DataFram
     return df.withColumn("_starts", F.when(F.col("_n") > 0, starts).otherwise(F.array().cast("array<int>")))
 
 
-def _sample(k: int) -> str:
-    """SQL for component k of a row with term (long), log_weight and limit (doubles): ln a in the high bits, a hash of (term, t) in the low 32; null if passed over."""
+def _sample(k: int, bounded: bool = True) -> str:
+    """SQL for component k of a row with term (long), log_weight and, if bounded, limit (doubles): ln a in the high bits, a hash of (term, t) in the low 32; null if passed over."""
     h = f"xxhash64(term, {k})"
     u = [f"((({h} >>> {b}) & 65535L) + 0.5D)" for b in (0, 16, 32, 48)]
     u12, u34 = f"({u[0]} * {u[1]})", f"({u[2]} * {u[3]})"
@@ -49,14 +50,15 @@ def _sample(k: int) -> str:
     minus_r = f"ln({u12} / 4294967296D)"
     t = f"CAST({beta} - log_weight / {minus_r} AS BIGINT)"
     log_a = f"ln(-ln({u34} / 4294967296D)) + {minus_r} * ({t} - {beta} + 1D)"
-    return f"CASE WHEN {u12} * (4294967296D - {u34}) <= limit THEN shiftleft(CAST(({log_a} + 128D) * 8388608D AS BIGINT), 32) | (xxhash64({t}, term) & 4294967295L) END"
+    sample = f"shiftleft(CAST(({log_a} + 128D) * 8388608D AS BIGINT), 32) | (xxhash64({t}, term) & 4294967295L)"
+    return f"CASE WHEN {u12} * (4294967296D - {u34}) <= limit THEN {sample} END" if bounded else sample
 
 
-def weighted_samples(df: DataFrame, keys: list[str], text: str, n_samples: int = SAMPLES, shingle: int = SHINGLE) -> DataFrame:
-    """keys + fingerprint (8 hex digits for each component) for every distinct combination of keys.
+def weighted_samples(df: DataFrame, keys: list[str], text: str, n_samples: int = SAMPLES, shingle: int = SHINGLE, bound: float | None = BOUND) -> DataFrame:
+    """keys + fingerprint (8 hex digits for each component) + open for every distinct combination of keys; open: a term passed over could change it.
 
     Each combination stands for one text. Null, empty and blank texts have no terms: their fingerprint is all zeros, alike to each
-    other. Texts are never moved: where df is already dealt by some of the keys, this adds no shuffle.
+    other. Texts are never moved: where df is already dealt by some of the keys, this adds no shuffle. Without a bound, none is open.
     """
     runs = with_term_runs(df.select(*keys, text), text, shingle).drop(text)
     terms = runs.select(*keys, "_s", "_n", "_starts", F.posexplode_outer("_starts").alias("_i", "_p"))
@@ -67,10 +69,16 @@ def weighted_samples(df: DataFrame, keys: list[str], text: str, n_samples: int =
         "_n",
     )
     # u12 and u34 are whole numbers below 2**32 here, so the bound's limit is scaled by 2**64
-    terms = terms.select(*keys, "term", F.ln("weight").alias("log_weight"), (F.lit(BOUND * 2.0**64) * F.col("weight") / F.col("_n")).alias("limit"))
-    samples = terms.groupBy(*keys).agg(*[F.min(F.expr(_sample(k))).alias(f"_m{k}") for k in range(n_samples)])
-    parts = [F.lpad(F.lower(F.hex(F.coalesce(F.col(f"_m{k}"), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0") for k in range(n_samples)]
-    return samples.select(*keys, F.concat(*parts).alias("fingerprint"))
+    terms = terms.select(*keys, "term", F.ln("weight").alias("log_weight"), (F.lit((bound or 0) * 2.0**64) * F.col("weight") / F.col("_n")).alias("limit"), "_n")
+    names = [f"_m{k}" for k in range(n_samples)]
+    samples = terms.groupBy(*keys).agg(*[F.min(F.expr(_sample(k, bound is not None))).alias(m) for k, m in enumerate(names)], F.max("_n").alias("_n"))
+    opened = F.lit(False)
+    if bound is not None:
+        # the largest of the components' ln a, rounded up; a component of which all terms were passed over counts as larger
+        most = F.greatest(*[F.coalesce(F.col(m), F.lit(2**62)) for m in names]) if n_samples > 1 else F.coalesce(F.col(names[0]), F.lit(2**62))
+        opened = (F.col("_n") > 0) & ((F.shiftright(most, 32) + 1) / F.lit(8388608.0) - 128 > F.ln(F.lit(bound) / F.greatest("_n", F.lit(1))))
+    parts = [F.lpad(F.lower(F.hex(F.coalesce(F.col(m), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0") for m in names]
+    return samples.select(*keys, F.concat(*parts).alias("fingerprint"), opened.alias("open"))
 
 
 def likeness(a: str, b: str, n_samples: int = SAMPLES) -> F.Column:
@@ -79,14 +87,19 @@ def likeness(a: str, b: str, n_samples: int = SAMPLES) -> F.Column:
     return sum(same[1:], same[0]) / F.lit(float(n_samples))
 
 
-def with_edited(df: DataFrame, per_bucket: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Rows (bucket, rn, doc_id, n_chars, text, edited) and (bucket, next_bucket).
+def in_ranges(df: DataFrame, per_bucket: int = 64) -> DataFrame:
+    """(doc_id, text, bucket) of df; null texts are empty. Order: descending doc_id; then rows without one, dealt by a hash of their text."""
+    rows = with_ranges(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", F.lit(1), per_bucket)
+    spread = F.lit(NULLS - 2**23) + F.expr("xxhash64(text) div 2199023255552L")
+    return rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), spread).otherwise(F.col("bucket")))
+
+
+def with_edited(rows: DataFrame, after: DataFrame) -> DataFrame:
+    """(bucket, rn, doc_id, n_chars, text, edited) of rows (doc_id, text, bucket); after: (bucket, next_bucket).
 
     The next document comes from a window over ranges of doc_id; only the last row of each range looks it up in another range.
     """
-    rows = with_ranges(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", F.lit(1), per_bucket)
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    after = next_buckets(rows)
+    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).desc(), "text")
     rows = rows.select("*", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("following"))
     # the ranges' first rows come from the same shuffle
     heads = rows.filter("rn = 1").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("head"))
@@ -95,22 +108,38 @@ def with_edited(df: DataFrame, per_bucket: int = 64) -> tuple[DataFrame, DataFra
     half = F.floor(n / 2).cast("int")
     following = F.coalesce("following", F.col("head"))
     edited = F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), F.substring(following, 1, half))
-    return rows.select("bucket", "rn", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited")), after
+    return rows.select("bucket", "rn", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
 
 
-def fingerprint_report(df: DataFrame, n_samples: int = SAMPLES) -> DataFrame:
+KEYS = ["bucket", "rn", "doc_id", "n_chars", "edited_sha256"]
+
+
+def _prints(rows: DataFrame, after: DataFrame, n_samples: int, bound: float | None) -> DataFrame:
+    """KEYS, fingerprint, edited_fingerprint and open of each of rows."""
+    both = with_edited(rows, after).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    both = both.select(*KEYS, F.posexplode(F.array("text", "edited")).alias("which", "body"))
+    prints = weighted_samples(both, [*KEYS, "which"], "body", n_samples, bound=bound)
+    own = lambda which, c: F.max(F.when(F.col("which") == which, F.col(c)))
+    return prints.groupBy(*KEYS).agg(own(0, "fingerprint").alias("fingerprint"), own(1, "fingerprint").alias("edited_fingerprint"), F.max("open").alias("open"))
+
+
+def fingerprint_report(df: DataFrame, n_samples: int = SAMPLES, bound: float | None = BOUND) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness to each other and to the next document's.
 
     df: doc_id, text; other columns are ignored. One row per row of df, repeated rows included. Null doc_ids come after all
-    others, null texts count as empty. Rows with the same doc_id follow each other by text. An empty table gives no rows.
+    others, by a hash of their texts; null texts count as empty. Rows with the same doc_id follow each other by text. An empty table
+    gives no rows. The standard error of a likeness is sqrt(j (1 - j) / n_samples), 0.088 at most with 32 samples.
     """
-    rows, after = with_edited(df)
-    keys = ["bucket", "rn", "doc_id", "n_chars", "edited_sha256"]
-    both = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    both = both.select(*keys, F.posexplode(F.array("text", "edited")).alias("which", "body"))
-    prints = weighted_samples(both, [*keys, "which"], "body", n_samples)
-    prints = prints.groupBy(*keys).agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
-    prints = saved(prints, "fingerprints")
+    rows = in_ranges(df)
+    after = next_buckets(rows)
+    prints = saved(_prints(rows, after, n_samples, bound), "fingerprints")
+    again = saved(prints.filter("open").select("bucket").distinct(), "fingerprints-open")
+    if not again.isEmpty():
+        # these ranges and those with their last rows' next documents
+        needed = again.union(again.join(after, "bucket").select(F.col("next_bucket").alias("bucket"))).distinct()
+        settled = _prints(rows.join(needed, "bucket", "left_semi"), after, n_samples, None).join(again, "bucket", "left_semi")
+        first, prints = prints, saved(prints.join(again, "bucket", "left_anti").unionByName(settled), "fingerprints")
+        forgotten(first)
     following = F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("rn"))
     heads = prints.filter("rn = 1").select(F.col("bucket").alias("next_bucket"), F.col("fingerprint").alias("head"))
     heads = after.join(heads, "next_bucket").select("bucket", "head")

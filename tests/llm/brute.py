@@ -81,6 +81,49 @@ def groups(ids: list, prints: list[int], distance: int = 2) -> dict:
     return {p: least[root(p)] for p in different}
 
 
+def spark_hash(*values) -> int:
+    """Spark's xxhash64 of strings, Python ints (as longs) and numpy int32."""
+    import struct
+
+    import numpy as np
+    import xxhash
+
+    seed = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, np.int32) else "<q", v)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def weighted_samples(text: str | None, n_samples: int) -> str:
+    """Consistent weighted sampling of a text's five-word shingles, every term looked at for every component."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    one = [spark_hash(w) for w in WORD.findall(text or "")]
+    two = [spark_hash(a, b) for a, b in zip(one, one[1:])]
+    four = [spark_hash(a, b) for a, b in zip(two, two[2:])]
+    five = [spark_hash(a, b) for a, b in zip(four, one[4:])]
+    if one and not five:  # the hash of the whole sequence, as of runs that end with the text
+        return ""
+    out = ""
+    for k in range(n_samples):
+        best = None
+        for term, weight in Counter(five).items():
+            bits = spark_hash(term, np.int32(k)) & (2**64 - 1)
+            u = [((bits >> b & 0xFFFF) + 0.5) / 65536 for b in (0, 16, 32, 48)]
+            r, c = -math.log(u[0] * u[1]), -math.log(u[2] * u[3])
+            beta = (spark_hash(np.int32(k), term) & 0xFFFFFFFF) / 2**32
+            t = math.floor(math.log(weight) / r + beta)
+            log_a = math.log(c) - r * (t - beta + 1)
+            key = (int((log_a + 128) * 8388608), spark_hash(t, term) & 0xFFFFFFFF)
+            best = min(best or key, key)
+        out += f"{best[1] if best else 0:08x}"
+    return out
+
+
 def repeats(texts: list[tuple[int, str | None]], n: int = 50) -> list[tuple]:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     first: dict = {}
@@ -99,6 +142,37 @@ def repeats(texts: list[tuple[int, str | None]], n: int = 50) -> list[tuple]:
     return out
 
 
+def mixing(tokens: dict[str, int], entropy: float, repeats: float, budget: float) -> dict[str, tuple[float, int, int, int]]:
+    """weight, budget, whole passes and the rest of each source, by plain bisection."""
+    import math
+
+    some = {k: n for k, n in tokens.items() if n}
+    total = sum(some.values())
+
+    def at(a: float) -> dict[str, float]:
+        powers = {k: (n / total) ** a for k, n in some.items()}
+        return {k: p / sum(powers.values()) for k, p in powers.items()}
+
+    def bisect(good) -> tuple[float, float]:
+        if good(1.0):
+            return 1.0, 1.0
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            low, high = ((low + high) / 2, high) if good((low + high) / 2) else (low, (low + high) / 2)
+        return low, high
+
+    goal = entropy * math.log(len(some)) if some else 0
+    a = bisect(lambda a: -sum(w * math.log(w) for w in at(a).values()) >= goal)[0]
+    small = min(some, key=some.get, default=None)
+    if some and at(a)[small] * budget * total > repeats * some[small]:
+        a = max(a, bisect(lambda a: at(a)[small] * budget * total > repeats * some[small])[1])
+    out = {k: (0.0, 0, 1, 0) for k in tokens}
+    for k, w in at(a).items() if some else ():
+        own = round(w * total * budget)
+        out[k] = (w, own, own // some[k], own % some[k])
+    return out
+
+
 def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     """One bin after the other, one piece after the other."""
     left = sorted(lengths, reverse=True)

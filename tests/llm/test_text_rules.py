@@ -122,6 +122,49 @@ def test_fingerprints(spark, docs):
     assert fingerprints.fingerprint_report(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).count() == 1
 
 
+def test_fingerprints_are_those_of_all_terms(spark, docs):
+    few = docs.filter("doc_id between 100 and 130 or doc_id in (0, 4)")
+    want = {r["doc_id"]: brute.weighted_samples(r["text"], 6) for r in few.collect()}
+    for bound in (1.0, fingerprints.BOUND, None):  # with a bound of 1, a third of the components are open at first
+        rows = fingerprints.fingerprint_report(few, 6, bound).collect()
+        assert len(rows) == len(want)
+        assert sum(r["fingerprint"] == want[r["doc_id"]] for r in rows if want[r["doc_id"]]) == sum(map(bool, want.values()))
+
+
+def test_production_fingerprints_are_as_exact_as_their_samples(spark):
+    from collections import Counter
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = [r["text"] or "" for r in docs.orderBy(F.desc("doc_id")).collect()]
+    ids = [r["doc_id"] for r in docs.orderBy(F.desc("doc_id")).select("doc_id").collect()]
+    sets = lambda t: Counter(zip(*(w[i:] for i in range(5)))) if len(w := brute.WORD.findall(t)) > 4 else Counter([tuple(w)] * bool(w))
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_report(docs).collect()}
+    errors = []
+    for i, t, after in zip(ids, texts, texts[1:] + texts[:1], strict=True):
+        a, b = sets(t), sets(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
+        if a and b:
+            errors.append(got[i]["near_edited"] - sum((a & b).values()) / sum((a | b).values()))
+    assert len(errors) > 150 and max(map(abs, errors)) < 0.35 and abs(sum(errors) / len(errors)) < 0.02
+    assert (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.1
+
+
+@pytest.mark.parametrize("ids", ["hashes", "outlier", "nulls"])
+def test_fingerprints_of_ids_spread_in_any_way(spark, ids):
+    import random
+
+    r = random.Random(3)
+    n = 700
+    new = {"hashes": [r.randrange(-(2**63), 2**63) for _ in range(n)], "outlier": [*range(n - 2), 10**12, -(2**63)], "nulls": [i if i % 3 else None for i in range(n)]}[ids]
+    rows = [(i, " ".join(r.choices("abcdefgh", k=12))) for i in new]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ordered = [t for i, t in sorted(((i, t) for i, t in rows if i is not None), reverse=True)]
+    ordered += [t for _, t in sorted(((brute.spark_hash(t), t) for i, t in rows if i is None), key=lambda x: (-x[0], x[1]))]
+    edited = sorted(brute.sha(t[: len(t) - len(t) // 2] + after[: len(t) // 2]) for t, after in zip(ordered, ordered[1:] + ordered[:1]))
+    assert sorted(x["edited_sha256"] for x in fingerprints.fingerprint_report(df, 2).collect()) == edited
+    sizes = fingerprints.in_ranges(df).groupBy("bucket").count().collect()
+    assert max(x["count"] for x in sizes) <= 128
+
+
 def test_fingerprints_estimate_generalised_jaccard(spark):
     from collections import Counter
 
