@@ -1,11 +1,15 @@
 """Personal data: patterns, and information-theoretic sanitisation of terms that reveal what the patterns protect; DataFrame operations only.
 
-Base spans are emails, IP addresses, card and phone numbers. Each distinct value of those is a protected entity. A term is a word
-of at least MIN_LETTERS letters, without the punctuation around it. Over all words of the corpus, the information that a term gives
-about an entity is log2(p(entity's line | term) / p(entity's line)); divided by -log2 p(entity's line), it is the share of the
-entity's information that the term discloses: 1 if the term never occurs but in lines with the entity. Terms that share MIN_SUPPORT or
-more different lines with an entity and disclose at least DISCLOSURE of it are spans too, wherever they occur, and are generalised
-like the others.
+Base spans are emails, IP addresses, card and phone numbers. Protected entities are each distinct value of those, and two classes that
+stand for more than one value: an email's domain and an IP address's network (its first three parts). A term is a word with a letter in
+it, without the punctuation around it: letters, marks, digits, and apostrophes, hyphens and full stops inside.
+
+Counted over all words of the corpus, n_both is how often a term stands in lines with the entity and n_term how often it occurs at all.
+n_both / (n_term + PRIOR) estimates how probable the entity's line is where the term is seen, as if the term had been seen PRIOR more
+times elsewhere, so that a few coincidences don't count as knowledge. The information that the term gives, log2 of that over the share of
+lines that have the entity, divided by -log2 of that share, is the part of the entity's information that the term discloses: near 1 if
+the term never occurs but in lines with the entity. Terms that stand in SUPPORT different lines with an entity at least and
+disclose DISCLOSURE of it are spans too, wherever they occur, and are generalised like the others.
 
 All patterns are runs of single character classes, so that no text, however long, makes matching recurse or backtrack far. Where
 the definition has a repeated group, the text is rewritten first, character for character, so that a run does the same.
@@ -18,12 +22,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, saved, words_of
+from .common import documents, forgotten, saved, words_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE = 0.9
-MIN_SUPPORT = 3
-MIN_LETTERS = 3
+SUPPORT = 2
+PRIOR = 2.0
+#: A term as a whole word in lower case, and its shortest length.
+TERM = r"^[\p{L}\p{M}\p{N}'’.-]++$"
+MIN_CHARS = 3
+#: Copies of one text are dealt over so many keys.
+SPREAD = 64
 #: Punctuation that may stand around a term.
 AROUND = ".,;:!?()[]{}<>\"'`*_~-"
 #: So few candidates are sent to every executor.
@@ -99,60 +108,91 @@ def bare(word: Column) -> Column:
     return F.lower(F.btrim(word, F.lit(AROUND)))
 
 
-def corpus_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(sha, term) for every word of docs' text that is one of terms; sha: SHA-256 of the whole text."""
-    n = terms.count()
-    words = docs.select(F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.explode(words_of(F.col("text"))).alias("word"))
-    words = words.select("sha", bare(F.col("word")).alias("term"))
-    return words.join(F.broadcast(terms) if n <= SENT else terms, "term")
+def _terms(text: Column) -> Column:
+    """array of the words of a text as terms; other words are empty."""
+    return F.transform(words_of(text), bare)
+
+
+def _counting(n: int, terms: DataFrame) -> DataFrame:
+    return F.broadcast(terms) if n <= SENT else terms
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with _sha and _salt: a row's text, and a hash of its other columns, so that copies of one text don't meet in one task."""
+    rest = [F.struct(*[c for c in docs.columns if c != "text"])] if len(docs.columns) > 1 else [F.lit(0)]
+    return docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(SPREAD)))
 
 
-def revealing_terms(docs: DataFrame, spans: DataFrame, disclosure: float = DISCLOSURE, support: int = MIN_SUPPORT) -> DataFrame | None:
+def _entities(kind: str, value: Column) -> Column:
+    """array of the hashes of what a value stands for: itself, and its class if it has one."""
+    own = F.xxhash64(F.lit(kind), F.lower(value))
+    if kind == "email":
+        return F.array(own, F.xxhash64(F.lit("domain"), F.lower(F.substring_index(value, "@", -1))))
+    if kind == "ip":
+        return F.array(own, F.xxhash64(F.lit("network"), F.substring_index(value, ".", 3)))
+    return F.array(own)
+
+
+def disclosed(n_both: Column, n_term: Column, n_entity: Column, n_lines: float, prior: float = PRIOR) -> Column:
+    """Part of an entity's information that a term discloses."""
+    own = -F.log2(n_entity / F.lit(n_lines))
+    return (F.log2(n_both / (n_term + F.lit(prior))) + own) / F.greatest(own, F.lit(1e-9))
+
+
+def revealing_terms(docs: DataFrame, spans: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame | None:
     """(term): terms of the corpus docs(text) that disclose an entity of spans(text, email, ip, card, phone), saved; None if there is none."""
     def lines(kind: str) -> Column:
-        """(entity, line) of each span; spans never reach over a line's end."""
+        """(entities, line) of each span; spans never reach over a line's end. The line is without the span."""
         before = lambda s: F.substring_index(F.substring(F.col("text"), F.lit(1), s["start"]), "\n", -1)
-        after = lambda s: F.substring_index(F.substring(F.col("text"), s["start"] + 1, F.length("text")), "\n", 1)
-        return F.transform(kind, lambda s: F.struct(F.xxhash64(F.lit(kind), F.lower(s["value"])).alias("entity"), F.concat(before(s), after(s)).alias("line")))
+        after = lambda s: F.substring_index(F.substring(F.col("text"), s["end"] + 1, F.length("text")), "\n", 1)
+        return F.transform(kind, lambda s: F.struct(_entities(kind, s["value"]).alias("entities"), F.concat(before(s), F.lit(" "), after(s)).alias("line")))
 
     # saved before any filter: a filter on the spans would be pushed below them, and find them again for each of its terms
-    rows = saved(spans.select(F.concat(*[lines(k) for k in KINDS[:4]]).alias("_e")), "pii-contexts")
-    rows = rows.select(F.explode("_e").alias("_e")).groupBy("_e.entity", "_e.line").agg(F.count("*").alias("copies"))
-    rows = saved(rows, "pii-lines")
-    entities = rows.groupBy("entity").agg(F.count("*").alias("n_lines"), F.sum("copies").alias("n_entity")).filter(F.col("n_lines") >= support)
-    words = rows.join(entities, "entity").select("entity", "n_entity", "copies", F.xxhash64("line").alias("of"), F.explode(words_of(F.col("line"))).alias("word"))
-    words = words.withColumn("term", bare(F.col("word"))).filter(F.col("term").rlike(rf"^\p{{L}}{{{MIN_LETTERS},64}}$"))
-    each = words.groupBy("entity", "n_entity", "term", "of").agg(F.sum("copies").alias("n"))
-    pairs = each.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("lines"), F.sum("n").alias("n_both")).filter(F.col("lines") >= support)
-    pairs = saved(pairs, "pii-pairs")
+    contexts = saved(spans.select(F.concat(*[lines(k) for k in KINDS[:4]]).alias("_e")), "pii-contexts")
+    each = contexts.select(F.explode("_e").alias("_e")).select(F.explode("_e.entities").alias("entity"), F.col("_e.line").alias("line"))
+    rows = saved(each.groupBy("entity", "line").agg(F.count("*").alias("copies")).withColumn("of", F.xxhash64("line")), "pii-lines")
+    forgotten(contexts)
+    if rows.isEmpty():
+        return None
+    n_lines = float(docs.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0])
+    totals = rows.groupBy("entity").agg(F.count("*").alias("different"), F.sum("copies").alias("n_entity")).filter(F.col("different") >= support)
+    texts = rows.groupBy("of").agg(F.first("line").alias("line"), F.max("copies").alias("copies"))
+    words = texts.select("of", "copies", F.explode(_terms(F.col("line"))).alias("term")).filter((F.length("term") >= MIN_CHARS) & F.col("term").rlike(TERM) & F.col("term").rlike(r"\p{L}"))
+    words = saved(words.groupBy("of", "term").agg(F.count("*").alias("times"), F.first("copies").alias("copies")), "pii-words")
+    near = words.groupBy("term").agg(F.sum(F.col("times") * F.col("copies")).alias("n_near"), F.count("*").alias("different")).filter(F.col("different") >= support).select("term", "n_near")
+    pairs = rows.select("entity", "of", F.col("copies").alias("own")).join(words.select("of", "term", "times"), "of")
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("lines"), F.sum(F.col("own") * F.col("times")).alias("n_both")).filter(F.col("lines") >= support)
+    pairs = pairs.join(totals, "entity").join(near, "term")
+    # a term occurs at least as often as in the lines with entities: what can't disclose enough even then is not looked for in the corpus
+    pairs = saved(pairs.filter(disclosed(F.col("n_both"), F.greatest("n_near", "n_both"), F.col("n_entity"), n_lines) >= disclosure), "pii-pairs")
     candidates = saved(pairs.select("term").distinct(), "pii-candidates")
-    if candidates.isEmpty():
+    n = candidates.count()
+    if not n:
         return None
-    n_lines = docs.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0]
-    seen = corpus_terms(docs, candidates).groupBy("term").agg(F.count("*").alias("n_term"))
-    own = -F.log2(F.col("n_entity") / F.lit(float(n_lines)))
-    share = (F.log2(F.col("n_both") / F.col("n_term")) + own) / F.greatest(own, F.lit(1e-9))
-    terms = saved(pairs.join(seen, "term").filter(share >= disclosure).select("term").distinct(), "pii-terms")
+    found = docs.select(F.explode(_terms(F.col("text"))).alias("term")).join(_counting(n, candidates), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    share = disclosed(F.col("n_both"), F.greatest("n_term", "n_both"), F.col("n_entity"), n_lines)
+    terms = saved(pairs.join(found, "term").filter(share >= disclosure).select("term").distinct(), "pii-terms")
+    forgotten(rows, words, pairs, candidates)
     return None if terms.isEmpty() else terms
 
 
-def with_spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = MIN_SUPPORT) -> DataFrame:
+def with_spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """docs with arrays email, ip, card, phone and term of (start, end, value); docs has a text, and is read several times.
 
     One row per row of docs. Null and empty texts have no spans; an empty table gives no rows. Term spans never overlap others.
     """
     terms = revealing_terms(docs, with_base_spans(docs.select("text").filter(F.col("text").rlike("[@+0-9]"))), disclosure, support)
-    df = with_base_spans(docs)
     if terms is None:
-        return df.withColumn("term", F.slice("email", 1, 0))
-    sha = F.sha2(F.col("text").cast("binary"), 256).alias("_sha")
-    hits = corpus_terms(docs, terms).groupBy(F.col("sha").alias("_sha")).agg(F.collect_set("term").alias("_terms"))
-    df = df.select("*", sha).join(hits, "_sha", "left")
+        return with_base_spans(docs).withColumn("term", F.slice("email", 1, 0))
+    words = _rows(docs).select("_sha", "_salt", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    hits = words.join(_counting(terms.count(), terms), "term").groupBy("_sha", "_salt").agg(F.collect_set("term").alias("_terms"))
+    df = _rows(docs).select("_sha", "_salt", F.struct(*docs.columns).alias("_doc")).join(hits, ["_sha", "_salt"], "left").select("_doc.*", "_terms")
+    df = with_base_spans(df)
     words = F.array_join(F.transform(F.array_sort("_terms"), lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")
     df = df.withColumn("_pattern", F.coalesce(F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), words, F.lit(r")(?![\p{L}\p{N}])")), F.lit("")))
     df = _found(df, "term", F.coalesce("text", F.lit("")), F.col("_pattern"), F.col("_pattern") != "")
     base = F.concat("email", "ip", "card", "phone")
-    return df.withColumn("term", F.filter("term", lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))).drop("_sha", "_terms", "_pattern")
+    return df.withColumn("term", F.filter("term", lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))).drop("_terms", "_pattern")
 
 
 def _joined(kinds: tuple[str, ...]) -> Column:
@@ -170,7 +210,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", *counts, F.sha2(_joined(KINDS[:4]).cast("binary"), 256).alias("base_sha256"), _joined(KINDS).alias("spans"))
 
 
-def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = MIN_SUPPORT) -> DataFrame:
+def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """docs with each span of text replaced by its kind, as in [EMAIL]; spans that overlap become one. Null texts stay null. n_chars, if there, is counted again."""
     df = with_spans(docs.select("text", F.struct(*docs.columns).alias("_doc")), disclosure, support)  # other columns' names may clash
 
