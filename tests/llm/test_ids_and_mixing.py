@@ -147,32 +147,67 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in urls.verdicts(df, rules.limit(0), "block").collect()} == {"block"}
 
 
-def test_mixing(spark):
-    rows = rows_of(spark, 200)
+def test_url_filter_with_many_rules(spark):
+    """As many lengths and labels as may be: 5,000 paths of one host, deep hosts, a very long URL."""
+    r = random.Random(6)
+    label = lambda: "".join(r.choice("ab") for _ in range(r.randint(1, 3)))
+    rules = {(r.choice(["allow", "block"]), ".".join(label() for _ in range(r.randint(1, 9))), "/" + "".join(r.choice("xy/") for _ in range(r.randint(0, 4)))) for _ in range(600)}
+    rules |= {("block", "host.org", "/" + "x" * n) for n in range(5000)} | {("allow", None, "/"), ("block", "a", None)}
+    urls_ = ["http://" + ".".join(label() for _ in range(r.randint(1, 12))) + "/" + "".join(r.choice("xy/") for _ in range(r.randint(0, 6))) for _ in range(500)]
+    urls_ += ["http://host.org/" + "x" * n + "y" for n in (0, 1, 70, 4998, 4999, 60000)] + [None] * 3 + ["http://" + "a." * 3000 + "b/x"]
+    df = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    got = {x["page_id"]: (x["rule"], x["verdict"]) for x in urls.verdicts(df, spark.createDataFrame(list(rules), "verdict string, host string, path string")).collect()}
+    assert len(got) == len(urls_)
+    for i, u in enumerate(urls_):
+        host, path = (u or "http:///").split("://")[1].split("/", 1)
+        fits = [(len(h + p), v == "block", h + p, v) for v, h, p in rules if h and p and (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)] if u else []
+        assert got[i] == (max(fits)[2:] if fits else (None, "allow")), u
+
+
+KINDS = [{"entropy": 0.999, "repeats": 50.0}, {"entropy": 1.0, "repeats": 2.0}, {"entropy": 0.5, "repeats": 1.5, "budget": 0.7}, {"entropy": mixing.ENTROPY, "repeats": mixing.REPEATS, "budget": mixing.BUDGET}]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_mixing(spark, kind):
+    """Weights by plain bisection; each pass has all documents, the last a head of its order that the budget ends."""
+    rows = rows_of(spark, 150) + [(i, "one two three " * (i % 5), "many") for i in range(1000, 1400)] + [(None, f"null {i}", "null ids") for i in range(30)] + [(7, "", "empty"), (8, "long " * 900, "one long")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, key string")
     sizes = mixing.sized(df)
-    for kind in ({"entropy": 0.999, "repeats": 50.0}, {"entropy": 1.0, "repeats": 2.0}, {"entropy": 0.5, "repeats": 1.5, "budget": 0.7}):
-        sources = mixing.weights(sizes, **kind)
-        table = {r["key"]: r for r in sources.collect()}
-        some = [r for r in table.values() if r["n_tokens"]]
-        total, budget = sum(r["n_tokens"] for r in some), kind.get("budget", 1.0)
-        assert sum(r["weight"] for r in some) == pytest.approx(1)
-        entropy = -sum(r["weight"] * math.log(r["weight"]) for r in some) / math.log(len(some))
-        most = max(r["weight"] * total * budget / r["n_tokens"] for r in some)
-        assert most <= kind["repeats"] * 1.001
-        assert entropy >= kind["entropy"] - 1e-6 or most >= kind["repeats"] * 0.99
-        out = mixing.mixed(sizes, mixing.ends(sizes, sources)).collect()
-        taken: dict = {}
-        for r in out:
-            taken.setdefault(r["key"], []).append(r)
-        for k, r in table.items():
-            own = taken.get(k, [])
-            n = sum(x["n_tokens"] for x in own)
-            largest = max(x["n_tokens"] for x in sizes.filter(sizes["key"] == k).collect())
-            assert not r["n_tokens"] or r["budget"] - largest < n <= r["budget"]
-            # the last pass takes a head of its order: all before its last document, and none after
-            for e in range(r["passes"]):
-                assert sum(x["epoch"] == e for x in own) == r["n_docs"]
+    sources = mixing.weights(sizes, **kind)
+    table = {r["key"]: r for r in sources.collect()}
+    tokens: dict = {}
+    for _, t, s in rows:
+        key = "" if s is None else "=" + s
+        tokens[key] = tokens.get(key, 0) + len(brute.WORD.findall(t or ""))
+    want = brute.mixing(tokens, kind["entropy"], kind["repeats"], kind.get("budget", mixing.BUDGET))
+    assert {k: r["n_tokens"] for k, r in table.items()} == tokens
+    for k, r in table.items():
+        assert r["weight"] == pytest.approx(want[k][0], rel=1e-5) and r["budget"] == pytest.approx(want[k][1], rel=1e-4, abs=2)
+        assert not tokens[k] or r["budget"] == r["passes"] * tokens[k] + r["rest"] and 0 <= r["rest"] < tokens[k]
+    marks = mixing.ends(sizes, sources)
+    out = mixing.mixed(sizes, marks).collect()
+    more = mixing.mixed(sizes, marks.selectExpr("key", "n_docs", "passes + 1 AS passes", "cast(null as long) AS last_block", "cast(null as long) AS last_doc")).collect()
+    for k, r in table.items():
+        order = lambda x: (x["block_order"], x["doc_order"])
+        for e in range(r["passes"]):
+            assert sum(x["epoch"] == e and x["key"] == k for x in out) == r["n_docs"]
+        last = sorted((x for x in more if x["key"] == k and x["epoch"] == r["passes"]), key=order)
+        taken = sorted((x for x in out if x["key"] == k and x["epoch"] == r["passes"]), key=order)
+        assert [order(x) for x in taken] == [order(x) for x in last[: len(taken)]]
+        n = sum(x["n_tokens"] for x in taken)
+        same = [x["n_tokens"] for x in last[len(taken) :] if order(x) == order(last[len(taken)])] if len(taken) < len(last) else []
+        assert n <= r["rest"] or (not r["passes"] and len({order(x) for x in taken}) == 1)
+        assert not same or not r["rest"] or n + sum(same) > r["rest"]
+        assert not tokens[k] or taken or r["passes"]
+
+
+def test_mixing_of_the_tables(spark):
+    """The query's target and budget bind: neither are the weights the shares, nor is every source one whole pass."""
+    sizes = mixing.sized(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    sources = mixing.weights(sizes).collect()
+    total = sum(r["n_tokens"] for r in sources)
+    assert any(abs(r["weight"] - r["n_tokens"] / total) > 1e-3 for r in sources)
+    assert any(r["rest"] for r in sources)
     assert mixing.op8_mixing(spark, SF).count() > 0
     assert mixing.mixed(sizes.limit(0), mixing.ends(sizes.limit(0), mixing.weights(sizes.limit(0)))).count() == 0
 
