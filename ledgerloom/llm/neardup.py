@@ -1,13 +1,16 @@
-"""Near-duplicates by the similarity of their shingle sets: MinHash bands find candidates, the sets themselves decide.
-
-Texts are alike if the Jaccard similarity of their sets of five-word shingles is LEAST or more. BANDS times, ROWS smallest hashes of a set
-make a key; two sets meet if one key is equal. A pair of similarity 0.8 fails to meet with a probability of 6 in 100,000, a more alike
-one with less. (A 64-bit SimHash can't do this: at 0.8 about 10 of its bits differ, and up to 17, so that keys which such pairs share
-would have 6 bits.)
-
-Of each key, the pairs with its least and its greatest set are compared first. What they link becomes groups; then only those pairs
-of a key that are still in different groups are compared. So a large group of near copies costs a few pairs for each member, and no
-pair that meets stays unsettled. Equal sets are one, however many texts have it.
+"""Near-duplicates by the similarity of their shingle sets: SimHash deletion variants find candidates, the sets themselves decide.
+
+Texts are alike if the Jaccard similarity of their sets of five-word shingles is LEAST or more. This is operator 4's method with a
+fingerprint long enough for that: of two sets at 0.8, 15 % of the bits of a SimHash differ, so two segments of 64 bits would hardly ever agree.
+The fingerprint has SEGMENTS segments of 24 bits. Two sets meet if some segment differs in at most one bit: they are equal under a variant
+with that bit deleted. At 0.8 a segment does so with a probability of 0.103, so a pair is missed with one of 0.897 ** 64 = 0.001, a more
+alike one with less (1 in 100,000 at 0.85). The deleted bit is in one half of the segment, so the other half is equal: rows are dealt by the
+halves, and within a half the variants are formed and met by sorting. Of those that meet, CHECK more bits of the fingerprint must be near
+(at 0.8, 19 of 128 differ, more than FAR never; of unlike sets 64), and then the sets are compared.
+
+Of a variant with up to RUN sets all pairs are compared. Of a larger one each set is compared with the first; what that links becomes
+groups, and then only those pairs that are still in different groups are compared. So a large group of near copies costs a few pairs for
+each member, and no pair that meets stays unsettled. Equal sets are one, however many texts have it.
 """
 
 from __future__ import annotations
@@ -25,11 +28,15 @@ from .simhash import components
 SHINGLE = 5
 #: Similarity from which texts are linked, as a fraction.
 LEAST = (4, 5)
-BANDS = 32
-ROWS = 6
+SEGMENTS = 64
+HALF = 12
+CHECK = 128
+FAR = 40
+RUN = 32
+#: Index rows that a task meets at a time, at least; all of one half's value come together.
+TOGETHER = 200_000
 SEED = 42
 
-
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles; a text with fewer words has its whole sequence as one, one without words none."""
     import xxhash
@@ -49,20 +56,20 @@ def shingles(text: str | None) -> np.ndarray:
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    a, b = (rng.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
+    words = (SEGMENTS * 2 * HALF + CHECK) // 64
+    a, b = (rng.integers(0, 2**64, words, np.uint64) for _ in range(2))
     return a | np.uint64(1), b
 
 
-def band_keys(hashes: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A key for each band of a set that is not empty."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 1024):  # bounded memory for very long texts
-        np.minimum(least, (factors[0] * hashes[at : at + 1024] + factors[1]).min(1), out=least)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for part in least.reshape(BANDS, ROWS).T:
-        keys = (keys ^ part) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    return keys
+def fingerprint(hashes: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """SimHash of a set that is not empty: a bit is 1 if over half of the shingles' hashes have it."""
+    ones = np.zeros(len(factors[0]) * 64, np.int64)
+    for at in range(0, len(hashes), 255):  # sums of bytes that don't overflow, and bounded memory
+        x = (hashes[at : at + 255, None] ^ factors[1]) * factors[0]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
 def _row(docs: DataFrame) -> Column:
@@ -75,8 +82,8 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def with_bands(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, id, n, keys) for each of rows: number of the shingle set, its size and the keys of its bands."""
+def with_fingerprints(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, id, n, print) for each of rows: number of the shingle set, its size and its fingerprint, null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -86,10 +93,101 @@ def with_bands(rows: DataFrame) -> DataFrame:
             sets = [shingles(x.as_py()) for x in batch.column(2)]
             ids = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            keys = [band_keys(s, factors).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), sizes, pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "id", "n", "keys"])
+            prints = [fingerprint(s, factors) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), sizes, pa.array(prints, pa.binary())], ["row", "doc_id", "id", "n", "print"])
+
+    return rows.mapInArrow(run, "row long, doc_id long, id long, n long, print binary")
+
+
+INDEX = "key long, rest int, id long, root long, c0 long, c1 long"
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root, print) -> a row for each half of each segment: the half's value as the key, and the other half."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            n = part.num_rows
+            prints = np.frombuffer(b"".join(x.as_py() for x in part.column(2)), np.uint8).reshape(n, -1)
+            bits = prints[:, : SEGMENTS * 2 * HALF // 8].reshape(n, SEGMENTS, 3).astype(np.int64)
+            whole = bits[:, :, 0] << 16 | bits[:, :, 1] << 8 | bits[:, :, 2]
+            high, low = whole >> HALF, whole & ((1 << HALF) - 1)
+            number = np.arange(SEGMENTS)[None, :] * 2
+            keys = np.concatenate((number << HALF | high, (number + 1) << HALF | low), axis=1).ravel()
+            rest = np.concatenate((low, high), axis=1).astype(np.int32).ravel()
+            check = np.ascontiguousarray(prints[:, -CHECK // 8 :]).view(np.int64)
+            own = [np.repeat(np.asarray(part.column(i)), 2 * SEGMENTS) for i in range(2)]
+            own += [np.repeat(check[:, i], 2 * SEGMENTS) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, rest, *own)], [c.split()[0] for c in INDEX.split(", ")])
+
+
+def _near(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(c[0][a] ^ c[0][b]).astype(np.int64) + np.bitwise_count(c[1][a] ^ c[1][b]) <= FAR
+
+
+def met(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, roots: np.ndarray, check: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids that may be alike, the smaller first. Of variants with more than RUN sets: if every, all pairs with different roots; else those with the first, and each id paired with itself as a mark."""
+    of_id = np.argsort(ids, kind="stable")
+    found = []
+    for bit in range(HALF):
+        masked = (keys << HALF | (rest & ~(1 << bit)))[of_id]
+        order = of_id[np.argsort(masked, kind="stable")]  # by variant, then id
+        masked = np.sort(masked, kind="stable")
+        edges = np.flatnonzero(np.diff(masked, prepend=-1)) if len(masked) else np.empty(0, np.int64)
+        sizes = np.diff(edges, append=len(masked))
+        keep = sizes > 1
+        if every:
+            own = roots[order]
+            keep &= np.minimum.reduceat(own, edges) != np.maximum.reduceat(own, edges) if len(edges) else keep
+        first, size = edges[keep], sizes[keep]
+        for gap in range(1, int(size.max(initial=0)) if every else min(RUN, int(size.max(initial=0)))):
+            some = (size > gap) & (every | (size <= RUN))
+            n = size[some] - gap
+            at = np.repeat(first[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            a, b = order[at], order[at + gap]
+            apart = (roots[a] != roots[b]) & _near(check, a, b) if every else _near(check, a, b)
+            found.append(np.stack((ids[a[apart]], ids[b[apart]])))
+        if not every and (large := size > RUN).any():
+            n = size[large]
+            at = np.repeat(first[large], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            a, b = order[np.repeat(first[large], n)], order[at]
+            near = _near(check, a, b)  # the first is near itself, and so marked; those it is not near are marked alone
+            found += [np.stack((ids[a[near]], ids[b[near]])), np.stack((ids[b], ids[b]))]
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
+    return pairs[0], pairs[1]
+
+
+def candidates(sets: DataFrame, every: bool) -> DataFrame:
+    """(a, b) of sets (id, root, print) that meet in a variant; see met()."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def pairs(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            keys, rest, ids, roots, c0, c1 = (np.concatenate(x) for x in zip(*parts, strict=True))
+            a, b = met(keys, rest.astype(np.int64), ids, roots, (c0.view(np.uint64), c1.view(np.uint64)), every)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return rows.mapInArrow(run, "row long, doc_id long, id long, n long, keys array<long>")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = tuple(np.asarray(x) for x in batch.columns)
+            if size >= TOGETHER and new[0][0] != waiting[-1][0][-1]:
+                cut = 0
+            elif size >= TOGETHER and new[0][0] != new[0][-1]:
+                cut = int(np.searchsorted(new[0], new[0][0], "right"))
+            else:
+                waiting.append(new)
+                size += batch.num_rows
+                continue
+            yield pairs([*waiting, tuple(x[:cut] for x in new)])
+            waiting, size = [tuple(x[cut:] for x in new)], batch.num_rows - cut
+        if waiting:
+            yield pairs(waiting)
+
+    index = sets.select("id", "root", "print").mapInArrow(_spread, INDEX)
+    return index.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
 
 
 def _alike(both: Column, n: Column) -> Column:
@@ -111,7 +209,7 @@ def links(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
 
     members = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id").select("row", "id")
     texts = rows.join(members, "row").select("id", "text").mapInArrow(run, "id long, shingles array<long>")
-    texts = saved(texts.groupBy("id").agg(F.first("shingles").alias("shingles")), "neardup-sets")
+    texts = saved(texts.groupBy("id").agg(F.first("shingles").alias("shingles")), "neardup-texts")
     own = lambda c: texts.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     return saved(pairs.join(own("a"), "a").join(own("b"), "b").filter(_alike(both, n_a + n_b)).select("a", "b"), "neardup-links")
@@ -120,28 +218,22 @@ def links(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(row, doc_id, group) for every row of docs (doc_id, text and any others), saved; row: a hash of all its columns.
 
-    Rows are in one group if links connect their texts. Null, empty and blank texts have the empty set, and are one group.
+    Rows are in one group if links connect their texts. Null, empty and blank texts have the empty set, and are one group. An empty table
+    gives no rows; rows that are equal in all columns are alike.
     """
     rows = _identified(docs)
-    prints = saved(with_bands(rows), "neardup-bands")
-    sets = saved(prints.groupBy("id").agg(F.min("n").alias("n"), F.min("row").alias("row")), "neardup-ids")
-    keys = prints.select("id", F.explode("keys").alias("key")).distinct()
-    ends = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    met = saved(keys.join(ends, "key"), "neardup-met")
-
-    ordered = lambda df: df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = saved(ordered(met.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b"))), "neardup-first")
-    found = links(first, sets, rows)
-
-    roots = saved(components(found, "neardup-roots"), "neardup-roots")
-    known = met.join(roots, met["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    apart = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    known = saved(known.join(apart, "key"), "neardup-apart")
-    mine, other = (known.select("key", F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    rest = mine.join(other, "key").filter("a < b AND root_a <> root_b").select("a", "b").distinct()
-    rest = saved(rest.join(first, ["a", "b"], "left_anti"), "neardup-rest")
-    if not rest.isEmpty():
-        roots = saved(components(found.union(links(rest, sets, rows)), "neardup-roots"), "neardup-roots")
+    prints = saved(with_fingerprints(rows), "neardup-prints")
+    sets = saved(prints.groupBy("id").agg(F.min("n").alias("n"), F.min("row").alias("row"), F.first("print").alias("print")).filter("n > 0"), "neardup-sets")
+    first = saved(candidates(sets.withColumn("root", F.col("id")), False), "neardup-first")
+    pairs = first.filter("a <> b")
+    found = links(pairs, sets, rows)
+    roots = saved(components(found, "neardup-links"), "neardup-roots")
+    marked = saved(first.filter("a = b").select(F.col("a").alias("id")), "neardup-marked")
+    if not marked.isEmpty():
+        open_ = sets.join(marked, "id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "print")
+        rest = saved(candidates(open_, True).join(pairs, ["a", "b"], "left_anti"), "neardup-rest")
+        if not rest.isEmpty():
+            roots = saved(components(found.union(links(rest, sets, rows)), "neardup-links"), "neardup-roots")
     return saved(prints.join(roots, prints["id"] == roots["node"], "left").select("row", "doc_id", F.coalesce("root", "id").alias("group")), "neardup-groups")
 
 
