@@ -13,7 +13,7 @@ from ledgerloom.llm.quality import quality_stage
 
 STAGES = [
     ("quality rules", quality_stage),
-    ("near-dedup", near_duplicate_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
     ("personal data", pii_stage),
     ("mixing", mixing_stage),
     ("packing", packing_stage),
