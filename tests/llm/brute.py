@@ -51,6 +51,49 @@ def quality(text: str | None) -> dict:
     return {"n_words": n, "word_chars": sum(map(len, words)), "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered), "base_failed": n < 50 or 100 * len(covered) > 50 * n}
 
 
+def verdicts(rows: list[tuple], labels: list[tuple], n_buckets: int, threshold: float, marks_needed: int, share: float, texts: int, ratio: float) -> list[tuple[float, bool]]:
+    """(score, kept) of each row (doc_id, text); labels: doc_id, quality, toxic."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    around = ".,;:!?()[]{}<>\"'`*_~-"
+    best: dict = {}
+    for i, q, t in labels:
+        old = best.get(i, (0, 0))
+        best[i] = (max(old[0], q or 0), max(old[1], t or 0))
+
+    def features(text: str | None) -> list[int]:
+        words = WORD.findall(text or "")
+        one = [spark_hash(w) for w in words]
+        hashed = one + [spark_hash(a, b) for a, b in zip(one, one[1:])] + [spark_hash(w[-3:], np.int32(3)) for w in words]
+        return [h & (n_buckets - 1) for h in hashed]
+
+    raw, good = Counter(), Counter()
+    for i, text in rows:
+        own = features(text)
+        raw.update(own)
+        if i is not None and best.get(i) == (1, 0):
+            good.update(own)
+    n_raw, n_good = sum(raw.values()), sum(good.values())
+    log = lambda f: math.log((good[f] + 1) / (n_good + n_buckets) / ((raw[f] + 1) / (n_raw + n_buckets))) if n_good else 0.0
+    bare = lambda text: {w.strip(around).lower() for w in WORD.findall(text or "")} - {""}
+    kinds = {k: [bare(t) for i, t in rows if i is not None and (best.get(i, (0, 0)) if k else best.get(i, (0, 0))) in ({(0, 1), (1, 1)} if k else {(1, 0)})] for k in (0, 1)}
+    marks = set()
+    if kinds[0] and kinds[1]:
+        for w, n in Counter(w for own in kinds[1] for w in own).items():
+            other = sum(w in own for own in kinds[0])
+            if n >= max(texts, share * len(kinds[1])) and (n + 1) / (len(kinds[1]) + 2) >= ratio * (other + 1) / (len(kinds[0]) + 2):
+                marks.add(w)
+    out = []
+    for _, text in rows:
+        own = features(text)
+        score = sum(map(log, own)) / len(own) if own else 0.0
+        out.append((score, not quality(text)["base_failed"] and score >= threshold and len(bare(text) & marks) < marks_needed))
+    return out
+
+
 def simhash(text: str | None) -> int:
     import xxhash
 

@@ -42,6 +42,40 @@ def test_quality_counts(spark, docs):
         assert r["kept"] == (not r["base_failed"] and r["score"] >= quality.THRESHOLD)
 
 
+def test_quality_score_and_verdict(spark):
+    import random
+
+    r = random.Random(11)
+    words = [["good", "fine", "plain", "text", "Word,", "more"], ["junk", "###", "buy", "now!", "x"], ["the", "of", "and", "to", "in", "it"]]
+    rows, labels = [], []
+    for i in range(120):
+        kind = i % 3 == 0
+        text = [r.choice(words[2] + words[kind] * 2) + r.choice(["", "", str(r.randrange(300))]) for _ in range(r.randint(20, 160))]
+        toxic = i % 7 == 0
+        if toxic:
+            text[5:5] = r.sample(["Oaf,", "lout", "(swine)", "churl."], r.randint(0, 3))
+        rows.append((i if i % 40 else None, " ".join(text)))
+        if i % 2 or toxic:
+            labels += [(i, int(not kind), int(toxic)), (i, None, 0)]
+    rows += [(500, None), (501, ""), (502, rows[1][1]), (502, rows[1][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    n, threshold = 512, -0.05
+    want = brute.verdicts(rows, labels, n, threshold, quality.MARKS, quality.MARK_SHARE, quality.MARK_TEXTS, 3.0)
+    old, quality.MARK_RATIO = quality.MARK_RATIO, 3.0
+    try:
+        got = quality.judged(df, given, threshold, n).collect()
+    finally:
+        quality.MARK_RATIO = old
+    key = lambda x: (str(x[0]), x[1] or "")
+    got = sorted(((r["doc_id"], r["text"], r["score"], r["kept"]) for r in got), key=key)
+    want = sorted(((i, t, *w) for (i, t), w in zip(rows, want, strict=True)), key=key)
+    assert [r[3] for r in got] == [r[3] for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-9)
+    assert len({r[3] for r in got}) == 2
+    assert quality.buckets_for(df) == quality.BUCKETS
+
+
 def test_quality_empty(spark, docs):
     assert quality.judged(docs.limit(0), labels(spark, docs)).count() == 0
     assert quality.judged(docs.limit(3), labels(spark, docs).limit(0)).count() == 3
