@@ -8,8 +8,8 @@ Counted over all words of the corpus, n_both is how often a term stands in lines
 n_both / (n_term + PRIOR) estimates how probable the entity's line is where the term is seen, as if the term had been seen PRIOR more
 times elsewhere, so that a few coincidences don't count as knowledge. The information that the term gives, log2 of that over the share of
 lines that have the entity, divided by -log2 of that share, is the part of the entity's information that the term discloses: near 1 if
-the term never occurs but in lines with the entity. Terms that stand in SUPPORT different lines with an entity at least and
-disclose DISCLOSURE of it are spans too, wherever they occur, and are generalised like the others.
+the term never occurs but in lines with the entity. Terms that stand in lines with an entity SUPPORT times at least (copies of a line
+count each) and disclose DISCLOSURE of it are spans too, wherever they occur, and are generalised like the others.
 
 All patterns are runs of single character classes, so that no text, however long, makes matching recurse or backtrack far. Where
 the definition has a repeated group, the text is rewritten first, character for character, so that a run does the same.
@@ -26,7 +26,7 @@ from .common import documents, forgotten, saved, words_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE = 0.9
-SUPPORT = 2
+SUPPORT = 3
 PRIOR = 2.0
 #: A term as a whole word in lower case, and its shortest length.
 TERM = r"^[\p{L}\p{M}\p{N}'’.-]++$"
@@ -142,26 +142,28 @@ def disclosed(n_both: Column, n_term: Column, n_entity: Column, n_lines: float,
 def revealing_terms(docs: DataFrame, spans: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame | None:
     """(term): terms of the corpus docs(text) that disclose an entity of spans(text, email, ip, card, phone), saved; None if there is none."""
     def lines(kind: str) -> Column:
-        """(entities, line) of each span; spans never reach over a line's end. The line is without the span."""
+        """(entity, line) of each span; spans never reach over a line's end."""
         before = lambda s: F.substring_index(F.substring(F.col("text"), F.lit(1), s["start"]), "\n", -1)
-        after = lambda s: F.substring_index(F.substring(F.col("text"), s["end"] + 1, F.length("text")), "\n", 1)
-        return F.transform(kind, lambda s: F.struct(_entities(kind, s["value"]).alias("entities"), F.concat(before(s), F.lit(" "), after(s)).alias("line")))
-
-    # saved before any filter: a filter on the spans would be pushed below them, and find them again for each of its terms
-    contexts = saved(spans.select(F.concat(*[lines(k) for k in KINDS[:4]]).alias("_e")), "pii-contexts")
-    each = contexts.select(F.explode("_e").alias("_e")).select(F.explode("_e.entities").alias("entity"), F.col("_e.line").alias("line"))
+        after = lambda s: F.substring_index(F.substring(F.col("text"), s["start"] + 1, F.length("text")), "\n", 1)
+        pairs = lambda s, line: F.transform(_entities(kind, s["value"]), lambda e: F.struct(e.alias("entity"), line.alias("line")))
+        return F.flatten(F.transform(kind, lambda s: pairs(s, F.concat(before(s), after(s)))))
+
+    # saved before any filter: a filter on the spans would be pushed below them, and find them again for each of its terms.
+    # An entity's line counts once in a text, so that no count is over that of the corpus
+    contexts = saved(spans.select(F.array_distinct(F.concat(*[lines(k) for k in KINDS[:4]])).alias("_e")), "pii-contexts")
+    each = contexts.select(F.explode("_e").alias("_e")).select("_e.entity", "_e.line")
     rows = saved(each.groupBy("entity", "line").agg(F.count("*").alias("copies")).withColumn("of", F.xxhash64("line")), "pii-lines")
     forgotten(contexts)
     if rows.isEmpty():
         return None
     n_lines = float(docs.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0])
-    totals = rows.groupBy("entity").agg(F.count("*").alias("different"), F.sum("copies").alias("n_entity")).filter(F.col("different") >= support)
+    totals = rows.groupBy("entity").agg(F.sum("copies").alias("n_entity"))
     texts = rows.groupBy("of").agg(F.first("line").alias("line"), F.max("copies").alias("copies"))
     words = texts.select("of", "copies", F.explode(_terms(F.col("line"))).alias("term")).filter((F.length("term") >= MIN_CHARS) & F.col("term").rlike(TERM) & F.col("term").rlike(r"\p{L}"))
     words = saved(words.groupBy("of", "term").agg(F.count("*").alias("times"), F.first("copies").alias("copies")), "pii-words")
-    near = words.groupBy("term").agg(F.sum(F.col("times") * F.col("copies")).alias("n_near"), F.count("*").alias("different")).filter(F.col("different") >= support).select("term", "n_near")
+    near = words.groupBy("term").agg(F.sum(F.col("times") * F.col("copies")).alias("n_near")).filter(F.col("n_near") >= support)
     pairs = rows.select("entity", "of", F.col("copies").alias("own")).join(words.select("of", "term", "times"), "of")
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("lines"), F.sum(F.col("own") * F.col("times")).alias("n_both")).filter(F.col("lines") >= support)
+    pairs = pairs.groupBy("entity", "term").agg(F.sum(F.col("own") * F.col("times")).alias("n_both")).filter(F.col("n_both") >= support)
     pairs = pairs.join(totals, "entity").join(near, "term")
     # a term occurs at least as often as in the lines with entities: what can't disclose enough even then is not looked for in the corpus
     pairs = saved(pairs.filter(disclosed(F.col("n_both"), F.greatest("n_near", "n_both"), F.col("n_entity"), n_lines) >= disclosure), "pii-pairs")

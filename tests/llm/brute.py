@@ -185,6 +185,48 @@ def repeats(texts: list[tuple[int, str | None]], n: int = 50) -> list[tuple]:
     return out
 
 
+def revealing_terms(texts: list[str | None], disclosure: float, support: int, prior: float) -> set[str]:
+    """Terms that disclose a protected entity, counted one by one."""
+    import math
+    from collections import Counter
+
+    import regex
+
+    term = regex.compile(r"[\p{L}\p{M}\p{N}'’.-]{3,}")
+
+    def terms(text: str) -> list[str]:
+        bare = (w.strip(".,;:!?()[]{}<>\"'`*_~-").lower() for w in WORD.findall(text))
+        return [b for b in bare if term.fullmatch(b) and regex.search(r"\p{L}", b)]
+
+    contexts: Counter = Counter()
+    for text in texts:
+        own = set()
+        for start, kind, end in base_spans(text):
+            value = text[start:end].lower()
+            line = text[:start].rpartition("\n")[2] + text[start:].partition("\n")[0]
+            own.add(((kind, value), line))
+            if kind == 0:
+                own.add((("domain", value.rpartition("@")[2]), line))
+            if kind == 1:
+                own.add((("network", ".".join(value.split(".")[:3])), line))
+        contexts.update(own)
+    n_lines = sum((t or "").count("\n") + 1 for t in texts if t is not None)
+    n_term = Counter(w for t in texts for w in terms(t or ""))
+    found = set()
+    for entity in {e for e, _ in contexts}:
+        own = {line: n for (e, line), n in contexts.items() if e == entity}
+        n_entity = sum(own.values())
+        both = Counter()
+        for line, n in own.items():
+            for w, times in Counter(terms(line)).items():
+                both[w] += n * times
+        bits = -math.log2(n_entity / n_lines)
+        for w, n in both.items():
+            if n >= support and (math.log2(n / (max(n_term[w], n) + prior)) + bits) / max(bits, 1e-9) >= disclosure:
+                found.add(w)
+    return found
+
+
 def mixing(tokens: dict[str, int], entropy: float, repeats: float, budget: float) -> dict[str, tuple[float, int, int, int]]:
     """weight, budget, whole passes and the rest of each source, by plain bisection."""
     import math

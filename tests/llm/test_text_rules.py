@@ -33,6 +33,39 @@ def labels(spark, docs):
     return docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).filter("doc_id % 2 = 0")
 
 
+def test_revealing_terms_are_those_of_plain_counts(spark):
+    import random
+
+    r = random.Random(5)
+    names = ["O'Brien", "Jean-Luc", "agent007", "Ünïcödé", "x" * 90, "Ann", "B2B"]
+    mails = [f"{n}@{d}.org" for n in ("a", "b", "c") for d in ("one", "two")] + ["10.1.2.3", "10.1.2.9", "+49 30 1234567"]
+    texts = []
+    for i in range(260):
+        lines = [" ".join(r.choices("the of and to it in on by as".split(), k=9)) for _ in range(r.randint(1, 4))]
+        if i % 4 == 0:
+            k = r.randrange(len(mails))
+            lines.insert(0, f"{r.choice(['say', 'ask'])} {names[k % len(names)]}, at {mails[k]} {r.choice('pqrs')}{r.randrange(9)} or")
+        if i % 50 == 7:
+            lines.append(f"talk of {r.choice(names)}.")
+        texts.append("\n".join(lines))
+    texts += [None, "", texts[0], texts[0]]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, term string")
+    for disclosure, support in ((0.5, 2), (0.7, 2), (0.6, 3)):
+        want = brute.revealing_terms(texts, disclosure, support, pii.PRIOR)
+        terms = pii.revealing_terms(df, pii.with_base_spans(df.select("text")), disclosure, support)
+        assert {x["term"] for x in terms.collect()} == want and want
+    assert {"o'brien", "jean-luc", "agent007"} & brute.revealing_terms(texts, 0.5, 2, pii.PRIOR)
+
+
+def test_terms_are_found_in_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [x["text"] for x in docs.collect()]
+    want = brute.revealing_terms(texts, pii.DISCLOSURE, pii.SUPPORT, pii.PRIOR)
+    assert want
+    found = pii.with_spans(docs).select(F.explode("term").alias("t")).select(F.lower("t.value").alias("v")).distinct().collect()
+    assert {x["v"] for x in found} == want
+
+
 def test_quality_counts(spark, docs):
     rows = quality.judged(docs, labels(spark, docs)).collect()
     assert len(rows) == docs.count()
