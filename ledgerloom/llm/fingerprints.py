@@ -6,7 +6,7 @@ t = floor(ln S / r + beta) and ln a = ln c - r (t - beta + 1). The component's s
 two texts agree in a component with a probability that is the generalised Jaccard similarity sum(min) / sum(max) of their weights.
 
 a >= (1 - u3 u4) u1 u2 / S, where r = -ln(u1 u2) and c = -ln(u3 u4): logarithms are taken only for terms where this bound is
-at most BOUND / (sum of weights). The smallest a is Exp(sum of weights), so in exp(-BOUND) of the components, less than one in a
+at most BOUND / (sum of weights). The smallest a is Exp(sum of weights), so in exp(-BOUND) of the components, six in a
 million, it is over that, and a term that was passed over could have a smaller one. Texts with such a component are sampled again,
 all of their terms without a bound, so that every fingerprint is that of the definition.
 """
@@ -20,7 +20,9 @@ from .common import NULLS, documents, forgotten, next_buckets, saved, with_range
 
 SAMPLES = 32
 SHINGLE = 5
-BOUND = 14.0
+BOUND = 12.0
+#: So few keys are sent to every executor.
+SENT = 65_536
 
 
 def with_term_runs(df: DataFrame, text: str, shingle: int = SHINGLE) -> DataFrame:
@@ -114,9 +116,17 @@ def with_edited(rows: DataFrame, after: DataFrame) -> DataFrame:
 KEYS = ["bucket", "rn", "doc_id", "n_chars", "edited_sha256"]
 
 
-def _prints(rows: DataFrame, after: DataFrame, n_samples: int, bound: float | None) -> DataFrame:
-    """KEYS, fingerprint, edited_fingerprint and open of each of rows."""
-    both = with_edited(rows, after).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+def _few(keys: DataFrame) -> DataFrame:
+    """Saved keys, sent to every executor if they are few."""
+    return F.broadcast(keys) if keys.count() <= SENT else keys
+
+
+def _prints(rows: DataFrame, after: DataFrame, n_samples: int, bound: float | None, only: DataFrame | None = None) -> DataFrame:
+    """KEYS, fingerprint, edited_fingerprint and open of each of rows, or of those in only (bucket, rn)."""
+    both = with_edited(rows, after)
+    if only is not None:
+        both = both.join(_few(only), ["bucket", "rn"], "left_semi")
+    both = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     both = both.select(*KEYS, F.posexplode(F.array("text", "edited")).alias("which", "body"))
     prints = weighted_samples(both, [*KEYS, "which"], "body", n_samples, bound=bound)
     own = lambda which, c: F.max(F.when(F.col("which") == which, F.col(c)))
@@ -133,12 +143,13 @@ def fingerprint_report(df: DataFrame, n_samples: int = SAMPLES, bound: float | N
     rows = in_ranges(df)
     after = next_buckets(rows)
     prints = saved(_prints(rows, after, n_samples, bound), "fingerprints")
-    again = saved(prints.filter("open").select("bucket").distinct(), "fingerprints-open")
+    again = saved(prints.filter("open").select("bucket", "rn"), "fingerprints-open")
     if not again.isEmpty():
-        # these ranges and those with their last rows' next documents
-        needed = again.union(again.join(after, "bucket").select(F.col("next_bucket").alias("bucket"))).distinct()
-        settled = _prints(rows.join(needed, "bucket", "left_semi"), after, n_samples, None).join(again, "bucket", "left_semi")
-        first, prints = prints, saved(prints.join(again, "bucket", "left_anti").unionByName(settled), "fingerprints")
+        # their ranges, and those that hold the last rows' next documents
+        own = again.select("bucket").distinct()
+        needed = saved(own.union(own.join(after, "bucket").select(F.col("next_bucket").alias("bucket"))).distinct(), "fingerprints-ranges")
+        settled = _prints(rows.join(_few(needed), "bucket", "left_semi"), after, n_samples, None, again)
+        first, prints = prints, saved(prints.join(_few(again), ["bucket", "rn"], "left_anti").unionByName(settled), "fingerprints")
         forgotten(first)
     following = F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("rn"))
     heads = prints.filter("rn = 1").select(F.col("bucket").alias("next_bucket"), F.col("fingerprint").alias("head"))
