@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-#: White space that trim() removes: all of Unicode's, as a regular-expression class.
-SPACE = r"[\x09-\x0d\x20\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+# The white space that is trimmed, all of Unicode's, and the form of text that is a number.
+SPACE = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 NUMBER = r"(?i)^[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?$"
 
 
@@ -29,7 +32,23 @@ def unique_headers(values: Iterable[str | None]) -> list[str]:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE))
+
+
+@F.pandas_udf(StringType())
+def _compatible(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+
+def compatible(c: Column) -> Column:
+    """NFKC of a text; ASCII text, which that leaves as it is, stays in built-in functions."""
+    plain = c.rlike(r"^[\x00-\x7f]*$")
+    return F.when(c.isNull() | plain, c).otherwise(_compatible(F.when(~plain, c)))
+
+
+def header_text(name: str) -> str:
+    """A header as it is looked for: compatible characters, trimmed, without case."""
+    return unicodedata.normalize("NFKC", name).strip(SPACE).lower()
 
 
 def key_of(c: Column) -> Column:
@@ -59,14 +78,22 @@ def typed_key(c: Column, kind: str) -> Column:
     return F.when(~blank, F.concat(F.lit(f"{kind}:"), text))
 
 
-def split_key(text: Column, strict: bool = False) -> Column:
-    """Key of a text cell for splitting: trimmed, numbers by value, other text without case; in strict mode the text as it is. Blank: null."""
+def split_key(text: Column, strict: bool = False, kind: Column | None = None) -> Column:
+    """Key of a cell for splitting: numbers by value, booleans, dates, and other text trimmed, in compatible characters and without case.
+
+    Text that is a number counts as one. In strict mode text is kept as it is, apart from numbers and booleans. kind: the cell's
+    (string, number, boolean, date, error), text if not given. Blank text has a null key.
+    """
     bare = trimmed(text)
-    if strict:
-        return F.when(~is_blank(text), F.concat(F.lit("string:"), text))
-    number = F.when(bare.rlike(NUMBER), bare.try_cast("double"))
-    number = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
-    return F.when(~is_blank(text), F.coalesce(F.concat(F.lit("number:"), number_text(number)), F.concat(F.lit("string:"), F.lower(bare))))
+    whole = F.when(~is_blank(text), F.concat(F.lit("string:"), text))
+    if not strict:
+        number = F.when(bare.rlike(NUMBER), bare.try_cast("double"))
+        number = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+        whole = F.when(bare != "", F.coalesce(F.concat(F.lit("number:"), number_text(number)), F.concat(F.lit("string:"), F.lower(compatible(bare)))))
+    if kind is None:
+        return whole
+    number = text.try_cast("double")
+    return F.when(kind == "number", F.concat(F.lit("number:"), number_text(number))).when(kind.isin("boolean", "date"), F.concat(kind, F.lit(":"), text)).otherwise(whole)
 
 
 def display_text(c: Column, kind: str) -> Column:

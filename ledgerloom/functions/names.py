@@ -58,12 +58,12 @@ def without_extension(c: Column, extension: str) -> Column:
 
 
 def output_names(values: Iterable[str | None], prefix: str = "", extension: str = "xlsx") -> list[str]:
-    """A file name for each group value in order; a name that is taken (whatever its case) gets -2, -3 and so on."""
+    """A file name for each group value in order; a name that is taken (whatever its case) gets -2, -3 and so on. prefix: a safe name."""
     used: set[str] = set()
     out = []
     for value in values:
-        part = safe_name("blank" if value is None else value, "blank")
-        base = name = safe_name(f"{prefix}-{part}") if prefix else part
+        part = "blank" if value is None else safe_name(value, "value")
+        base = name = f"{prefix}-{part}" if prefix else part
         n = 1
         while name.lower() in used:
             n += 1

@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cells import key_of
+from ..errors import LoomError
+from ..functions.cells import compatible, header_text, key_of, trimmed
 
 SHEET = ("file", "sheet")
 
 
-def header_rows(cells: DataFrame) -> DataFrame:
-    """(file, sheet, header_row): the first row with a value; empty text is one."""
+def header_rows(cells: DataFrame, header_row: int | None = None) -> DataFrame:
+    """(file, sheet, header_row): the first row with a value (empty text is one), or the row given, where it is in the sheet's rows."""
+    if header_row is not None:
+        if header_row < 1:
+            raise LoomError("XLSX_INVALID_HEADER_ROW", "The header row must be a positive integer.", {"headerRow": header_row})
+        inside = cells.groupBy(*SHEET).agg(F.min("row").alias("low"), F.max("row").alias("high")).filter(F.lit(header_row).between(F.col("low"), F.col("high")))
+        return inside.select(*SHEET, F.lit(header_row).cast("long").alias("header_row"))
     return cells.filter("value is not null").groupBy(*SHEET).agg(F.min("row").alias("header_row"))
 
 
-def header_place(cells: DataFrame, column: str) -> DataFrame:
-    """(file, sheet, header_row, header_col): the first cell, row by row, whose text is the column's name."""
-    found = cells.filter(key_of(F.col("value")) == column.strip().lower())
+def header_place(cells: DataFrame, column: str, header_row: int | None = None) -> DataFrame:
+    """(file, sheet, header_row, header_col): the first cell, row by row, whose text is the column's name, in the row given if any."""
+    if header_row is not None:
+        cells = cells.filter(F.col("row") == header_row)
+    found = cells.filter(F.lower(trimmed(compatible(F.col("value")))) == header_text(column))
     first = found.groupBy(*SHEET).agg(F.min(F.struct("row", "col")).alias("at"))
     return first.select(*SHEET, F.col("at.row").alias("header_row"), F.col("at.col").alias("header_col"))
 
@@ -35,10 +43,35 @@ def rows_with_values(cells: DataFrame) -> DataFrame:
     return cells.filter("value is not null and value <> ''").select(*SHEET, "row").distinct()
 
 
-def in_ranges(cells: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Cells with each range (file, sheet, name, top, left, bottom, right) they are in. Joined on the sheet; the places are compared there."""
+def in_ranges(cells: DataFrame, ranges: DataFrame, block: int = 1024) -> DataFrame:
+    """Cells with each range (file, sheet, name, top, left, bottom, right) they are in.
+
+    Joined on the sheet and blocks of rows, so that a long sheet is many keys, and a cell meets only the ranges of its block.
+    """
+    blocks = F.sequence(F.expr(f"top div {block}"), F.expr(f"bottom div {block}"))
+    spread = ranges.withColumn("_block", F.explode(blocks))
     inside = F.col("row").between(F.col("top"), F.col("bottom")) & F.col("col").between(F.col("left"), F.col("right"))
-    return cells.join(ranges, list(SHEET)).filter(inside)
+    return cells.withColumn("_block", F.expr(f"row div {block}")).join(spread, [*SHEET, "_block"]).filter(inside).drop("_block")
+
+
+def matched_tables(headers: DataFrame, tables: DataFrame) -> DataFrame:
+    """headers (file, sheet, header_row, header_col) with the first Excel table (file, sheet, place, name, top, left, header, columns, ...) whose header is there: the same row, and a column of the same name at the same place."""
+    named = tables.filter("header").select(*SHEET, "place", F.struct(*[c for c in tables.columns if c not in SHEET]).alias("table"))
+    met = headers.join(named, list(SHEET)).filter((F.col("table.top") == F.col("header_row")))
+    own = F.get("table.columns", F.col("header_col") - F.col("table.left"))
+    met = met.filter((F.col("header_col") >= F.col("table.left")) & (F.lower(trimmed(compatible(own))) == F.lower(trimmed(compatible(F.col("header"))))))
+    return met.groupBy(*SHEET, "header_row", "header_col").agg(F.min_by("table", "place").alias("table"))
+
+
+def duplicate_names(names: DataFrame) -> DataFrame:
+    """(name, times) of names (name) that are there more than once."""
+    return names.groupBy("name").agg(F.count("*").alias("times")).filter("times > 1")
+
+
+def empty_rows(cells: DataFrame) -> DataFrame:
+    """(file, sheet, n) rows of cells in which all are null or empty text."""
+    full = cells.groupBy(*SHEET, "row").agg(F.max(F.coalesce(F.col("value") != "", F.lit(False))).alias("full"))
+    return full.groupBy(*SHEET).agg(F.count_if(~F.col("full")).alias("n"))
 
 
 def split_counts(rows: DataFrame) -> DataFrame:
@@ -68,6 +101,12 @@ def compacted(rows: DataFrame, keep: Column, by: list[str], order: str = "row",
     return out.withColumn("new_row", (F.col(order) - F.col("_within") - F.col("_before")).cast("long")).drop("_gone", "_block", "_within", "_before")
 
 
+def table_rows(rows: DataFrame, by: list[str], top: str, order: str) -> DataFrame:
+    """Kept rows of tables with new_row, right below the header in row top, and totals_row, the one after the last; by: the table."""
+    w = Window.partitionBy(*by)
+    return rows.withColumn("new_row", (F.col(top) + F.row_number().over(w.orderBy(order))).cast("long")).withColumn("totals_row", (F.col(top) + 1 + F.count("*").over(w)).cast("long"))
+
+
 def column_widths(df: DataFrame) -> DataFrame:
     """(column, width): the longest text and two more, from 10 to 60."""
     longest = df.agg(*[F.max(F.length(F.col(c).cast("string"))).alias(c) for c in df.columns])

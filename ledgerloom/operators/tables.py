@@ -18,13 +18,15 @@ SOURCE_COLUMNS = ("_source_file", "_source_sheet", "_source_row")
 
 @dataclass(frozen=True)
 class Table:
-    """A DataFrame with the place its rows come from. order: column of the rows' order; its value plus first_row is the source row."""
+    """A DataFrame with the place its rows come from. order: column of the rows' order; its value plus first_row is the source row. name, ref: of an Excel table or a named range."""
 
     df: DataFrame
     order: str
     file: str | None = None
     sheet: str | None = None
     first_row: int = 2
+    name: str | None = None
+    ref: str | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -117,10 +119,27 @@ def groups_of(df: DataFrame, column: str, order: str, include_blank: bool = True
     if not include_blank:
         rows = rows.filter("_key is not null")
     found = rows.groupBy("_key").agg(F.count("*").alias("n_rows"), F.min(order).alias("first_row"))
-    return found.select(F.col("_key").alias("group_key"), F.row_number().over(Window.orderBy("first_row")).cast("long").alias("group_order"), "n_rows", F.col("first_row").cast("long").alias("first_row"))
+    return numbered(found, "first_row", F.col("first_row"), "group_order").select(F.col("_key").alias("group_key"), "group_order", "n_rows", F.col("first_row").cast("long").alias("first_row"))
+
+
+#: Values of an order that are numbered together.
+BLOCK = 1 << 20
+
+
+def numbered(df: DataFrame, order: str, by: Column, name: str) -> DataFrame:
+    """df with a column of numbers from 1 by order; by: a whole number that grows with order.
+
+    Rows are numbered in blocks of by, and a row for each block is summed, so no task sees all rows.
+    """
+    blocks = df.withColumn("_block", F.floor(by / BLOCK))
+    sums = blocks.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("_block", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_block").orderBy(order))
+    return blocks.withColumn("_within", within).join(sums, "_block").withColumn(name, (F.col("_before") + F.col("_within")).cast("long")).drop("_block", "_within", "_before")
 
 
 def record_columns(entries: DataFrame) -> DataFrame:
-    """(column, place) of records given as (record, place, name): the union of their names in first-seen order."""
+    """(column, place) of records given as (record, place, name), record a number: the union of their names in first-seen order."""
     first = entries.groupBy("name").agg(F.min(F.struct("record", "place")).alias("at"))
-    return first.select(F.col("name").alias("column"), F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
+    return numbered(first, "at", F.col("at.record"), "place").select(F.col("name").alias("column"), "place")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import shutil
+import sys
 import tempfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 from ..errors import LoomError
@@ -35,6 +36,7 @@ class OperationResult:
     artifacts: tuple[str, ...]
     warnings: tuple[str, ...] = ()
     metrics: dict[str, int] = field(default_factory=dict)
+    outputs: list[dict] = field(default_factory=list)
 
 
 @dataclass
@@ -51,29 +53,46 @@ class Control:
             self.report(operation, stage, completed, total, detail)
 
 
+def _same(path: str) -> str:
+    """A path as its file system compares it."""
+    return os.path.realpath(path).lower() if sys.platform in ("win32", "darwin") else os.path.realpath(path)
+
+
 def refuse_overwriting_inputs(outputs: Iterable[str], inputs: Iterable[str]) -> None:
-    own = {os.path.realpath(i) for i in inputs}
+    own = {_same(i) for i in inputs}
     for path in outputs:
-        if os.path.realpath(path) in own:
-            raise LoomError("OUTPUT_IS_INPUT", f"{path} is also an input.", {"path": path})
+        if _same(path) in own:
+            raise LoomError("FILES_INPUT_OVERWRITE", f"{path} is also an input.", {"path": path})
 
 
-def commit(files: dict[str, bytes], overwrite: bool = False) -> list[str]:
-    """Write all files or none: they are staged first, then renamed; on a failure what was there comes back."""
-    for path in files:
+def check_outputs(paths: Iterable[str], overwrite: bool = False, directory_code: str = "FILES_OUTPUT_EXISTS") -> None:
+    """Nothing is written if an output is a folder, or exists and may not be replaced."""
+    for path in paths:
         if os.path.isdir(path):
-            raise LoomError("OUTPUT_IS_DIRECTORY", f"{path} is a folder.", {"path": path})
+            raise LoomError(directory_code, f"{path} is a folder.", {"path": path})
         if os.path.exists(path) and not overwrite:
-            raise LoomError("OUTPUT_EXISTS", f"{path} exists.", {"path": path})
+            raise LoomError("FILES_OUTPUT_EXISTS", f"{path} exists.", {"path": path})
+
+
+def commit(files: Mapping[str, bytes] | Iterable[tuple[str, bytes]], overwrite: bool = False, directory_code: str = "FILES_OUTPUT_EXISTS", rollback_code: str = "XLSX_SPLIT_ROLLBACK_FAILED") -> list[str]:
+    """Write all files or none: each is staged as it comes, all are renamed at last; on a failure what was there comes back.
+
+    files may be an iterator, so only one file's content is in memory at a time.
+    """
+    stages: dict[str, str] = {}
+    staged: dict[str, str] = {}
     moved: list[tuple[str, str | None]] = []
-    folders = {os.path.dirname(os.path.abspath(p)) for p in files}
-    for folder in folders:
-        os.makedirs(folder, exist_ok=True)
-    stages = {folder: tempfile.mkdtemp(prefix=".staged-", dir=folder) for folder in folders}
+    if isinstance(files, Mapping):
+        check_outputs(files, overwrite, directory_code)
+        files = files.items()
     try:
-        staged = {}
-        for i, (path, content) in enumerate(files.items()):
-            staged[path] = os.path.join(stages[os.path.dirname(os.path.abspath(path))], f"{i}.new")
+        for i, (path, content) in enumerate(files):
+            check_outputs([path], overwrite, directory_code)
+            folder = os.path.dirname(os.path.abspath(path))
+            if folder not in stages:
+                os.makedirs(folder, exist_ok=True)
+                stages[folder] = tempfile.mkdtemp(prefix=".staged-", dir=folder)
+            staged[path] = os.path.join(stages[folder], f"{i}.new")
             with open(staged[path], "wb") as out:
                 out.write(content)
         try:
@@ -84,13 +103,17 @@ def commit(files: dict[str, bytes], overwrite: bool = False) -> list[str]:
                 moved.append((path, backup))
                 os.rename(new, path)
         except OSError as error:
-            for path, backup in reversed(moved):
-                if backup:
-                    os.replace(backup, path)
-                elif os.path.exists(path):
-                    os.remove(path)
-            raise LoomError("OUTPUT_WRITE_FAILED", "No file was changed.", {"cause": str(error)}) from error
+            try:
+                for path, backup in reversed(moved):
+                    if backup:
+                        os.replace(backup, path)
+                    elif os.path.exists(path):
+                        os.remove(path)
+            except OSError as second:
+                stages.clear()  # what could not be put back stays in the staging folders
+                raise LoomError(rollback_code, "Files that were replaced could not be put back.", {"cause": str(second)}) from second
+            raise
     finally:
         for folder in stages.values():
             shutil.rmtree(folder, ignore_errors=True)
-    return list(files)
+    return list(staged)

@@ -10,7 +10,12 @@ from ..errors import LoomError
 
 
 def normalized_extensions(extensions: Iterable[str]) -> set[str]:
-    return {("" if e.startswith(".") else ".") + e.strip().lower() for e in extensions}
+    return {"." + e.strip().lower().removeprefix(".") for e in extensions}
+
+
+def portable(pattern: str, windows: bool = os.name == "nt") -> str:
+    """A pattern with forward slashes where backslashes separate folders."""
+    return pattern.replace("\\", "/") if windows else pattern
 
 
 def discover_files(inputs: Iterable[str], cwd: str | None = None, extensions: Iterable[str] | None = None) -> list[str]:
@@ -23,13 +28,13 @@ def discover_files(inputs: Iterable[str], cwd: str | None = None, extensions: It
         elif os.path.isdir(path):
             found.update(os.path.abspath(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
         else:
-            matches = [m for m in glob.glob(path.replace("\\", "/"), recursive=True) if os.path.isfile(m)]
+            matches = [m for m in glob.glob(portable(path), recursive=True) if os.path.isfile(m)]
             if not matches and not glob.has_magic(path):
-                raise LoomError("INPUT_NOT_FOUND", f"{given} does not exist.", {"input": given})
+                raise LoomError("FILES_NOT_FOUND", f"{given} does not exist.", {"input": given})
             found.update(map(os.path.abspath, matches))
     if extensions is not None:
         wanted = normalized_extensions(extensions)
         found = {f for f in found if os.path.splitext(f)[1].lower() in wanted}
     if not found:
-        raise LoomError("INPUTS_EMPTY", "No input files were found.")
+        raise LoomError("FILES_NO_INPUTS", "No input files were found.")
     return sorted(found, key=lambda f: (f.lower(), f))

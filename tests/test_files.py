@@ -26,7 +26,7 @@ def test_commit_is_all_or_nothing(tmp_path):
     assert commit({a: b"1", b: b"2"}) == [a, b]
     with pytest.raises(LoomError) as e:
         commit({str(tmp_path / "c.bin"): b"3", b: b"4"})
-    assert e.value.code == "OUTPUT_EXISTS" and not (tmp_path / "c.bin").exists()
+    assert e.value.code == "FILES_OUTPUT_EXISTS" and not (tmp_path / "c.bin").exists()
     commit({b: b"4"}, overwrite=True)
     assert (tmp_path / "b.bin").read_bytes() == b"4" and sorted(os.listdir(tmp_path)) == ["a.bin", "b.bin"]
     with pytest.raises(LoomError):
