@@ -252,13 +252,41 @@ def shape(*runs):
 def test_slides():
     template = deck(shape("{{name}} / {{ name }}") + shape("{{reve", "nue}} &amp; more", "!"))
     content, metrics = slides.populated(template, [{"name": "A<B", "revenue": " $1 "}, {"name": "C", "revenue": "2"}])
-    assert metrics == {"slides": 2, "fields": 2, "occurrences": 3, "replacements": 6}
+    assert {k: metrics[k] for k in ("generatedSlides", "placeholderFields", "placeholderOccurrences", "replacements")} == {"generatedSlides": 2, "placeholderFields": 2, "placeholderOccurrences": 3, "replacements": 6}
     z = zipfile.ZipFile(io.BytesIO(content))
     first = z.read("ppt/slides/slide1.xml").decode()
     assert "A&lt;B / A&lt;B" in first and '<a:t xml:space="preserve"> $1 </a:t>' in first and "<a:t xml:space=\"preserve\"> &amp; more</a:t>" in first
     assert z.read("ppt/presentation.xml").decode().count("<p:sldId ") == 2
     assert content == slides.populated(template, [{"name": "A<B", "revenue": " $1 "}, {"name": "C", "revenue": "2"}])[0]
-    for bad, code in ((deck(shape("{{a}")), "PPTX_NO_PLACEHOLDERS"), (deck(shape("{{a}} {{b}")), "PPTX_MALFORMED_PLACEHOLDER"), (deck(shape("{{a}}") + "<a:t>{{t}}</a:t>"), "PPTX_UNSUPPORTED_PLACEMENT"), (deck(shape("{{missing}}")), "PPTX_MISSING_COLUMNS")):
+    bad = [
+        (deck(shape("a")), "PPTX_NO_PLACEHOLDERS"), (deck(shape("{{a}} {{b}")), "PPTX_MALFORMED_PLACEHOLDER"), (deck(shape("{{a}")), "PPTX_MALFORMED_PLACEHOLDER"), (deck(shape("{{a}} {{ }}")), "PPTX_MALFORMED_PLACEHOLDER"),
+        (deck(shape("{{a}}") + "<a:t>{{t}}</a:t>"), "PPTX_UNSUPPORTED_PLACEHOLDER_PLACEMENT"), (deck(shape("{{A}}")), "PPTX_MISSING_EXCEL_COLUMN"), (b"nothing", "PPTX_INVALID_TEMPLATE"),
+    ]
+    for content, code in bad:
+        with pytest.raises(LoomError) as e:
+            slides.populated(content, [{"a": "1"}])
+        assert e.value.code == code
+    for number, code in ((0, "PPTX_INVALID_TEMPLATE_SLIDE"), (3, "PPTX_TEMPLATE_SLIDE_NOT_FOUND")):
         with pytest.raises(LoomError) as e:
-            slides.populated(bad, [{"a": "1"}])
-        assert e.value.code in (code, "PPTX_MALFORMED_PLACEHOLDER")
+            slides.inspect(template, number)
+        assert e.value.code == code
+    found = slides.inspect(deck(shape("x"), shape("{{client_name}} / {{ client_name }}") + shape("{{reve", "nue}}") + shape("{{growth_rate}") + "<a:t>{{table_value}}</a:t>"), 2)
+    assert (found.fields, found.occurrences, found.malformed, found.elsewhere) == ({"client_name": 2, "revenue": 1}, 3, 1, ("table_value",))
+    assert slides.decoded("&#65;&#x42;&amp;lt; &unknown; &lt;") == "AB&lt; &unknown; <"
+
+
+def test_populate_from_a_workbook(spark, tmp_path):
+    (tmp_path / "t.pptx").write_bytes(deck(shape("{{client}}: {{n}}")))
+    (tmp_path / "d.xlsx").write_bytes(package([("D", "", row(1, A="client", B="n") + row(2, A="A", B=1) + row(4, A="B", B=2.5), "A1:B4")]))
+    template, data, output = (str(tmp_path / n) for n in ("t.pptx", "d.xlsx", "o.pptx"))
+    plan = slides.plan_populate(spark, template, output, workbook=data)
+    assert plan.metrics["generatedSlides"] == 2 and plan.warnings == ("Skipped 1 empty row.",) and not os.path.exists(output)
+    result = slides.populate(spark, template, output, workbook=data)
+    assert result.metrics["replacements"] == 4 and b"B: 2.5" in zipfile.ZipFile(output).read("ppt/slides/slide2.xml")
+    for kind, code in (({"workbook": data}, "FILES_OUTPUT_EXISTS"), ({"workbook": data, "records": []}, "PPTX_INVALID_DATA_SOURCE"), ({"records": []}, "PPTX_NO_DATA_ROWS"), ({"workbook": "none.xlsx"}, "XLSX_WORKBOOK_NOT_FOUND")):
+        with pytest.raises(LoomError) as e:
+            slides.populate(spark, template, output, **kind)
+        assert e.value.code == code
+    with pytest.raises(LoomError) as e:
+        slides.populate(spark, template, template, overwrite=True, records=[{"client": "x"}])
+    assert e.value.code == "FILES_INPUT_OVERWRITE"
