@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import cells as C
+from .functions import messages as M
 from .functions import names as N
 from .functions import templates as P
 from .operators import pages as G
 from .operators import sheets as S
+from .operators import workbooks as W
+from .operators.splits import Options, split_rows
 from .operators.tables import Table, groups_of, record_columns, union_tables
+from .plans.control import collisions
+from .sources.discover import distinct_paths
+from .sources.xlsx import workbook_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,7 +80,7 @@ def consolidated_groups(spark, d):
     return rows.groupBy(F.col("Nation").alias("nation")).agg(F.count("*").alias("n_rows"), F.count_distinct("_source_file").alias("sources"), F.min("_source_row").alias("first_row"))
 
 
-@query(f"""SELECT CAST(count(DISTINCT f) AS BIGINT) AS input_files, CAST(count(DISTINCT f || s) AS BIGINT) AS input_tables, count(*) AS output_rows, CAST(7 AS BIGINT) AS output_columns FROM ({_PARTIES})""")
+@query(f"""SELECT CAST(count(DISTINCT f) AS BIGINT) AS input_files, CAST(count(DISTINCT f || s) AS BIGINT) AS input_tables, count(*) AS output_rows, (SELECT count(*) FROM (DESCRIBE {_PARTIES})) AS output_columns FROM ({_PARTIES})""")
 def consolidation_metrics(spark, d):
     rows = union_tables(_parties(spark, d))
     return rows.agg(F.count_distinct("_source_file").alias("input_files"), F.count_distinct(F.concat("_source_file", "_source_sheet")).alias("input_tables"), F.count("*").alias("output_rows"), F.lit(len(rows.columns) - 2).cast("long").alias("output_columns"))
@@ -150,20 +156,22 @@ def split_sheet_matrix(spark, d):
 
 @query(f"""WITH r AS ({_SHEETS}) SELECT count(*) AS input_rows, count(*) FILTER (WHERE key IS NULL) AS skipped_rows, count(DISTINCT key) AS groups, count(key) AS output_rows, count(DISTINCT sheet) AS sheets_filtered, count(DISTINCT key) * count(*) - count(key) AS rows_deleted FROM r""")
 def split_metrics(spark, d):
-    r = _sheet_rows(spark, d)
-    return r.agg(F.count("*").alias("input_rows"), F.count_if(F.col("key").isNull()).alias("skipped_rows"), F.count_distinct("key").alias("groups"), F.count("key").alias("output_rows"), F.count_distinct("sheet").alias("sheets_filtered"), (F.count_distinct("key") * F.count("*") - F.count("key")).alias("rows_deleted"))
+    return S.split_totals(_sheet_rows(spark, d))
 
 
-@query("SELECT 'region' AS sheet, FALSE AS filtered UNION ALL SELECT 'nation', TRUE UNION ALL SELECT 'customer', FALSE")
+@query("SELECT table_name AS sheet, bool_or(lower(column_name) = 'n_regionkey') AS filtered, any_value(n) AS rows FROM information_schema.columns JOIN (SELECT 'region' AS t, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'customer', count(*) FROM customer) ON t = table_name GROUP BY 1")
 def split_unchanged_sheets(spark, d):
     """A sheet without the column is copied as it is."""
     cells = None
     for name in ("region", "nation", "customer"):
         df = read(spark, d, name)
         heads = spark.createDataFrame([("book", name, 1, i, c) for i, c in enumerate(df.columns, 1)], "file string, sheet string, row long, col int, value string")
-        cells = heads if cells is None else cells.union(heads)
+        rows = df.select(F.lit("book").alias("file"), F.lit(name).alias("sheet"), (F.col(df.columns[0]) + 2).cast("long").alias("row"), F.lit(1).alias("col"), F.col(df.columns[0]).cast("string").alias("value"))
+        own = heads.union(rows)
+        cells = own if cells is None else cells.union(own)
     found = S.header_place(cells, " N_RegionKey").select("sheet", F.lit(True).alias("found"))
-    return cells.select("sheet").distinct().join(found, "sheet", "left").select("sheet", F.coalesce("found", F.lit(False)).alias("filtered"))
+    sheets = cells.groupBy("sheet").agg(F.count_if(F.col("row") > 1).alias("rows"))
+    return sheets.join(found, "sheet", "left").select("sheet", F.coalesce("found", F.lit(False)).alias("filtered"), "rows")
 
 
 @query("SELECT o_orderkey, new_row FROM (SELECT o_orderkey, o_orderstatus, CAST(rn - sum(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END) OVER (ORDER BY rn) AS BIGINT) AS new_row FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders)) WHERE o_orderstatus = 'F'")
@@ -181,8 +189,8 @@ def row_compaction(spark, d):
 @query("SELECT n_regionkey AS grp, n_nationkey AS key, CAST(4 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS BIGINT) AS new_row, CAST(5 + count(*) OVER (PARTITION BY n_regionkey) AS BIGINT) AS totals_row FROM nation")
 def table_compaction_with_totals(spark, d):
     """A table whose header is in row 4: kept rows follow it without gaps, then the totals row."""
-    w = Window.partitionBy("n_regionkey")
-    return read(spark, d, "nation").select(F.col("n_regionkey").alias("grp"), F.col("n_nationkey").alias("key"), (4 + F.row_number().over(w.orderBy("n_nationkey"))).cast("long").alias("new_row"), (5 + F.count("*").over(w)).cast("long").alias("totals_row"))
+    rows = read(spark, d, "nation").select(F.col("n_regionkey").alias("grp"), F.col("n_nationkey").alias("key"), F.lit(4).alias("top"))
+    return S.table_rows(rows, ["grp"], "top", "key").drop("top")
 
 
 _ODD = "CASE WHEN p_partkey % 5 = 0 THEN 'con.' || p_brand WHEN p_partkey % 5 = 1 THEN p_name || '/' || p_type || ': a  b. ' WHEN p_partkey % 5 = 2 THEN '<' || p_name || '>*' WHEN p_partkey % 5 = 3 THEN repeat(p_type, 8) ELSE ' .. ' END"
@@ -210,9 +218,8 @@ def stems_without_extension(spark, d):
 
 @query("""SELECT item_id, CASE WHEN octet_length(encode(text)) <= 80 THEN octet_length(encode(text)) ELSE (SELECT max(octet_length(encode(substr(text, 1, n)))) FROM range(1, 81) t(n) WHERE octet_length(encode(substr(text, 1, n))) <= 80) END AS bytes FROM benchmark""")
 def truncate_utf8(spark, d):
-    """Bytes of each text's longest head of whole characters within 80 bytes, in built-in functions."""
-    heads = F.filter(F.transform(F.sequence(F.lit(1), F.lit(80)), lambda n: F.octet_length(F.substring("text", F.lit(1), n))), lambda b: b <= 80)
-    return read(spark, d, "benchmark").select("item_id", F.array_max(heads).cast("long").alias("bytes"))
+    """Bytes of each text's longest head of whole characters within 80 bytes."""
+    return read(spark, d, "benchmark").select("item_id", F.octet_length(N.truncated_column(F.col("text"), 80)).cast("long").alias("bytes"))
 
 
 @query("""SELECT group_value, group_order, CASE WHEN n = 1 THEN base ELSE base || '-' || n END || '.xlsx' AS name FROM (
@@ -241,8 +248,8 @@ def unique_headers(spark, d):
 @query(f"SELECT lower(trim(value)) AS header, count(*) AS times FROM ({_HEADS}) WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def duplicate_headers(spark, d):
     value = F.expr("CASE WHEN n_nationkey % 4 = 0 THEN NULL WHEN n_nationkey % 4 = 1 THEN ' Name' WHEN n_nationkey % 4 = 2 THEN 'name ' ELSE n_name END")
-    rows = read(spark, d, "nation").select(C.key_of(value).alias("header")).filter("header is not null")
-    return rows.groupBy("header").agg(F.count("*").alias("times")).filter("times > 1")
+    rows = read(spark, d, "nation").select(C.key_of(value).alias("name")).filter("name is not null")
+    return S.duplicate_names(rows).withColumnRenamed("name", "header")
 
 
 _CELLS = """SELECT 'f' AS file, event_type AS sheet, event_id AS row, 1 AS col, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN '' ELSE event_type END AS value FROM events
@@ -273,8 +280,7 @@ def drop_empty_rows(spark, d):
 
 @query(f"SELECT sheet, count(DISTINCT row) - count(DISTINCT CASE WHEN value IS NOT NULL AND value <> '' THEN row END) AS empty_rows FROM ({_CELLS}) GROUP BY 1")
 def empty_row_count(spark, d):
-    c = _cells(spark, d).groupBy("sheet", "row").agg(F.max(F.coalesce(F.col("value") != "", F.lit(False))).alias("full"))
-    return c.groupBy("sheet").agg(F.count_if(~F.col("full")).alias("empty_rows"))
+    return S.empty_rows(_cells(spark, d)).select("sheet", F.col("n").alias("empty_rows"))
 
 
 _CATALOG = "SELECT n_nationkey AS sheet_order, n_name AS sheet, n_nationkey % 3 AS visibility FROM nation"
@@ -282,51 +288,60 @@ _CATALOG = "SELECT n_nationkey AS sheet_order, n_name AS sheet, n_nationkey % 3
 
 @query(f"SELECT sheet, sheet_order FROM ({_CATALOG}) WHERE visibility = 0")
 def visibility_filter(spark, d):
-    return read(spark, d, "nation").filter(F.col("n_nationkey") % 3 == 0).select(F.col("n_name").alias("sheet"), F.col("n_nationkey").alias("sheet_order"))
+    return S.chosen_areas(_areas(spark, d), "sheet").select("sheet", "sheet_order")
+
+
+def _areas(spark, d):
+    n = read(spark, d, "nation")
+    return n.select(F.lit("sheet").alias("area"), F.col("n_name").alias("name"), F.col("n_name").alias("sheet"), F.col("n_nationkey").alias("sheet_order"), (F.col("n_nationkey") % 3).alias("visibility"))
 
 
 @query("SELECT n_name AS sheet FROM nation WHERE lower(n_name) IN ('france', 'nation_1', 'nation_2', 'germany')")
 def sheet_name_filter(spark, d):
-    wanted = [w.lower() for w in ("France", "NATION_1", "Nation_2", "GERMANY")]
-    return read(spark, d, "nation").filter(F.lower("n_name").isin(wanted)).select(F.col("n_name").alias("sheet"))
+    return S.chosen_areas(_areas(spark, d), "sheet", sheets=["France", "NATION_1", "Nation_2", "GERMANY"], include_hidden=True).select("sheet")
 
 
-@query(r"""SELECT name, regexp_extract(ref, '^''?(.*?)''?!\$?([A-Za-z]+)\$?(\d+)(:\$?([A-Za-z]+)\$?(\d+))?$', 1) AS sheet, regexp_extract(ref, '!(.*)$', 1) AS range FROM (
-SELECT CASE WHEN p_partkey % 4 = 0 THEN '_xlnm.Print_Area' ELSE 'Range' || p_partkey END AS name, CASE WHEN p_partkey % 5 = 0 THEN '#REF!' ELSE '''' || p_brand || '''!$A$' || p_size || ':$C$' || (p_size + 9) END AS ref FROM part)
-WHERE NOT starts_with(name, '_xlnm.') AND ref <> '#REF!'""")
+@query(r"""SELECT name, replace(regexp_extract(ref, '^''?(.*?)''?!', 1), '''''', '''') AS sheet, replace(regexp_extract(ref, '!(.*)$', 1), '$', '') AS range FROM (
+SELECT CASE WHEN p_partkey % 4 = 0 THEN '_xlnm.Print_Area' ELSE 'Range' || p_partkey END AS name, CASE WHEN p_partkey % 5 = 0 THEN '#REF!' WHEN p_partkey % 5 = 1 THEN 'Plain!B' || p_size WHEN p_partkey % 5 = 2 THEN '''It''''s''!A1:B2' WHEN p_partkey % 5 = 3 THEN 'A!A1,B!B2' ELSE '''' || p_brand || '''!$A$' || p_size || ':$C$' || (p_size + 9) END AS ref FROM part)
+WHERE NOT starts_with(name, '_xlnm.') AND ref <> '#REF!' AND NOT contains(ref, ',')""")
 def defined_name_filter(spark, d):
     """Named ranges that people made and that point somewhere."""
     p = read(spark, d, "part")
     name = F.when(F.col("p_partkey") % 4 == 0, "_xlnm.Print_Area").otherwise(F.concat(F.lit("Range"), "p_partkey"))
-    ref = F.when(F.col("p_partkey") % 5 == 0, "#REF!").otherwise(F.concat(F.lit("'"), "p_brand", F.lit("'!$A$"), "p_size", F.lit(":$C$"), F.col("p_size") + 9))
-    pattern = r"^'?(.*?)'?!(\$?[A-Za-z]+\$?\d+(?::\$?[A-Za-z]+\$?\d+)?)$"
-    rows = p.select(name.alias("name"), ref.alias("ref")).filter(~F.col("name").startswith("_xlnm.") & F.col("ref").rlike(pattern))
-    return rows.select("name", F.regexp_extract("ref", pattern, 1).alias("sheet"), F.regexp_extract("ref", pattern, 2).alias("range"))
+    case = F.col("p_partkey") % 5
+    ref = F.when(case == 0, "#REF!").when(case == 1, F.concat(F.lit("Plain!B"), "p_size")).when(case == 2, "'It''s'!A1:B2").when(case == 3, "A!A1,B!B2")
+    ref = ref.otherwise(F.concat(F.lit("'"), "p_brand", F.lit("'!$A$"), "p_size", F.lit(":$C$"), F.col("p_size") + 9))
+    return S.named_areas(p.select(name.alias("name"), ref.alias("ref")))
 
 
 @query("""SELECT s_suppkey AS range_no, count(*) AS cells, sum(l_linenumber) AS total FROM lineitem JOIN supplier ON l_suppkey % 5 = s_suppkey % 5 AND l_partkey BETWEEN s_suppkey * 3 AND s_suppkey * 3 + 40 AND l_linenumber BETWEEN 2 AND 4 GROUP BY 1""")
 def range_join_cells(spark, d):
-    """Cells in ranges: joined by sheet, and by blocks of rows so that a long sheet is not one key."""
-    block = 64
-    cells = read(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("sheet"), F.col("l_partkey").alias("row"), F.col("l_linenumber").alias("col")).withColumn("block", F.floor(F.col("row") / block))
-    ranges = read(spark, d, "supplier").select((F.col("s_suppkey") % 5).alias("sheet"), F.col("s_suppkey").alias("range_no"), (F.col("s_suppkey") * 3).alias("top"), (F.col("s_suppkey") * 3 + 40).alias("bottom"))
-    ranges = ranges.withColumn("block", F.explode(F.sequence(F.floor(F.col("top") / block), F.floor(F.col("bottom") / block))))
-    found = cells.join(ranges, ["sheet", "block"]).filter(F.col("row").between(F.col("top"), F.col("bottom")) & F.col("col").between(2, 4))
-    return found.groupBy("range_no").agg(F.count("*").alias("cells"), F.sum("col").alias("total"))
+    """Cells in ranges."""
+    cells = read(spark, d, "lineitem").select(F.lit("f").alias("file"), (F.col("l_suppkey") % 5).alias("sheet"), F.col("l_partkey").alias("row"), F.col("l_linenumber").alias("col"))
+    top = F.col("s_suppkey") * 3
+    ranges = read(spark, d, "supplier").select(F.lit("f").alias("file"), (F.col("s_suppkey") % 5).alias("sheet"), F.col("s_suppkey").alias("range_no"), top.alias("top"), F.lit(2).alias("left"), (top + 40).alias("bottom"), F.lit(4).alias("right"))
+    return S.in_ranges(cells, ranges, 64).groupBy("range_no").agg(F.count("*").alias("cells"), F.sum("col").alias("total"))
 
 
-@query("""SELECT n_nationkey AS header, min(s_suppkey) AS matched FROM nation JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 4 = n_regionkey % 4 GROUP BY 1""")
+@query("""SELECT h.sheet, h.header_row, h.header_col, arg_min(t.name, t.place) AS name FROM (SELECT DISTINCT 's' || (n_nationkey % 3) AS sheet, 1 + n_nationkey % 4 AS header_row, 2 + n_nationkey % 2 AS header_col, ' col' || (n_nationkey % 2) AS header FROM nation) h
+JOIN (SELECT 's' || (s_suppkey % 3) AS sheet, s_suppkey AS place, s_name AS name, 1 + s_suppkey % 4 AS top, 1 + s_suppkey % 3 AS left_, ['Col0', 'COL1 ', 'col0'] AS columns FROM supplier WHERE s_suppkey % 5 <> 0) t
+ON t.sheet = h.sheet AND t.top = h.header_row AND h.header_col >= t.left_ AND lower(trim(t.columns[h.header_col - t.left_ + 1])) = trim(h.header) GROUP BY ALL""")
 def match_excel_table(spark, d):
-    """The first table that starts where a header was found."""
+    """The first Excel table whose header is where a column was found."""
     n, s = read(spark, d, "nation"), read(spark, d, "supplier")
-    found = n.join(s, (F.col("s_nationkey") == F.col("n_nationkey")) & (F.col("s_suppkey") % 4 == F.col("n_regionkey") % 4))
-    return found.groupBy(F.col("n_nationkey").alias("header")).agg(F.min("s_suppkey").alias("matched"))
+    key = F.col("n_nationkey")
+    headers = n.select(F.lit("f").alias("file"), F.concat(F.lit("s"), key % 3).alias("sheet"), (1 + key % 4).alias("header_row"), (2 + key % 2).alias("header_col"), F.concat(F.lit(" col"), key % 2).alias("header")).distinct()
+    key = F.col("s_suppkey")
+    tables = s.select(F.lit("f").alias("file"), F.concat(F.lit("s"), key % 3).alias("sheet"), key.alias("place"), F.col("s_name").alias("name"), (1 + key % 4).alias("top"), (1 + key % 3).cast("int").alias("left"), (key % 5 != 0).alias("header"), F.array(F.lit("Col0"), F.lit("COL1 "), F.lit("col0")).alias("columns"))
+    return S.matched_tables(headers, tables).select("sheet", "header_row", "header_col", F.col("table.name").alias("name"))
+
+
+_FORMULA = """CASE WHEN p_partkey % 6 = 0 THEN 'SUM(1,2)' WHEN p_partkey % 6 = 1 THEN concat('LEN("A', p_size, '")') WHEN p_partkey % 6 = 2 THEN concat('B', p_size, '*2') WHEN p_partkey % 6 = 3 THEN concat('LOG', p_size, '(8)') WHEN p_partkey % 6 = 4 THEN concat(p_brand, '+1') ELSE concat('SUM($C$', p_size, ':D9)') END"""
 
 
-@query("""SELECT p_partkey, p_partkey % 4 IN (0, 1) AS relocatable FROM part""")
+@query(f"""SELECT p_partkey, len(list_filter(regexp_extract_all(regexp_replace({_FORMULA}, '"[^"]*"', '""', 'g'), '[A-Za-z0-9_.$]+[(]?'), lambda w: regexp_full_match(w, '[$]?[A-Za-z]{{1,3}}[$]?[0-9]+'))) = 0 AS relocatable FROM part""")
 def formula_relocatable(spark, d):
-    formula = F.expr("""CASE WHEN p_partkey % 4 = 0 THEN 'SUM(1,2)' WHEN p_partkey % 4 = 1 THEN concat('LEN("A', p_size, '")') WHEN p_partkey % 4 = 2 THEN concat('B', p_size, '*2') ELSE concat('SUM($C$', p_size, ':D9)') END""")
-    return read(spark, d, "part").select("p_partkey", S.relocatable(formula).alias("relocatable"))
+    return read(spark, d, "part").select("p_partkey", S.relocatable(F.expr(_FORMULA)).alias("relocatable"))
 
 
 _LETTERS = "CASE WHEN p_partkey % 3 = 0 THEN chr(CAST(65 + p_size % 26 AS INT)) WHEN p_partkey % 3 = 1 THEN chr(CAST(65 + p_size % 26 AS INT)) || 'B' ELSE 'A' || chr(CAST(97 + p_size % 26 AS INT)) || 'C' END"
@@ -348,9 +363,9 @@ def sheet_index(spark, d):
     return out.select("source", "original", "position", C.visibility_label(F.col("state")).alias("visibility"), "final")
 
 
-@query(f"SELECT count(*) + 1 AS output_sheets, count(*) FILTER (WHERE visibility > 0) AS hidden_sheets FROM ({_CATALOG})")
+@query(f"SELECT count(*) AS output_sheets, count(*) FILTER (WHERE visibility > 0) AS hidden_sheets FROM ({_CATALOG})")
 def merge_metrics(spark, d):
-    return read(spark, d, "nation").agg((F.count("*") + 1).alias("output_sheets"), F.count_if(F.col("n_nationkey") % 3 > 0).alias("hidden_sheets"))
+    return S.merge_counts(_areas(spark, d))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(extract('millisecond' FROM o_orderdate) % 1000 AS VARCHAR), 3, '0') || 'Z' AS day, CASE WHEN o_totalprice > 100000 THEN 'TRUE' ELSE 'FALSE' END AS large, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS price, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END AS status FROM orders""")
@@ -368,12 +383,12 @@ def placeholders_extract(spark, d):
     return rows.groupBy("name").agg(F.count("*").alias("occurrences"))
 
 
-@query("SELECT c_custkey, c_custkey % 4 IN (1, 3) AS malformed FROM customer")
+@query(f"SELECT c_custkey, contains(rest, '{{{{') OR contains(rest, '}}}}') AS malformed FROM (SELECT c_custkey, regexp_replace({_TEMPLATE}, '\\{{\\{{[^{{}}]*[^{{}} ][^{{}}]*\\}}\\}}', '', 'g') AS rest FROM customer)")
 def placeholders_malformed(spark, d):
     return read(spark, d, "customer").select("c_custkey", P.malformed(F.expr(_TEMPLATE)).alias("malformed"))
 
 
-@query("SELECT 'other' AS missing")
+@query(f"SELECT DISTINCT trim(name) AS missing FROM (SELECT unnest(regexp_extract_all({_TEMPLATE}, '\\{{\\{{([^{{}}]*)\\}}\\}}', 1)) AS name FROM customer) WHERE trim(name) NOT IN ('', 'name', 'balance', 'segment')")
 def placeholders_missing_columns(spark, d):
     names = read(spark, d, "customer").select(F.explode(P.placeholders(F.expr(_TEMPLATE))).alias("missing")).distinct()
     known = spark.createDataFrame([("name",), ("balance",), ("segment",)], "missing string")
@@ -416,7 +431,7 @@ def pdf_merge_order(spark, d):
 
 @query(f"SELECT count(*) AS files, CAST(sum(pages) AS BIGINT) AS pages FROM ({_FILES})")
 def pdf_page_counts(spark, d):
-    return _files(spark, d).agg(F.count("*").alias("files"), F.sum("pages").alias("pages"))
+    return G.page_counts(_files(spark, d))
 
 
 @query("SELECT 'c_custkey' AS \"column\", least(60, greatest(10, greatest(9, max(length(CAST(c_custkey AS VARCHAR)))) + 2)) AS width FROM customer UNION ALL SELECT 'c_name', least(60, greatest(10, greatest(6, max(length(c_name))) + 2)) FROM customer UNION ALL SELECT 'c_mktsegment', least(60, greatest(10, greatest(12, max(length(c_mktsegment))) + 2)) FROM customer")
@@ -428,20 +443,20 @@ def column_widths(spark, d):
 def discover_dedupe(spark, d):
     """Paths once each, with a wanted extension whatever its case."""
     path = F.lower(F.regexp_replace("url", "[?#].*$", ""))
-    return read(spark, d, "pages").select(path.alias("path")).filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(".html")).distinct()
+    return distinct_paths(read(spark, d, "pages").select(path.alias("path")), [" HTML"])
 
 
-@query("SELECT DISTINCT p_brand AS path FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size < 10)")
+@query("SELECT DISTINCT p_brand AS path FROM part WHERE lower(p_brand) IN (SELECT lower(p_brand) FROM part WHERE p_size < 10)")
 def manifest_collisions(spark, d):
-    """Planned outputs that exist already."""
+    """Planned outputs that exist already, on a file system without case."""
     p = read(spark, d, "part")
-    return p.select(F.col("p_brand").alias("path")).distinct().join(p.filter("p_size < 10").select(F.col("p_brand").alias("path")), "path", "left_semi")
+    return collisions(p.select(F.col("p_brand").alias("path")), p.filter("p_size < 10").select(F.upper("p_brand").alias("path")), any_case=True)
 
 
-@query("SELECT o_custkey, format('{:,}', count(*)) || CASE WHEN count(*) = 1 THEN ' row was skipped.' ELSE ' rows were skipped.' END AS message FROM orders GROUP BY 1")
+@query("SELECT o_custkey, 'Skipped ' || format('{:,}', count(*)) || CASE WHEN count(*) = 1 THEN ' row.' ELSE ' rows.' END AS message FROM orders GROUP BY 1")
 def plural_messages(spark, d):
     n = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    return n.select("o_custkey", F.concat(P.quantity(F.col("n"), "row was", "rows were"), F.lit(" skipped.")).alias("message"))
+    return n.select("o_custkey", M.skipped_rows_text(F.col("n")).alias("message"))
 
 
 @query("SELECT c_custkey, c_custkey + 2 AS source_row FROM customer")
@@ -452,9 +467,39 @@ def source_row_numbers(spark, d):
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Excel workbook' WHEN 1 THEN 'PDF document' ELSE 'File' END AS label FROM part")
 def artifact_labels(spark, d):
     media = F.expr("CASE p_partkey % 3 WHEN 0 THEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' WHEN 1 THEN 'application/pdf' ELSE 'text/plain' END")
-    labels = {"application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "Excel workbook", "application/pdf": "PDF document"}
-    known = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
-    return read(spark, d, "part").select("p_partkey", F.coalesce(F.try_element_at(known, media), F.lit("File")).alias("label"))
+    return read(spark, d, "part").select("p_partkey", M.artifact_labels(media).alias("label"))
+
+
+def _workbooks(spark, d) -> DataFrame:
+    """Two workbooks in memory, of as many rows as suppliers and nations are: fixtures of the next query."""
+    n, s = ([tuple(r) for r in read(spark, d, t).orderBy(o).select(*c).collect()] for t, o, c in (("nation", "n_nationkey", ("n_name", "n_regionkey", "n_nationkey")), ("supplier", "s_suppkey", ("s_acctbal", "s_name", "s_suppkey"))))
+    books = [
+        ("mem:/a/book.xlsx", workbook_bytes([("Nations", ["Name", "Region", "Key"], n)])),
+        ("mem:/b/book.xlsx", workbook_bytes([("Firms", [" Balance", "NAME ", "key"], s), ("Hidden", ["x"], [(1,)])], [0, 1])),
+    ]
+    return spark.createDataFrame([(p, bytearray(c)) for p, c in books], "path string, content binary")
+
+
+@query("""SELECT n_name AS "Name", CAST(n_regionkey AS DOUBLE) AS "Region", CAST(n_nationkey AS DOUBLE) AS "Key", CAST(NULL AS DOUBLE) AS "Balance", 'book.xlsx' AS _source_file, 'Nations' AS _source_sheet, CAST(row_number() OVER (ORDER BY n_nationkey) + 1 AS BIGINT) AS _source_row FROM nation
+UNION ALL SELECT s_name, NULL, CAST(s_suppkey AS DOUBLE), s_acctbal, 'book.xlsx', 'Firms', row_number() OVER (ORDER BY s_suppkey) + 1 FROM supplier""")
+def consolidate_workbooks(spark, d):
+    """Worksheets of two files of one name, typed columns, a hidden sheet left out."""
+    return W.consolidate(spark, _workbooks(spark, d)).drop("_table", "_order")
+
+
+@query("""SELECT 'string:' || lower(o_orderpriority) AS key, 'orders' AS sheet, count(*) AS n, min(o_orderkey) + 2 AS first_row FROM orders WHERE o_orderkey % 11 > 0 GROUP BY 1
+UNION ALL SELECT 'number:' || CAST(s_suppkey % 7 AS VARCHAR), 'firms', count(*), min(s_suppkey) + 3 FROM supplier GROUP BY 1""")
+def split_rows_of_sheets(spark, d):
+    """Keyed rows of all sheets with the column: found by its header's text, which is in another place in each sheet."""
+    o, s = read(spark, d, "orders"), read(spark, d, "supplier")
+    schema = "file string, sheet string, sheet_order int, visibility int, row long, col int, kind string, value string"
+    heads = spark.createDataFrame([("f", "orders", 0, 0, 1, 1, "string", "Id"), ("f", "orders", 0, 0, 1, 2, "string", "Ｇroup"), ("f", "firms", 1, 0, 2, 1, "string", " group ")], schema)
+    place = lambda sheet, order, row, col, kind, value: (F.lit("f").alias("file"), F.lit(sheet).alias("sheet"), F.lit(order).alias("sheet_order"), F.lit(0).alias("visibility"), row.cast("long").alias("row"), F.lit(col).alias("col"), F.lit(kind).alias("kind"), value.alias("value"))
+    keys = F.when(F.col("o_orderkey") % 11 == 0, "  ").when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" "), F.upper("o_orderpriority"))).otherwise(F.col("o_orderpriority"))
+    cells = heads.union(o.select(*place("orders", 0, F.col("o_orderkey") + 2, 2, "string", keys))).union(s.select(*place("firms", 1, F.col("s_suppkey") + 3, 1, "number", (F.col("s_suppkey") % 7).cast("string"))))
+    areas = spark.createDataFrame([("f", "sheet", n, s_, s_, n, 1, 1, 2**31, 2) for n, s_ in enumerate(("orders", "firms"))], "file string, area string, place int, name string, sheet string, sheet_order int, top long, left int, bottom long, right int").selectExpr("*", "true AS header", "false AS totals", "cast(null AS array<string>) AS columns")
+    _, rows = split_rows(cells, areas, Options("GROUP"))
+    return rows.groupBy("key", "sheet").agg(F.count("*").alias("n"), F.min("row").alias("first_row"))
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:

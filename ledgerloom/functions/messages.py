@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..errors import LoomError
 from ..plans.control import OperationPlan, OperationResult
+from . import templates as columns
 
 # Media types.
 MEDIA = {
@@ -34,6 +38,17 @@ def artifact_label(media_type: str) -> str:
     return MEDIA.get(media_type, "File")
 
 
+def artifact_labels(media_type: Column) -> Column:
+    """artifact_label() of a column."""
+    known = F.create_map(*[F.lit(x) for pair in MEDIA.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, media_type), F.lit("File"))
+
+
+def skipped_rows_text(n: Column) -> Column:
+    """skipped_rows() of a column of counts."""
+    return F.concat(F.lit("Skipped "), columns.quantity(n, "row", "rows"), F.lit("."))
+
+
 def quantity(n: int, one: str, many: str | None = None) -> str:
     return f"{n:,} {one if n == 1 else many or one + 's'}"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The form of placeholders, and of those with a name.
 PLACEHOLDER = r"\{\{([^{}]*)\}\}"
 FILLED = r"\{\{[^{}]*[^{}\s][^{}]*\}\}"
 

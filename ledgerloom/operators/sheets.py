@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +103,37 @@ def compacted(rows: DataFrame, keep: Column, by: list[str], order: str = "row",
     return out.withColumn("new_row", (F.col(order) - F.col("_within") - F.col("_before")).cast("long")).drop("_gone", "_block", "_within", "_before")
 
 
+def named_areas(names: DataFrame) -> DataFrame:
+    """(name, sheet, range) of names (name, ref) that people made and that stand for one area, as sources.xlsx.named_area() reads them."""
+    quoted, plain, cells = r"'((?:[^']|'')+)'", "([^'!,:]+)", r"(\$?[A-Za-z]{1,3}\$?\d+(?::\$?[A-Za-z]{1,3}\$?\d+)?)"
+    ref, pattern = F.trim("ref"), rf"^(?:{quoted}|{plain})!{cells}$"
+    found = names.filter(~F.col("name").startswith("_xlnm.") & ref.rlike(pattern))
+    sheet = F.concat(F.replace(F.regexp_extract(ref, pattern, 1), F.lit("''"), F.lit("'")), F.regexp_extract(ref, pattern, 2))
+    return found.select("name", sheet.alias("sheet"), F.replace(F.regexp_extract(ref, pattern, 3), F.lit("$"), F.lit("")).alias("range"))
+
+
+def chosen_areas(areas: DataFrame, kind: str, names: Iterable[str] | None = None, sheets: Iterable[str] | None = None, include_hidden: bool = False) -> DataFrame:
+    """The areas (area, name, sheet, visibility, ...) of one kind that are visible (or all), on the sheets and of the names given, whatever their case."""
+    areas = areas.filter(F.col("area") == kind)
+    if not include_hidden:
+        areas = areas.filter("visibility = 0")
+    for column, wanted in (("name", names), ("sheet", sheets)):
+        if wanted is not None:
+            areas = areas.filter(F.lower(column).isin([w.lower() for w in wanted]))
+    return areas
+
+
+def merge_counts(sheets: DataFrame) -> DataFrame:
+    """(output_sheets, hidden_sheets) of the sheets (visibility) that are merged; the index isn't one of them."""
+    return sheets.agg(F.count("*").alias("output_sheets"), F.count_if(F.col("visibility") > 0).alias("hidden_sheets"))
+
+
+def split_totals(rows: DataFrame) -> DataFrame:
+    """Counts of a split over rows (sheet, key): every group's workbook loses the rows of all others, and those without a key."""
+    groups, n, kept = F.count_distinct("key"), F.count("*"), F.count("key")
+    return rows.agg(n.alias("input_rows"), F.count_if(F.col("key").isNull()).alias("skipped_rows"), groups.alias("groups"), kept.alias("output_rows"), F.count_distinct("sheet").alias("sheets_filtered"), (groups * n - kept).alias("rows_deleted"))
+
+
 def table_rows(rows: DataFrame, by: list[str], top: str, order: str) -> DataFrame:
     """Kept rows of tables with new_row, right below the header in row top, and totals_row, the one after the last; by: the table."""
     w = Window.partitionBy(*by)

@@ -16,8 +16,8 @@ from ..functions.names import output_names, safe_name
 from ..plans.control import Control, OperationPlan, OperationResult, PlannedOutput, check_outputs, commit, refuse_overwriting_inputs
 from ..sources.packages import can_compact, compact_table, first_shown, values_only, with_reference, without_rows, write_parts
 from ..sources.xlsx import Workbook, range_text, read_areas, read_cells, workbook_bytes
-from .sheets import header_place, matched_tables
-from .workbooks import XLSX, Placed, _chosen, placed_areas
+from .sheets import chosen_areas, header_place, matched_tables
+from .workbooks import XLSX, Placed, placed_areas
 
 SPLIT = "sheets.split-by-column"
 XLSM = "application/vnd.ms-excel.sheet.macroEnabled.12"
@@ -212,7 +212,7 @@ def resolve_one_source(spark: SparkSession, path: str, folder: str, options: Opt
     files = spark.createDataFrame([(path, bytearray(content))], "path string, content binary")
     sheets = [options.sheet] if options.sheet else None
     cells = read_cells(spark, files, sheets, options.include_hidden)
-    areas = _chosen(read_areas(spark, files), kind, [name] if name else None, sheets, options.include_hidden)
+    areas = chosen_areas(read_areas(spark, files), kind, [name] if name else None, sheets, options.include_hidden)
     sources = []
     for p in placed_areas(cells, areas, options.header_row):
         own = cells.filter((F.col("sheet") == p.sheet) & F.col("row").between(p.first, p.bottom) & F.col("col").between(p.left, p.left + len(p.columns) - 1) & (F.col("kind") != "empty"))

@@ -15,24 +15,12 @@ from ..functions.names import sheet_names
 from ..plans.control import Control, OperationPlan, OperationResult, PlannedOutput, commit, refuse_overwriting_inputs
 from ..sources.packages import values_only, write_parts
 from ..sources.xlsx import Workbook, read_areas, read_cells, workbook_bytes
-from .sheets import header_rows, in_ranges
+from .sheets import chosen_areas, header_rows, in_ranges
 from .tables import SOURCE_COLUMNS, Table
 
 XLSX = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
 CONSOLIDATE, MERGE = "sheets.consolidate", "sheets.merge"
 LABELS = ("Visible", "Hidden", "Very hidden")
-FIRST_ROWS = {"sheet": 1, "name": 1}
-
-
-def _chosen(areas: DataFrame, kind: str, names: Iterable[str] | None, sheets: Iterable[str] | None, include_hidden: bool) -> DataFrame:
-    """The areas of one kind that are visible (or all), on the sheets and of the names given, whatever their case."""
-    areas = areas.filter(F.col("area") == kind)
-    if not include_hidden:
-        areas = areas.filter("visibility = 0")
-    for column, wanted in (("name", names), ("sheet", sheets)):
-        if wanted is not None:
-            areas = areas.filter(F.lower(column).isin([w.lower() for w in wanted]))
-    return areas
 
 
 @dataclass(frozen=True)
@@ -106,7 +94,7 @@ def read_tables(spark: SparkSession, paths: str | list[str] | DataFrame, kind: s
     place. The list is as long as the catalogue; rows stay on the executors.
     """
     cells = read_cells(spark, paths, sheets, include_hidden)
-    places = placed_areas(cells, _chosen(read_areas(spark, paths), kind, names, sheets, include_hidden), header_row)
+    places = placed_areas(cells, chosen_areas(read_areas(spark, paths), kind, names, sheets, include_hidden), header_row)
     if not places:
         return []
     data = _data(spark, cells, places).filter("value <> '' OR kind <> 'string'")
@@ -132,7 +120,7 @@ def consolidate(spark: SparkSession, paths: str | list[str] | DataFrame, add_sou
     as in union_tables(). Sheets count by their whole path; the file's name is shown.
     """
     cells = read_cells(spark, paths, sheets, include_hidden)
-    places = placed_areas(cells, _chosen(read_areas(spark, paths), "sheet", None, sheets, include_hidden), header_row)
+    places = placed_areas(cells, chosen_areas(read_areas(spark, paths), "sheet", None, sheets, include_hidden), header_row)
     data = _data(spark, cells, places) if places else None
     full = {r["area"] for r in data.filter("value <> ''").select("area").distinct().collect()} if places else set()
     if not full:

@@ -9,6 +9,9 @@ import tempfile
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..errors import LoomError
 
 
@@ -117,3 +120,9 @@ def commit(files: Mapping[str, bytes] | Iterable[tuple[str, bytes]], overwrite:
         for folder in stages.values():
             shutil.rmtree(folder, ignore_errors=True)
     return list(staged)
+
+
+def collisions(planned: DataFrame, taken: DataFrame, any_case: bool = False) -> DataFrame:
+    """(path) of planned (path) outputs that are taken (path) already, as inputs or existing files; any_case: on a file system without case."""
+    key = F.lower if any_case else F.col
+    return planned.select("path").distinct().join(taken.select(key("path").alias("_taken")), key("path") == F.col("_taken"), "left_semi")

@@ -6,6 +6,9 @@ import glob
 import os
 from collections.abc import Iterable
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..errors import LoomError
 
 
@@ -38,3 +41,10 @@ def discover_files(inputs: Iterable[str], cwd: str | None = None, extensions: It
     if not found:
         raise LoomError("FILES_NO_INPUTS", "No input files were found.")
     return sorted(found, key=lambda f: (f.lower(), f))
+
+
+def distinct_paths(files: DataFrame, extensions: Iterable[str] | None = None) -> DataFrame:
+    """(path) of files (path), once each, with one of the extensions whatever its case."""
+    if extensions is not None:
+        files = files.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*normalized_extensions(extensions)))
+    return files.select("path").distinct()
