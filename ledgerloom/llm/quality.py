@@ -35,6 +35,8 @@ MARK_RATIO = 32.0
 MARKS = 2
 #: Punctuation that may stand around a word.
 AROUND = ".,;:!?()[]{}<>\"'`*_~-"
+#: Different repeated windows that are looked for one by one.
+FEW = 64
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
@@ -114,12 +116,18 @@ def with_rules(docs: DataFrame) -> DataFrame:
     most = lambda less: F.greatest(F.size("_w") - less, F.lit(0))
     df = df.withColumn("_b", F.zip_with(F.slice("_h", 1, most(1)), F.slice("_h", 2, F.size("_h")), lambda a, b: F.xxhash64(a, b)))
     df = df.withColumn("_t", F.zip_with(F.slice("_b", 1, most(2)), F.slice("_h", 3, F.size("_h")), lambda a, b: F.xxhash64(a, b)))
-    df = df.withColumn("_repeats", F.size("_t") > F.size(F.array_distinct("_t")))
-    # only texts with a repeated window look for the places: n log n, not a search of one list for each item of another
-    placed = F.when(F.col("_repeats"), F.sort_array(F.transform("_t", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    df = df.withColumn("_p", placed).drop("_t", "_repeats")
+    # places of the windows that are there more than once. Sorted hashes show which those are; few are looked for one by one, and where
+    # there are many, windows are sorted with their places: n log n, not a search of one list for each item of another
+    none = F.array().cast("array<bigint>")
+    df = df.withColumn("_s", F.when(F.size("_t") > F.size(F.array_distinct("_t")), F.sort_array("_t")).otherwise(none))
+    df = df.withColumn("_d", F.array_distinct(F.filter("_s", lambda h, i: (i > 0) & (F.get("_s", i - 1) == h)))).drop("_s")
+    few = F.size("_d") <= FEW
+    placed = F.when(~few, F.sort_array(F.transform("_t", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    df = df.withColumn("_p", placed)
     same = lambda i, j: F.coalesce(F.get("_p", i)["h"] == F.get("_p", j)["h"], F.lit(False))
-    df = df.withColumn("_q", F.sort_array(F.transform(F.filter(F.transform("_p", lambda p, j: F.struct(p["i"].alias("i"), (same(j, j - 1) | same(j, j + 1)).alias("r"))), lambda x: x["r"]), lambda x: x["i"]))).drop("_p")
+    many = F.sort_array(F.transform(F.filter(F.transform("_p", lambda p, j: F.struct(p["i"].alias("i"), (same(j, j - 1) | same(j, j + 1)).alias("r"))), lambda x: x["r"]), lambda x: x["i"]))
+    found = F.array_compact(F.transform("_t", lambda h, i: F.when(F.array_contains("_d", h), i)))
+    df = df.withColumn("_q", F.when(F.size("_d") == 0, F.array().cast("array<int>")).when(few, found).otherwise(many)).drop("_p", "_d", "_t")
     covered = F.zip_with("_q", F.slice("_q", 2, F.size("_q")), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
     return df.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0), lambda s, x: s + x).cast("long")).drop("_q")
 
