@@ -8,8 +8,8 @@ alike one with less (1 in 100,000 at 0.85). The deleted bit is in one half of th
 halves, and within a half the variants are formed and met by sorting. Of those that meet, CHECK more bits of the fingerprint must be near
 (at 0.8, 19 of 128 differ, more than FAR never; of unlike sets 64), and then the sets are compared.
 
-Of a variant with up to RUN sets all pairs are compared. Of a larger one each set is compared with the first; what that links becomes
-groups, and then only those pairs that are still in different groups are compared. So a large group of near copies costs a few pairs for
+Of a task's sets that meet, each is compared with its smallest partner first. What that links becomes groups, and then, of the sets that
+met more partners, only those pairs are compared that are still in different groups. So a large group of near copies costs a few pairs for
 each member, and no pair that meets stays unsettled. Equal sets are one, however many texts have it.
 """
 
@@ -126,7 +126,8 @@ def _near(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def met(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, roots: np.ndarray, check: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids that may be alike, the smaller first. Of variants with more than RUN sets: if every, all pairs with different roots; else those with the first, and each id paired with itself as a mark."""
+    """Pairs of ids that may be alike, the smaller first. If every, all with different roots. Else, of each id, that with its smallest partner; ids with
+    more partners, or in variants with more than RUN sets, of which only pairs with the first are looked at, are paired with themselves as a mark."""
     of_id = np.argsort(ids, kind="stable")
     found = []
     for bit in range(HALF):
@@ -154,7 +155,16 @@ def met(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, roots: np.ndarray,
             near = _near(check, a, b)  # the first is near itself, and so marked; those it is not near are marked alone
             found += [np.stack((ids[a[near]], ids[b[near]])), np.stack((ids[b], ids[b]))]
     pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
-    return pairs[0], pairs[1]
+    if every or not pairs.size:
+        return pairs[0], pairs[1]
+    # of each set, the pair with its smallest partner; sets with other pairs are marked
+    alone = pairs[0] == pairs[1]
+    real = pairs[:, ~alone]
+    real = real[:, np.lexsort((real[0], real[1]))]
+    least = np.ones(real.shape[1], bool)
+    least[1:] = real[1][1:] != real[1][:-1]
+    marks = np.unique(np.concatenate((pairs[0][alone], real[:, ~least].ravel())))
+    return np.concatenate((real[0][least], marks)), np.concatenate((real[1][least], marks))
 
 
 def candidates(sets: DataFrame, every: bool) -> DataFrame:

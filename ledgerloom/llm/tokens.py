@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 #: Pieces kept by each worker in either of two memories. When the newer is full, it becomes the older, and what the older held is gone
 #: unless it has been used meanwhile.
-KEPT_PIECES = 350_000
+KEPT_PIECES = 100_000
 #: White space to Python but not to the tokenizers' patterns, or the other way round: such texts are encoded whole.
 UNSURE = "[\\x1c-\\x1f\\x{85}]"
 DOUBLE = "[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]{2}|\\x00"
