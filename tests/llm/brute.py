@@ -227,6 +227,26 @@ def revealing_terms(texts: list[str | None], disclosure: float, support: int, pr
     return found
 
 
+def sanitised(text: str | None, terms: set[str]) -> str | None:
+    """The text with personal data and terms replaced by their kinds; of overlapping spans the first counts."""
+    import regex
+
+    if text is None:
+        return None
+    spans = [(s, e, ("EMAIL", "IP", "CARD", "PHONE")[k]) for s, k, e in base_spans(text)]
+    base = [(s, e) for s, e, _ in spans]
+    own = sorted({w.strip(".,;:!?()[]{}<>\"'`*_~-").lower() for w in WORD.findall(text)} & terms)
+    if own:
+        pattern = regex.compile(r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(map(regex.escape, own)) + r")(?![\p{L}\p{N}])")
+        spans += [(*m.span(), "TERM") for m in pattern.finditer(text) if not any(s < m.end() and m.start() < e for s, e in base)]
+    out, at = "", 0
+    for s, e, kind in sorted(spans, key=lambda x: (x[0], x[1], f"[{x[2]}]")):
+        if s >= at:
+            out += text[at:s] + f"[{kind}]"
+        at = max(at, e)
+    return out + text[at:]
+
+
 def mixing(tokens: dict[str, int], entropy: float, repeats: float, budget: float) -> dict[str, tuple[float, int, int, int]]:
     """weight, budget, whole passes and the rest of each source, by plain bisection."""
     import math
