@@ -157,14 +157,15 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, disclosure: float = DISCL
     if rows.isEmpty():
         return None
     n_lines = float(docs.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0])
-    totals = rows.groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    # saved, so that what they are joined with, which may have one key in most rows, is all that is dealt by it
+    totals = saved(rows.groupBy("entity").agg(F.sum("copies").alias("n_entity")), "pii-entities")
     texts = rows.groupBy("of").agg(F.first("line").alias("line"), F.max("copies").alias("copies"))
     words = texts.select("of", "copies", F.explode(_terms(F.col("line"))).alias("term")).filter((F.length("term") >= MIN_CHARS) & F.col("term").rlike(TERM) & F.col("term").rlike(r"\p{L}"))
     words = saved(words.groupBy("of", "term").agg(F.count("*").alias("times"), F.first("copies").alias("copies")), "pii-words")
-    near = words.groupBy("term").agg(F.sum(F.col("times") * F.col("copies")).alias("n_near")).filter(F.col("n_near") >= support)
+    near = saved(words.groupBy("term").agg(F.sum(F.col("times") * F.col("copies")).alias("n_near")).filter(F.col("n_near") >= support), "pii-near")
     pairs = rows.select("entity", "of", F.col("copies").alias("own")).join(words.select("of", "term", "times"), "of")
-    pairs = pairs.groupBy("entity", "term").agg(F.sum(F.col("own") * F.col("times")).alias("n_both")).filter(F.col("n_both") >= support)
-    pairs = pairs.join(totals, "entity").join(near, "term")
+    pairs = saved(pairs.groupBy("entity", "term").agg(F.sum(F.col("own") * F.col("times")).alias("n_both")).filter(F.col("n_both") >= support), "pii-met")
+    met, pairs = pairs, pairs.join(totals, "entity").join(near, "term")
     # a term occurs at least as often as in the lines with entities: what can't disclose enough even then is not looked for in the corpus
     pairs = saved(pairs.filter(disclosed(F.col("n_both"), F.greatest("n_near", "n_both"), F.col("n_entity"), n_lines) >= disclosure), "pii-pairs")
     candidates = saved(pairs.select("term").distinct(), "pii-candidates")
@@ -174,7 +175,7 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, disclosure: float = DISCL
     found = docs.select(F.explode(_terms(F.col("text"))).alias("term")).join(_counting(n, candidates), "term").groupBy("term").agg(F.count("*").alias("n_term"))
     share = disclosed(F.col("n_both"), F.greatest("n_term", "n_both"), F.col("n_entity"), n_lines)
     terms = saved(pairs.join(found, "term").filter(share >= disclosure).select("term").distinct(), "pii-terms")
-    forgotten(rows, words, pairs, candidates)
+    forgotten(rows, words, totals, near, met, pairs, candidates)
     return None if terms.isEmpty() else terms
 
 
