@@ -141,3 +141,20 @@ def merge_pdfs(paths: list[str], output: str, overwrite: bool = False, control:
         pages += [(pdf, n) for n in range(len(pdf.pages))]
     done = commit([(output, document(pages))], overwrite)
     return OperationResult(MERGE, tuple(done), metrics={"inputFiles": len(paths), "outputFiles": 1, "pages": len(pages)})
+
+
+def split_pdf_bytes(name: str, content: bytes, prefix: str | None = None) -> list[tuple[str, bytes]]:
+    """(file name, content) of each page of a document in memory; the names' beginning is made safe."""
+    pdf = parse_pdf(content, name)
+    if not pdf.pages:
+        raise LoomError("PDF_NO_PAGES", f"{name} has no pages.", {"source": name})
+    stem = safe_name(re.sub(r"(?i)\.pdf$", "", name) if prefix is None else prefix, "document")
+    return [(n, document([(pdf, i)])) for i, n in enumerate(page_names(stem, len(pdf.pages)))]
+
+
+def merge_pdfs_bytes(contents: list[tuple[str, bytes]]) -> bytes:
+    """All pages of documents (name, content) in memory, in order."""
+    if not contents:
+        raise LoomError("PDF_NO_INPUTS", "At least one PDF is needed.")
+    parsed = [parse_pdf(content, name) for name, content in contents]
+    return document([(pdf, i) for pdf in parsed for i in range(len(pdf.pages))])

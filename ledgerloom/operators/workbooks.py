@@ -113,6 +113,13 @@ def read_tables(spark: SparkSession, paths: str | list[str] | DataFrame, kind: s
     return tables
 
 
+def header_names(spark: SparkSession, paths: str | list[str] | DataFrame, kind: str = "sheet", include_hidden: bool = False, header_row: int | None = None) -> list[tuple[str, str, list[str]]]:
+    """(file, area's name, its columns) of every worksheet, Excel table or named range: headers only, to choose a column from."""
+    cells = read_cells(spark, paths, include_hidden=include_hidden)
+    places = placed_areas(cells, chosen_areas(read_areas(spark, paths), kind, include_hidden=include_hidden), header_row)
+    return [(os.path.basename(p.file), p.name, p.columns) for p in places]
+
+
 def consolidate(spark: SparkSession, paths: str | list[str] | DataFrame, add_source: bool = True, names: tuple[str, ...] = SOURCE_COLUMNS, sheets: Iterable[str] | None = None, include_hidden: bool = False, header_row: int | None = None) -> DataFrame:
     """One table of all worksheets of all files, by column name, with where each row comes from, and _table and _order for its order.
 

@@ -128,6 +128,45 @@ def compact_table(xml: str, top: int, bottom: int, kept: list[int], totals: bool
     return _rows(xml, change), max(end, top + 1)
 
 
+def compact_cells(xml: str, top: int, left: int, bottom: int, right: int, kept: list[int], totals: bool) -> tuple[str, int]:
+    """As compact_table(), but only the cells in the table's columns move up; what stands beside the table stays, and rows below it too."""
+    target = {old: top + 1 + i for i, old in enumerate(kept)}
+    if totals:
+        target[bottom] = top + 1 + len(kept)
+
+    def column(cell: str) -> int:
+        letters = re.match(r"[A-Za-z]+", attribute(_head(cell), "r") or "A")[0].upper()
+        return sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(letters)))
+
+    def change(rows: list[tuple[int, str]]) -> list[str]:
+        beside: dict[int, list[str]] = {}
+        heads: dict[int, str] = {}
+        for number, row in rows:
+            inside = top < number <= bottom
+            heads[number] = _head(row)
+            for m in CELL.finditer(row[len(heads[number]) :]):
+                to = number
+                if inside and left <= column(m[0]) <= right:
+                    if number not in target:
+                        continue
+                    to = target[number]
+                    f = FORMULA.search(m[0])
+                    if to != number and f and position_dependent(f):
+                        raise LoomError("XLSX_SPLIT_PRESERVE_FORMULA", f"The formula in {attribute(_head(m[0]), 'r')} refers to cells and its row would move.", {"destinationRow": to})
+                moved = re.sub(r"""(\br\s*=\s*["'][A-Za-z]+)\d+""", rf"\g<1>{to}", _head(m[0]), count=1) + m[0][len(_head(m[0])) :]
+                beside.setdefault(to, []).append(moved)
+        out = []
+        for number in sorted({*heads, *beside}):
+            head = heads.get(number)
+            if head is None:  # a row that had no element
+                head = re.sub(r"""(\br\s*=\s*["'])\d+""", rf"\g<1>{number}", next(iter(heads.values())), count=1)
+            name = re.match(r"<([^\s/>]+)", head)[1]
+            out.append(re.sub(r"\s*/?>$", ">", head) + "".join(sorted(beside.get(number, []), key=column)) + f"</{name}>")
+        return out
+
+    return _rows(xml, change), max(top + len(kept) + totals, top + 1)
+
+
 def can_compact(xml: str) -> bool:
     """Whether no formula of a sheet depends on its place."""
     return not any(position_dependent(m) for m in FORMULA.finditer(xml))

@@ -66,6 +66,8 @@ def test_pdf_split_and_merge(tmp_path, packed):
     with pytest.raises(LoomError) as e:
         pages.split_pdf(str(path), str(tmp_path / "out"))
     assert e.value.code == "FILES_OUTPUT_EXISTS"
+    made = pages.split_pdf_bytes("a" * 300 + ".pdf", path.read_bytes())
+    assert made[1][0] == "a" * 80 + "-page-002.pdf" and boxes(pages.merge_pdfs_bytes(made)) == ["0 0 300 400", "0 0 400 500", "0 0 9 9"]
 
 
 def test_pdf_errors_and_catalogue(spark, tmp_path):
