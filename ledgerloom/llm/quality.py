@@ -110,7 +110,7 @@ def with_rules(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.withColumn("_w", words_of(F.col("text"))).withColumn("_lines", lines)
     df = df.withColumn("n_words", F.size("_w").cast("long")).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
-    df = df.withColumn("word_chars", F.length(without(spaced(text), " ")).cast("long")).withColumn("n_symbols", (F.length(text) - F.length(without(text, SYMBOLS))).cast("long"))
+    df = df.withColumn("word_chars", F.length(without(spaced(text), " ")).cast("long")).withColumn("n_symbols", F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"))
     # words, pairs of neighbours and windows of three words as hashes; of the windows, sorted, equal ones are neighbours
     df = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     most = lambda less: F.greatest(F.size("_w") - less, F.lit(0))
