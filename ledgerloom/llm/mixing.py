@@ -144,7 +144,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents as often as their source's budget takes them."""
+    """Pipeline stage: documents as often as their source's budget takes them. Null sources are one source, null texts cost nothing and are taken once; an empty table gives none."""
     sizes = sized(docs)
     marks = ends(sizes, weights(sizes))
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), source_key(F.col("source")).alias("key"), row_key())  # other columns' names may clash

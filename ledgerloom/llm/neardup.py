@@ -248,7 +248,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates one document stays, that with the smallest doc_id, or with the smallest row hash where doc_ids are equal or all null."""
+    """Pipeline stage: of each group of near-duplicates (null, empty and blank texts are one) one document stays, that with the smallest doc_id, or with the smallest row hash where doc_ids are equal or all null."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     stay = similar_groups(docs).groupBy("group").agg(first).select(F.col("first.row").alias("_row"))
     one = Window.partitionBy("_row").orderBy(F.xxhash64("_doc"))

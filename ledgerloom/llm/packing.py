@@ -139,11 +139,13 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         raise ValueError(f"lengths must be from 1 to {capacity}")
     table = places(plan(counts, capacity))
     share = max(1, -(-max(counts.values(), default=1) // RANKED)) * 8
-    dealt = parts.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(share)))
+    # pieces that agree in all of these are alike, so it doesn't matter which of them is which
+    known = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in parts.columns]
+    dealt = parts.withColumn("_part", F.pmod(F.xxhash64(*known), F.lit(share)))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = dealt.groupBy("length", "_part").agg(F.count("*").alias("n"))
     firsts = firsts.select(F.col("length").alias("_length"), F.col("_part").alias("_of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("length", "_part").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "_part").orderBy(*known)
     ranked = dealt.withColumn("_nth", F.row_number().over(within) - 1)
     ranked = ranked.join(firsts, (F.col("length") == F.col("_length")) & (F.col("_part") == F.col("_of")))
     ranked = ranked.select(*parts.columns, (F.col("_first") + F.col("_nth")).alias("_rank"))
@@ -188,5 +190,5 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the sequences' pieces."""
+    """Pipeline stage, the last: the sequences' pieces. Null texts are empty documents, null ids and repeated rows documents of their own; an empty table gives no pieces."""
     return pack_documents(docs, default_tokenizer())

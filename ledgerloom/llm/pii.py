@@ -234,5 +234,5 @@ def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SU
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: personal data in texts is replaced; all documents stay."""
+    """Pipeline stage: personal data in texts is replaced; all documents stay, null texts as they are."""
     return sanitised(docs)

@@ -165,6 +165,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules or the score reject go."""
+    """Pipeline stage: documents that the rules, the score or marks of toxic texts reject go, null and blank texts among them; null ids and repeated rows are judged like any other."""
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))  # other columns' names may clash
     return filtered(judged(rows, documents(spark, sf_dir, "labels")), F.col("kept")).select("_doc.*")

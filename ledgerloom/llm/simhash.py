@@ -172,7 +172,9 @@ def links(prints: DataFrame) -> DataFrame:
                 keys, own = variants(fps[at : at + 2048])
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys, own)], ["key", "fp"])
 
-    rows = prints.select("fp").mapInArrow(spread, "key long, fp long")
+    # each becomes 64 rows: dealt out before, as a few small partitions would become a few large ones
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = prints.select("fp").repartition(n, "fp").mapInArrow(spread, "key long, fp long")
     return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_meet, "a long, b long")
 
 

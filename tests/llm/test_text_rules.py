@@ -147,6 +147,8 @@ def test_simhash(spark, docs):
     for r in known:
         assert r["component_id"] == want[int(r["fingerprint"], 16)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    clash = docs.selectExpr("*", "1 AS fp", "2 AS key", "3 AS component_id", "'x' AS fingerprint", "4 AS node", "5 AS root")
+    assert sorted(map(str, simhash.near_duplicates(clash).collect())) == sorted(map(str, rows))
 
 
 def test_simhash_crowded_key(spark):
