@@ -18,7 +18,7 @@ CELL = re.compile(rf"<{TAG}c\b[^>]*?(?:/>|>.*?</{TAG}c\s*>)", re.S)
 FORMULA = re.compile(rf"<{TAG}f\b([^>]*?)(?:/>|>(.*?)</{TAG}f\s*>)", re.S)
 CACHED = re.compile(rf"<{TAG}v\b[^>]*>[^<]")
 DATA = re.compile(rf"(<{TAG}sheetData\b[^>]*>)(.*)(</{TAG}sheetData\s*>)", re.S)
-#: A cell's address in a formula, but not a function's name that looks like one.
+# The pattern of a cell's address in a formula, but not of a function's name that looks like one.
 ADDRESS = re.compile(r"(?<![A-Za-z0-9_.$])\$?[A-Za-z]{1,3}\$?\d+(?![\dA-Za-z_(])")
 
 

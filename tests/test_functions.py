@@ -1,3 +1,4 @@
+import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,3 +92,14 @@ def test_groups(spark):
     with pytest.raises(LoomError) as e:
         groups_of(df, "missing", "row")
     assert e.value.code == "TABLE_COLUMN_NOT_FOUND"
+
+
+def test_codes_are_known():
+    import pathlib
+
+    import ledgerloom
+    from ledgerloom.errors import CODES
+
+    source = "".join(p.read_text() for p in pathlib.Path(ledgerloom.__file__).parent.rglob("*.py") if p.name not in ("errors.py", "messages.py"))
+    used = set(re.findall(r'"((?:XLSX|PPTX|PDF|FILES|TABLE|TABLES|OPERATION)_[A-Z_]+[A-Z])"', source))
+    assert used <= set(CODES) and len(set(CODES)) == len(CODES)
