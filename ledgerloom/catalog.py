@@ -15,7 +15,7 @@ from .operators import pages as G
 from .operators import sheets as S
 from .operators import workbooks as W
 from .operators.splits import Options, split_rows
-from .operators.tables import Table, groups_of, record_columns, union_tables
+from .operators.tables import Table, grouped_rows, groups_of, record_columns, union_tables
 from .plans.control import collisions
 from .sources.discover import distinct_paths
 from .sources.xlsx import workbook_bytes
@@ -110,6 +110,12 @@ def group_skip_blank(spark, d):
     return groups_of(_blanked(spark, d), "kind", "event_id", include_blank=False)
 
 
+@query(f"""WITH k AS ({_BY_KIND}), g AS ({_groups_sql('SELECT * FROM k')}) SELECT o AS event_id, group_key, group_order, o + 2 AS source_row FROM k JOIN g ON k IS NOT DISTINCT FROM group_key""")
+def group_tables(spark, d):
+    """The rows of each group's table, in which they know their source rows."""
+    return grouped_rows(_blanked(spark, d), "Kind", "event_id").select("event_id", "group_key", "group_order", "source_row")
+
+
 @query(_groups_sql("SELECT 'number:' || CAST(p_size AS VARCHAR) AS k, p_partkey AS o FROM part"))
 def group_typed_number(spark, d):
     return groups_of(read(spark, d, "part"), "P_Size", "p_partkey")
@@ -406,6 +412,13 @@ def records_columns(spark, d):
     return record_columns(read(spark, d, "conversations").select(F.col("conv_id").alias("record"), F.col("turn").alias("place"), F.col("role").alias("name")))
 
 
+@query("SELECT c_custkey, 'é' || chr(CAST(65 + c_custkey % 26 AS INT)) || '<&lt;' || chr(CAST(256 + c_custkey % 500 AS INT)) || '&#0;\"' || c_name AS text FROM customer")
+def xml_numbered(spark, d):
+    """Numbered characters, decimal and hexadecimal, beside named ones."""
+    e = F.concat(F.lit("é&#"), 65 + F.col("c_custkey") % 26, F.lit(";&lt;&amp;lt;&#x"), F.hex(256 + F.col("c_custkey") % 500), F.lit(";&#0;&quot;"), F.col("c_name"))
+    return read(spark, d, "customer").select("c_custkey", P.xml_decoded(e).alias("text"))
+
+
 @query("SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS encoded, TRUE AS same FROM pages")
 def xml_escape_roundtrip(spark, d):
     e = P.xml_encoded(F.col("html"))

@@ -37,9 +37,19 @@ def xml_encoded(c: Column) -> Column:
 
 
 def xml_decoded(c: Column) -> Column:
-    for raw, name in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"), ("&", "&amp;")):
-        c = F.replace(c, F.lit(name), F.lit(raw))
-    return c
+    """XML text with its named and numbered characters, each resolved once; numbers that stand for no character stay."""
+    entity = "&(?:lt|gt|quot|apos|amp|#x[0-9A-Fa-f]{1,8}|#[0-9]{1,9});"
+    named = F.create_map(*[F.lit(x) for pair in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")) for x in pair])
+
+    def one(e: Column) -> Column:
+        digits = F.regexp_extract(e, "([0-9A-Fa-f]+);$", 1)
+        code = F.when(e.startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        known = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(e.startswith("&#"), F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(e)).otherwise(F.element_at(named, e))
+
+    parts, gaps = F.regexp_extract_all(c, F.lit(entity), F.lit(0)), F.split(c, entity, -1)
+    whole = F.array_join(F.zip_with(gaps, parts, lambda g, e: F.concat(g, F.coalesce(F.when(e.isNotNull(), one(e)), F.lit("")))), "")
+    return F.when(c.contains("&"), whole).otherwise(c)
 
 
 def quantity(n: Column, one: str, many: str) -> Column:

@@ -122,6 +122,19 @@ def groups_of(df: DataFrame, column: str, order: str, include_blank: bool = True
     return numbered(found, "first_row", F.col("first_row"), "group_order").select(F.col("_key").alias("group_key"), "group_order", "n_rows", F.col("first_row").cast("long").alias("first_row"))
 
 
+def grouped_rows(df: DataFrame, column: str, order: str, include_blank: bool = True, first_row: int = 2) -> DataFrame:
+    """Rows of df with group_key, group_order and source_row: a group's rows are its table. order is a row number from 0.
+
+    Groups are a table of their own, so a group with most of the rows is no burden where they are few enough to be sent.
+    """
+    groups = groups_of(df, column, order, include_blank).select("group_key", "group_order")
+    groups = F.broadcast(groups) if groups.count() <= SENT else groups
+    rows = keyed(df, column).join(groups, F.col("_key").eqNullSafe(F.col("group_key"))).drop("_key")
+    return rows.withColumn("source_row", (F.col(order) + first_row).cast("long"))
+
+
+#: Groups that are sent to every executor, at most.
+SENT = 100_000
 #: Values of an order that are numbered together.
 BLOCK = 1 << 20
 
