@@ -135,14 +135,14 @@ _KEYED = f"SELECT event_id, m, CASE WHEN trim(m) = '' THEN NULL WHEN {_NUMERIC}
 def split_key_normalized(spark, d):
     """Distinct normalized keys: numbers by value, text without case and space; the first spelling is shown."""
     rows = read(spark, d, "events").select("event_id", F.expr(_MIXED.replace("VARCHAR", "STRING")).alias("m"))
-    rows = rows.withColumn("k", C.split_key(F.col("m"))).filter("k is not null")
+    rows = C.with_split_key(rows, "k", "m").filter("k is not null")
     return rows.groupBy(F.col("k").alias("group_key")).agg(F.count("*").alias("n_rows"), F.min("event_id").alias("first_row"), C.trimmed(F.min_by("m", "event_id")).alias("display"))
 
 
 @query(f"SELECT 'string:' || m AS group_key, count(*) AS n_rows FROM ({_KEYED}) WHERE trim(m) <> '' GROUP BY m")
 def split_key_strict(spark, d):
     rows = read(spark, d, "events").select(F.expr(_MIXED.replace("VARCHAR", "STRING")).alias("m"))
-    return rows.withColumn("k", C.split_key(F.col("m"), strict=True)).filter("k is not null").groupBy(F.col("k").alias("group_key")).agg(F.count("*").alias("n_rows"))
+    return C.with_split_key(rows, "k", "m", strict=True).filter("k is not null").groupBy(F.col("k").alias("group_key")).agg(F.count("*").alias("n_rows"))
 
 
 _SHEETS = "SELECT 'customer' AS sheet, c_custkey AS row, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 'number:' || CAST(c_nationkey AS VARCHAR) END AS key FROM customer UNION ALL SELECT 'supplier', s_suppkey, 'number:' || CAST(s_nationkey AS VARCHAR) FROM supplier"

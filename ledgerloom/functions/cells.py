@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -42,7 +42,7 @@ def _compatible(values: pd.Series) -> pd.Series:
 
 def compatible(c: Column) -> Column:
     """NFKC of a text; ASCII text, which that leaves as it is, stays in built-in functions."""
-    plain = c.rlike(r"^[\x00-\x7f]*$")
+    plain = is_ascii(c)
     return F.when(c.isNull() | plain, c).otherwise(_compatible(F.when(~plain, c)))
 
 
@@ -78,24 +78,38 @@ def typed_key(c: Column, kind: str) -> Column:
     return F.when(~blank, F.concat(F.lit(f"{kind}:"), text))
 
 
-def split_key(text: Column, strict: bool = False, kind: Column | None = None) -> Column:
+def is_ascii(c: Column) -> Column:
+    return c.rlike(r"^[\x00-\x7f]*$")
+
+
+def split_key(text: Column, strict: bool = False, kind: Column | None = None, normal: Callable[[Column], Column] = compatible, bare: Column | None = None) -> Column:
     """Key of a cell for splitting: numbers by value, booleans, dates, and other text trimmed, in compatible characters and without case.
 
-    Text that is a number counts as one. In strict mode text is kept as it is, apart from numbers and booleans. kind: the cell's
-    (string, number, boolean, date, error), text if not given. Blank text has a null key.
+    bare: the text trimmed, if it is at hand. Text that is a number counts as one. In strict mode text is kept as it is, apart from numbers and booleans. kind: the cell's
+    (string, number, boolean, date, error), text if not given. Blank text has a null key. normal: makes characters compatible.
     """
-    bare = trimmed(text)
-    whole = F.when(~is_blank(text), F.concat(F.lit("string:"), text))
+    bare = trimmed(text) if bare is None else bare
+    whole = F.when(bare != "", F.concat(F.lit("string:"), text))
     if not strict:
         number = F.when(bare.rlike(NUMBER), bare.try_cast("double"))
         number = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
-        whole = F.when(bare != "", F.coalesce(F.concat(F.lit("number:"), number_text(number)), F.concat(F.lit("string:"), F.lower(compatible(bare)))))
+        whole = F.when(bare != "", F.coalesce(F.concat(F.lit("number:"), number_text(number)), F.concat(F.lit("string:"), F.lower(normal(bare)))))
     if kind is None:
         return whole
     number = text.try_cast("double")
     return F.when(kind == "number", F.concat(F.lit("number:"), number_text(number))).when(kind.isin("boolean", "date"), F.concat(kind, F.lit(":"), text)).otherwise(whole)
 
 
+def with_split_key(df: DataFrame, name: str, text: str, strict: bool = False) -> DataFrame:
+    """df with split_key() of a text column. Only rows whose text isn't ASCII go through Python; they are read apart from the others, so df should be cheap to read."""
+    if strict:
+        return df.withColumn(name, split_key(F.col(text), True))
+    wide, bare = ~F.coalesce(is_ascii(F.col(text)), F.lit(True)), F.col("_bare")
+    rows = df.withColumn("_bare", trimmed(F.col(text)))
+    plain = rows.filter(~wide).withColumn(name, split_key(F.col(text), normal=lambda c: c, bare=bare))
+    return plain.union(rows.filter(wide).withColumn(name, split_key(F.col(text), bare=bare))).drop("_bare")
+
+
 def display_text(c: Column, kind: str) -> Column:
     """What a cell shows: TRUE and FALSE, ISO dates, plain numbers, and nothing for nulls."""
     shown = {"string": c, "number": number_text(c), "date": iso_text(c), "boolean": F.when(c, "TRUE").when(~c, "FALSE")}[kind]
