@@ -8,9 +8,10 @@ alike one with less (1 in 100,000 at 0.85). The deleted bit is in one half of th
 halves, and within a half the variants are formed and met by sorting. Of those that meet, CHECK more bits of the fingerprint must be near
 (at 0.8, 19 of 128 differ, more than FAR never; of unlike sets 64), and then the sets are compared.
 
-Of a task's sets that meet, each is compared with its smallest partner first. What that links becomes groups, and then, of the sets that
-met more partners, only those pairs are compared that are still in different groups. So a large group of near copies costs a few pairs for
-each member, and no pair that meets stays unsettled. Equal sets are one, however many texts have it.
+Of a task's sets that meet, each is compared with its smallest partner first. What that links becomes groups. Then, of the sets that met
+more partners, each is compared with its nearest one in another group, and then all pairs that are still in different groups, of those whose whole fingerprints are near (at 0.8, 252 of 1664
+bits differ, more than MOST in one pair of 10,000; at 0.7, 325). So a large group of near copies costs a few pairs for each member, and
+no other pair that meets stays unsettled. Equal sets are one, however many texts have it.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ SEGMENTS = 64
 HALF = 12
 CHECK = 128
 FAR = 40
+MOST = 307
 RUN = 32
+#: Which pairs of sets that meet are compared: with the smallest partner, with the nearest in another group, all in different groups.
+FIRST, NEAREST, EVERY = range(3)
 #: Index rows that a task meets at a time, at least; all of one half's value come together.
 TOGETHER = 200_000
 SEED = 42
@@ -99,11 +103,12 @@ def with_fingerprints(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, id long, n long, print binary")
 
 
-INDEX = "key long, rest int, id long, root long, c0 long, c1 long"
+INDEX = "key long, rest int, id long, root long"
+BITS = "c0 long, c1 long", "print binary"
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, root, print) -> a row for each half of each segment: the half's value as the key, and the other half."""
+def _spread(batches: Iterator[pa.RecordBatch], whole_print: bool) -> Iterator[pa.RecordBatch]:
+    """(id, root, print) -> a row for each half of each segment: the half's value as the key, the other half, and bits to check, or every bit."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -115,21 +120,37 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number = np.arange(SEGMENTS)[None, :] * 2
             keys = np.concatenate((number << HALF | high, (number + 1) << HALF | low), axis=1).ravel()
             rest = np.concatenate((low, high), axis=1).astype(np.int32).ravel()
-            check = np.ascontiguousarray(prints[:, -CHECK // 8 :]).view(np.int64)
-            own = [np.repeat(np.asarray(part.column(i)), 2 * SEGMENTS) for i in range(2)]
-            own += [np.repeat(check[:, i], 2 * SEGMENTS) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, rest, *own)], [c.split()[0] for c in INDEX.split(", ")])
+            own = [pa.array(np.repeat(np.asarray(part.column(i)), 2 * SEGMENTS)) for i in range(2)]
+            if whole_print:
+                own.append(part.column(2).take(pa.array(np.repeat(np.arange(n), 2 * SEGMENTS))))
+            else:
+                check = np.ascontiguousarray(prints[:, -CHECK // 8 :]).view(np.int64)
+                own += [pa.array(np.repeat(check[:, i], 2 * SEGMENTS)) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rest), *own], [c.split()[0] for c in f"{INDEX}, {BITS[whole_print]}".split(", ")])
 
 
-def _near(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(c[0][a] ^ c[0][b]).astype(np.int64) + np.bitwise_count(c[1][a] ^ c[1][b]) <= FAR
+def _distances(check: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows a and b of check, some or all of the fingerprints' bits; a few rows at a time."""
+    out = np.empty(len(a), np.int64)
+    for at in range(0, len(a), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        out[part] = np.bitwise_count(check[a[part]] ^ check[b[part]]).sum(1, dtype=np.int64)
+    return out
 
 
-def met(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, roots: np.ndarray, check: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids that may be alike, the smaller first. If every, all with different roots. Else, of each id, that with its smallest partner; ids with
-    more partners, or in variants with more than RUN sets, of which only pairs with the first are looked at, are paired with themselves as a mark."""
+def met(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, roots: np.ndarray, check: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids that may be alike. FIRST: of each id, that with its smallest partner; ids with more partners, or in variants with more than RUN
+    sets, of which only pairs with the first are looked at, are paired with themselves as a mark. NEAREST, EVERY: see there."""
     of_id = np.argsort(ids, kind="stable")
-    found = []
+    most = FAR if which == FIRST else MOST
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def keep_near(a: np.ndarray, b: np.ndarray) -> None:
+        d = _distances(check, a, b)
+        near = d <= most
+        found.append((ids[a[near]], ids[b[near]], d[near]))
+
+    marks = []
     for bit in range(HALF):
         masked = (keys << HALF | (rest & ~(1 << bit)))[of_id]
         order = of_id[np.argsort(masked, kind="stable")]  # by variant, then id
@@ -137,52 +158,63 @@ def met(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, roots: np.ndarray,
         edges = np.flatnonzero(np.diff(masked, prepend=-1)) if len(masked) else np.empty(0, np.int64)
         sizes = np.diff(edges, append=len(masked))
         keep = sizes > 1
-        if every:
+        if which != FIRST and len(edges):
             own = roots[order]
-            keep &= np.minimum.reduceat(own, edges) != np.maximum.reduceat(own, edges) if len(edges) else keep
+            keep &= np.minimum.reduceat(own, edges) != np.maximum.reduceat(own, edges)
         first, size = edges[keep], sizes[keep]
-        for gap in range(1, int(size.max(initial=0)) if every else min(RUN, int(size.max(initial=0)))):
-            some = (size > gap) & (every | (size <= RUN))
+        large = (size > RUN) & (which == FIRST)
+        for gap in range(1, int(size[~large].max(initial=0))):
+            some = (size > gap) & ~large
             n = size[some] - gap
             at = np.repeat(first[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             a, b = order[at], order[at + gap]
-            apart = (roots[a] != roots[b]) & _near(check, a, b) if every else _near(check, a, b)
-            found.append(np.stack((ids[a[apart]], ids[b[apart]])))
-        if not every and (large := size > RUN).any():
-            n = size[large]
-            at = np.repeat(first[large], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            a, b = order[np.repeat(first[large], n)], order[at]
-            near = _near(check, a, b)  # the first is near itself, and so marked; those it is not near are marked alone
-            found += [np.stack((ids[a[near]], ids[b[near]])), np.stack((ids[b], ids[b]))]
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
-    if every or not pairs.size:
+            # equal segments meet under each of their variants: here only under the first half's first
+            some = (rest[a] != rest[b]) | ((bit == 0) & (keys[a] >> HALF & 1 == 0))
+            if which != FIRST:
+                some &= roots[a] != roots[b]
+            keep_near(a[some], b[some])
+        if large.any():
+            n = size[large] - 1
+            at = np.repeat(first[large], n) + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            keep_near(order[np.repeat(first[large], n)], order[at])
+            marks += [ids[order[first[large]]], ids[order[at]]]
+    a, b, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+    if which == EVERY:
+        pairs = np.unique(np.stack((a, b)), axis=1)
         return pairs[0], pairs[1]
-    # of each set, the pair with its smallest partner; sets with other pairs are marked
-    alone = pairs[0] == pairs[1]
-    real = pairs[:, ~alone]
-    real = real[:, np.lexsort((real[0], real[1]))]
-    least = np.ones(real.shape[1], bool)
-    least[1:] = real[1][1:] != real[1][:-1]
-    marks = np.unique(np.concatenate((pairs[0][alone], real[:, ~least].ravel())))
-    return np.concatenate((real[0][least], marks)), np.concatenate((real[1][least], marks))
-
-
-def candidates(sets: DataFrame, every: bool) -> DataFrame:
+    # FIRST: by the larger id its smallest partner; NEAREST: by either the nearest
+    x, y, by = (b, a, a) if which == FIRST else (np.append(a, b), np.append(b, a), np.append(d, d))
+    order = np.lexsort((y, by, x))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    if which == FIRST:
+        other = np.zeros(len(x), bool)
+        other[1:] = (x[1:] == x[:-1]) & (y[1:] != y[:-1])
+        own = np.unique(np.concatenate([*marks, x[other], y[other]])) if marks or other.any() else np.empty(0, np.int64)
+        return np.append(y[new], own), np.append(x[new], own)
+    pairs = np.unique(np.stack((np.minimum(x[new], y[new]), np.maximum(x[new], y[new]))), axis=1)
+    return pairs[0], pairs[1]
+
+
+def candidates(sets: DataFrame, which: int) -> DataFrame:
     """(a, b) of sets (id, root, print) that meet in a variant; see met()."""
+    whole_print = which != FIRST
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def pairs(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            keys, rest, ids, roots, c0, c1 = (np.concatenate(x) for x in zip(*parts, strict=True))
-            a, b = met(keys, rest.astype(np.int64), ids, roots, (c0.view(np.uint64), c1.view(np.uint64)), every)
+            keys, rest, ids, roots, *bits = (np.concatenate(x) for x in zip(*parts, strict=True))
+            check = np.frombuffer(b"".join(bits[0]), np.uint64).reshape(len(keys), -1) if whole_print else np.stack([c.view(np.uint64) for c in bits], axis=1)
+            a, b = met(keys, rest.astype(np.int64), ids, roots, check, which)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = tuple(np.asarray(x) for x in batch.columns)
+            new = tuple(np.array(x.to_pylist(), object) if whole_print and i == 4 else np.asarray(x) for i, x in enumerate(batch.columns))
             if size >= TOGETHER and new[0][0] != waiting[-1][0][-1]:
                 cut = 0
             elif size >= TOGETHER and new[0][0] != new[0][-1]:
@@ -196,7 +228,7 @@ def candidates(sets: DataFrame, every: bool) -> DataFrame:
         if waiting:
             yield pairs(waiting)
 
-    index = sets.select("id", "root", "print").mapInArrow(_spread, INDEX)
+    index = sets.select("id", "root", "print").mapInArrow(lambda batches: _spread(batches, whole_print), f"{INDEX}, {BITS[whole_print]}")
     return index.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -234,16 +266,19 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     rows = _identified(docs)
     prints = saved(with_fingerprints(rows), "neardup-prints")
     sets = saved(prints.groupBy("id").agg(F.min("n").alias("n"), F.min("row").alias("row"), F.first("print").alias("print")).filter("n > 0"), "neardup-sets")
-    first = saved(candidates(sets.withColumn("root", F.col("id")), False), "neardup-first")
-    pairs = first.filter("a <> b")
-    found = links(pairs, sets, rows)
+    first = saved(candidates(sets.withColumn("root", F.col("id")), FIRST), "neardup-first")
+    seen = first.filter("a <> b")
+    found = links(seen, sets, rows)
     roots = saved(components(found, "neardup-links"), "neardup-roots")
-    marked = saved(first.filter("a = b").select(F.col("a").alias("id")), "neardup-marked")
-    if not marked.isEmpty():
-        open_ = sets.join(marked, "id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "print")
-        rest = saved(candidates(open_, True).join(pairs, ["a", "b"], "left_anti"), "neardup-rest")
+    marked = saved(sets.join(first.filter("a = b").select(F.col("a").alias("id")), "id").select("id", "print"), "neardup-marked")
+    for which in (NEAREST, EVERY):
+        if marked.isEmpty():
+            break
+        apart = marked.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "print")
+        rest = saved(candidates(apart, which).join(seen, ["a", "b"], "left_anti"), "neardup-rest")
         if not rest.isEmpty():
-            roots = saved(components(found.union(links(rest, sets, rows)), "neardup-links"), "neardup-roots")
+            seen, found = seen.union(rest), found.union(links(rest, sets, rows))
+            roots = saved(components(found, "neardup-links"), "neardup-roots")
     return saved(prints.join(roots, prints["id"] == roots["node"], "left").select("row", "doc_id", F.coalesce("root", "id").alias("group")), "neardup-groups")
 
 
