@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, forgotten, saved
-from .tokens import Encoder, encoder
+from .tokens import Encoder, encoder, few_rows
 
 STRIDE = 256
 LONGEST = 20
@@ -170,7 +170,7 @@ def encoded_once(docs: DataFrame, make: Callable[[], Encoder], end: int = END) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make()
-        for batch in batches:
+        for batch in few_rows(batches):
             own = [np.append(ids, np.uint32(end)) for ids in encode.batch(batch.column(1))]
             wide = [int(x.max()) > 0xFFFF for x in own]
             ids = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(own, wide, strict=True)]

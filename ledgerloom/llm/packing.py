@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, saved
-from .tokens import Encoder, encoder
+from .tokens import Encoder, encoder, few_rows
 
 CAPACITY = 1024
 END = 2
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, make: Callable[[], Encoder], capacity: int = CAPACIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make()
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(end)).astype("<u4")
@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, make: Callable[[], Encoder], capacity: int = CAPACIT
                 n = 0
                 while start < len(ids):
                     own = ids[start:stop].tobytes()
-                    rows.append((doc, n, start, stop - start, zlib.crc32(own), own))
+                    rows.append((doc, n, start, stop - start, zlib.crc32(own), own if with_ids else b""))
                     n, start, stop = n + 1, stop, stop + capacity
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())

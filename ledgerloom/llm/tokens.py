@@ -7,7 +7,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -32,7 +32,9 @@ PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: No UTF-8 text has this byte: it stands for the end of a word.
 WORD_END = b"\xff"
 #: Bytes of text whose words are looked up together.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 6_000_000
+#: Rows of a batch that are encoded and given back at a time.
+ROWS = 2000
 
 
 class _Kept(dict):
@@ -217,6 +219,14 @@ class Encoder:
         return sizes, starts, ids
 
 
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of batches; memory that one leaves unused is given back before the next."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+            pa.default_memory_pool().release_unused()
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """Made once in a worker process, so that what it has encoded serves its later tasks too."""
