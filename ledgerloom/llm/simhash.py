@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, saved
+from .common import documents, forgotten, saved
 
 SHINGLE = 3
 SEED = 42
@@ -182,18 +182,20 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     """(node, root): every node of edges (a, b) with the smallest node it is connected to.
 
     Large-star and small-star rounds: each round links nodes to the least of their neighbours, so that chains shorten
-    geometrically. Each round's links are written to the shared folder, and the last round changes nothing.
+    geometrically. Each round's links are written to the shared folder, and the last round changes nothing. The least neighbours are
+    written too: the links of a node with very many are then all that a join deals by it, and can be split.
     """
     edges = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+        large = saved(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        smallest = saved(large.groupBy("u").agg(F.min("v").alias("m")), name)
+        small = large.join(smallest, "u")
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = saved(small.filter("u <> v").distinct(), name)
+        old, edges = edges, saved(small.filter("u <> v").distinct(), name)
+        forgotten(old, least, large, smallest)
         n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, total) == before:
             break
