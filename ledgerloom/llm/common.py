@@ -87,13 +87,13 @@ def with_ranges(df: DataFrame, key: str, size: Column, per_range: int) -> DataFr
     steps: list[tuple[DataFrame, int]] = []
 
     def numbered(rows: DataFrame, key: str) -> DataFrame:
-        rows = rows.withColumn("bucket", F.expr(f"`{key}` div {width}L"))
+        rows = rows.withColumn("bucket", F.expr(f"`{key}` div {width}L") - F.lit(_div(low, width)))
         for table, fan in steps:
             part = F.coalesce(F.expr(f"`{key}` div _width") - F.col("_first"), F.lit(0))
             rows = rows.join(F.broadcast(table), F.col("bucket") == F.col("_of"), "left").withColumn("bucket", F.col("bucket") * fan + part).drop("_of", "_width", "_first")
         return rows
 
-    most = max(abs(low), abs(high)) // width + 1
+    most = _div(high, width) - _div(low, width) + 1  # numbers start at 0
     while True:
         sums = numbered(measured.filter("_k is not null"), "_k").groupBy("bucket").agg(F.sum("_n").alias("n"), F.min("_k").alias("low"), F.max("_k").alias("high"))
         full = sums.filter((F.col("n") > 2 * per_range) & (F.col("low") < F.col("high"))).orderBy(F.desc("n"), "bucket").limit(CUT).collect()

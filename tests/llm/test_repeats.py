@@ -44,12 +44,12 @@ def test_repeated_ids_and_empty_tables(spark):
     assert repeats.removed_bytes(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("ids", ["hashes", "outlier", "clusters"])
+@pytest.mark.parametrize("ids", ["hashes", "outlier", "clusters", "top", "bottom"])
 def test_ids_spread_in_any_way(spark, ids, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK_BYTES", 2000)
     r = random.Random(2)
     rows = corpus(4)
-    new = {"hashes": [r.randrange(-(2**63), 2**63) for _ in rows], "outlier": [*range(len(rows) - 2), 10**12, -(2**63)], "clusters": [i % 3 * 10**15 + i // 3 for i in range(len(rows))]}[ids]
+    new = {"hashes": [r.randrange(-(2**63), 2**63) for _ in rows], "outlier": [*range(len(rows) - 2), 10**12, -(2**63)], "clusters": [i % 3 * 10**15 + i // 3 for i in range(len(rows))], "top": [2**63 - 1 - i for i in range(len(rows))], "bottom": [i - 2**63 for i in range(len(rows))]}[ids]
     rows = [(i, t) for i, (_, t) in zip(new, rows)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.removed_bytes(df).collect())
