@@ -19,8 +19,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can express neither the hashes nor the tokenizer. The near-dedup stage is tested against a comparison of all pairs, and the verdict on
-#: toxic texts on a small fixture; of the other stages' rows only columns and counts are tested, and some operators under them.
+#: SQL can express neither the hashes nor the tokenizer. The rows of each stage are tested against plain versions on a small corpus.
 ORACLE_SQL = None
 
 
