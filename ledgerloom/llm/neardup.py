@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forgotten, saved
 from .simhash import components
 
 SHINGLE = 5
@@ -254,7 +254,9 @@ def links(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
     texts = saved(texts.groupBy("id").agg(F.first("shingles").alias("shingles")), "neardup-texts")
     own = lambda c: texts.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
-    return saved(pairs.join(own("a"), "a").join(own("b"), "b").filter(_alike(both, n_a + n_b)).select("a", "b"), "neardup-links")
+    found = saved(pairs.join(own("a"), "a").join(own("b"), "b").filter(_alike(both, n_a + n_b)).select("a", "b"), "neardup-links")
+    forgotten(pairs, texts)
+    return found
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -279,7 +281,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         if not rest.isEmpty():
             seen, found = seen.union(rest), found.union(links(rest, sets, rows))
             roots = saved(components(found, "neardup-links"), "neardup-roots")
-    return saved(prints.join(roots, prints["id"] == roots["node"], "left").select("row", "doc_id", F.coalesce("root", "id").alias("group")), "neardup-groups")
+    groups = saved(prints.join(roots, prints["id"] == roots["node"], "left").select("row", "doc_id", F.coalesce("root", "id").alias("group")), "neardup-groups")
+    forgotten(prints, sets, first, marked, roots)
+    return groups
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, filtered, saved, spaced, without, words_of
+from .common import documents, filtered, forgotten, saved, spaced, without, words_of
 
 #: Features' buckets at least; see buckets_for().
 BUCKETS = 8192
@@ -101,7 +101,9 @@ def toxic_marks(docs: DataFrame, labels: DataFrame) -> list[str]:
     other = words(0).join(F.broadcast(often.select("word")), "word").groupBy("word").agg(F.count("*").alias("good"))
     counts = often.join(other, "word", "left").withColumn("good", F.coalesce("good", F.lit(0)))
     ratio = (F.col("toxic") + 1) / (toxic + 2) / ((F.col("good") + 1) / (good + 2))
-    return sorted(r["word"] for r in counts.filter(ratio >= MARK_RATIO).select("word").collect())
+    marks = sorted(r["word"] for r in counts.filter(ratio >= MARK_RATIO).select("word").collect())
+    forgotten(texts, often)
+    return marks
 
 
 def with_rules(docs: DataFrame) -> DataFrame:
