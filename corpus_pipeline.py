@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm.common import documents, saved
+from ledgerloom.llm.common import documents, forgotten, saved
 from ledgerloom.llm.mixing import mixing_stage
 from ledgerloom.llm.neardup import near_duplicate_stage
 from ledgerloom.llm.packing import packing_stage
@@ -24,7 +24,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            forgotten(before)
+        before = docs
     return docs
