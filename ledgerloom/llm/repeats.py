@@ -18,7 +18,6 @@ Hashes only choose places and tasks; two strings with one hash cost time, and do
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

@@ -1,5 +1,4 @@
 import json
-import math
 import random
 import unicodedata
 import zlib
