@@ -163,6 +163,13 @@ def test_split_values_only(spark, tmp_path):
     assert b"<f>" not in inside.read("xl/worksheets/sheet1.xml") and "xl/calcChain.xml" not in inside.namelist() and b"calcChain" not in inside.read("xl/_rels/workbook.xml.rels")
 
 
+def test_values_workbook():
+    body = row(1, A="< s=\"2\"><f>1+1</f><v>2</v>", B="< t='str'><f>\"a\"</f><v>a</v>", C="><f>NOW()</f>".replace(">", "< >", 1))
+    content, count, missing = workbooks.values_workbook(package([("My Sheet", "", body, "")], more=[("xl/calcChain.xml", "<c/>")]))
+    assert count == 3 and missing == ["My Sheet!C1"] and [c[5:7] for c in Workbook(content).cells()] == [("number", "2"), ("string", "a"), ("empty", None)]
+    assert packages.first_shown([f"S!A{i}" for i in range(25)] + ["S!A1"]).endswith("S!A19, and 5 more")
+
+
 def test_split_filenames_and_keys(spark, tmp_path):
     kinds = ["A/B", "A:B", 1, "1", "CON", "Arabic العربية", "Trailing. ", "＋1", "TRUE", "<t t='b'><v>1</v>"]
     body = row(1, A="K") + "".join(row(i, A=v if not str(v).startswith("<t") else "< t='b'><v>1</v>") for i, v in enumerate(kinds, 2))
