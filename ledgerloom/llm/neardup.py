@@ -8,8 +8,8 @@ alike one with less (1 in 100,000 at 0.85). The deleted bit is in one half of th
 halves, and within a half the variants are formed and met by sorting. Of those that meet, CHECK more bits of the fingerprint must be near
 (at 0.8, 19 of 128 differ, more than FAR never; of unlike sets 64), and then the sets are compared.
 
-Of a task's sets that meet, each is compared with its smallest partner first. What that links becomes groups. Then, of the sets that met
-more partners, each is compared with its nearest one in another group, and then all pairs that are still in different groups, of those whose whole fingerprints are near (at 0.8, 252 of 1664
+Of the sets that meet, each is compared with its smallest partner first. What that links becomes groups. Then, of the sets that met
+more partners, each is compared with its nearest one in another group, three times, and then all pairs that are still in different groups, of those whose whole fingerprints are near (at 0.8, 252 of 1664
 bits differ, more than MOST in one pair of 300, at 0.82 in one of 10,000; at 0.7, 325). So a large group of near copies costs a few pairs for each member, and
 no other pair that meets stays unsettled. Equal sets are one, however many texts have it.
 """
@@ -138,8 +138,8 @@ def _distances(check: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def met(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, roots: np.ndarray, check: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids that may be alike. FIRST: of each id, that with its smallest partner; ids with more partners, or in variants with more than RUN
+def met(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, roots: np.ndarray, check: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of ids that may be alike, and their differing bits for NEAREST, else 0. FIRST: of each id, that with its smallest partner; ids with more partners, or in variants with more than RUN
     sets, of which only pairs with the first are looked at, are paired with themselves as a mark. NEAREST, EVERY: see there."""
     of_id = np.argsort(ids, kind="stable")
     most = FAR if which == FIRST else MOST
@@ -181,7 +181,7 @@ def met(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, roots: np.ndarray,
     a, b, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
     if which == EVERY:
         pairs = np.unique(np.stack((a, b)), axis=1)
-        return pairs[0], pairs[1]
+        return pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int64)
     # FIRST: by the larger id its smallest partner; NEAREST: by either the nearest
     x, y, by = (b, a, a) if which == FIRST else (np.append(a, b), np.append(b, a), np.append(d, d))
     order = np.lexsort((y, by, x))
@@ -192,13 +192,13 @@ def met(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, roots: np.ndarray,
         other = np.zeros(len(x), bool)
         other[1:] = (x[1:] == x[:-1]) & (y[1:] != y[:-1])
         own = np.unique(np.concatenate([*marks, x[other], y[other]])) if marks or other.any() else np.empty(0, np.int64)
-        return np.append(y[new], own), np.append(x[new], own)
-    pairs = np.unique(np.stack((np.minimum(x[new], y[new]), np.maximum(x[new], y[new]))), axis=1)
-    return pairs[0], pairs[1]
+        return np.append(y[new], own), np.append(x[new], own), np.zeros(new.sum() + len(own), np.int64)
+    pairs = np.unique(np.stack((np.minimum(x[new], y[new]), np.maximum(x[new], y[new]), by[order][new])), axis=1)
+    return pairs[0], pairs[1], pairs[2]
 
 
 def candidates(sets: DataFrame, which: int) -> DataFrame:
-    """(a, b) of sets (id, root, print) that meet in a variant; see met()."""
+    """(a, b, d) of sets (id, root, print) that meet in a variant; see met(). Each task gives those of its own sets that meet."""
     whole_print = which != FIRST
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +208,7 @@ def candidates(sets: DataFrame, which: int) -> DataFrame:
         def pairs(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             keys, rest, ids, roots, *bits = (np.concatenate(x) for x in zip(*parts, strict=True))
             check = np.frombuffer(b"".join(bits[0]), np.uint64).reshape(len(keys), -1) if whole_print else np.stack([c.view(np.uint64) for c in bits], axis=1)
-            a, b = met(keys, rest.astype(np.int64), ids, roots, check, which)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            return pa.RecordBatch.from_arrays(list(map(pa.array, met(keys, rest.astype(np.int64), ids, roots, check, which))), ["a", "b", "d"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -229,7 +228,7 @@ def candidates(sets: DataFrame, which: int) -> DataFrame:
             yield pairs(waiting)
 
     index = sets.select("id", "root", "print").mapInArrow(lambda batches: _spread(batches, whole_print), f"{INDEX}, {BITS[whole_print]}")
-    return index.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+    return index.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long, d long").distinct()
 
 
 def _alike(both: Column, n: Column) -> Column:
@@ -268,21 +267,29 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     rows = _identified(docs)
     prints = saved(with_fingerprints(rows), "neardup-prints")
     sets = saved(prints.groupBy("id").agg(F.min("n").alias("n"), F.min("row").alias("row"), F.first("print").alias("print")).filter("n > 0"), "neardup-sets")
-    first = saved(candidates(sets.withColumn("root", F.col("id")), FIRST), "neardup-first")
-    seen = first.filter("a <> b")
+    first = saved(candidates(sets.withColumn("root", F.col("id")), FIRST).select("a", "b"), "neardup-first")
+    pairs = first.filter("a <> b")
+    seen = saved(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "neardup-seen")
+    other = saved(pairs.join(seen, ["a", "b"], "left_anti").union(first.filter("a = b")), "neardup-other")
     found = links(seen, sets, rows)
     roots = saved(components(found, "neardup-links"), "neardup-roots")
-    marked = saved(sets.join(first.filter("a = b").select(F.col("a").alias("id")), "id").select("id", "print"), "neardup-marked")
-    for which in (NEAREST, EVERY):
+    marks = other.select(F.col("a").alias("id")).distinct().union(other.select(F.col("b").alias("id")).distinct()).distinct()
+    marked = saved(sets.join(marks, "id").select("id", "print"), "neardup-marked")
+    for which in (NEAREST, NEAREST, NEAREST, EVERY):
         if marked.isEmpty():
             break
         apart = marked.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "print")
-        rest = saved(candidates(apart, which).join(seen, ["a", "b"], "left_anti"), "neardup-rest")
+        rest = candidates(apart, which)
+        if which == NEAREST:  # of all that the tasks found nearest
+            both = rest.select(F.col("a").alias("x"), "d", F.col("b").alias("y")).union(rest.select("b", "d", "a"))
+            best = both.groupBy("x").agg(F.min(F.struct("d", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+            rest = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        rest = saved(rest.select("a", "b").join(seen, ["a", "b"], "left_anti"), "neardup-rest")
         if not rest.isEmpty():
             seen, found = seen.union(rest), found.union(links(rest, sets, rows))
             roots = saved(components(found, "neardup-links"), "neardup-roots")
     groups = saved(prints.join(roots, prints["id"] == roots["node"], "left").select("row", "doc_id", F.coalesce("root", "id").alias("group")), "neardup-groups")
-    forgotten(prints, sets, first, marked, roots)
+    forgotten(prints, sets, first, other, marked, roots)
     return groups
 
 
