@@ -8,10 +8,13 @@ alike one with less (1 in 100,000 at 0.85). The deleted bit is in one half of th
 halves, and within a half the variants are formed and met by sorting. Of those that meet, CHECK more bits of the fingerprint must be near
 (at 0.8, 19 of 128 differ, more than FAR never; of unlike sets 64), and then the sets are compared.
 
-Of the sets that meet, each is compared with its smallest partner first. What that links becomes groups. Then, of the sets that met
-more partners, each is compared with its nearest one in another group, three times, and then all pairs that are still in different groups, of those whose whole fingerprints are near (at 0.8, 252 of 1664
-bits differ, more than MOST in one pair of 300, at 0.82 in one of 10,000; at 0.7, 325). So a large group of near copies costs a few pairs for each member, and
-no other pair that meets stays unsettled. Equal sets are one, however many texts have it.
+Of the sets that meet, each is compared with its smallest partner first. What that links becomes groups. Sets that met more partners
+are marked. They meet again, and what comes of it is no list of pairs, but links that connect all groups with members
+whose whole fingerprints are near (at 0.8, 252 of 1664 bits differ, more than MOST in one pair of 300, at 0.82 in one of 10,000; at 0.7, 325):
+a row for each group and task at most. The sets so connected are a clump. In a clump, any two sets of different groups with near fingerprints are
+compared, in memory: it is cut into parts, each two parts go to one task with their sets, and each task gives links that connect what it
+found alike, fewer than it has sets. So of a clump of C sets, C rows for each of its other parts are sent (PARTS at most, unless it has over PARTS * LARGEST
+sets), and no pair is a row. What grows with the square of C is the time to compare fingerprints. Equal sets are one, however many texts have it.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import forgotten, saved
-from .simhash import components
+from .simhash import _Forest, components
 
 SHINGLE = 5
 #: Similarity from which texts are linked, as a fraction.
@@ -35,8 +38,11 @@ CHECK = 128
 FAR = 40
 MOST = 292
 RUN = 32
-#: Which pairs of sets that meet are compared: with the smallest partner, with the nearest in another group, all in different groups.
-FIRST, NEAREST, EVERY = range(3)
+#: Parts of a clump: PARTS of SMALLEST sets or more; more parts if those had over LARGEST sets or SHINGLES shingles.
+PARTS = 16
+SMALLEST = 128
+LARGEST = 4096
+SHINGLES = 1 << 21
 #: Index rows that a task meets at a time, at least; all of one half's value come together.
 TOGETHER = 200_000
 SEED = 42
@@ -138,68 +144,89 @@ def _distances(check: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def met(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, roots: np.ndarray, check: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of ids that may be alike, and their differing bits for NEAREST, else 0. FIRST: of each id, that with its smallest partner; ids with more partners, or in variants with more than RUN
-    sets, of which only pairs with the first are looked at, are paired with themselves as a mark. NEAREST, EVERY: see there."""
+def _variants(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each deleted bit: the bit, the rows by variant and then id, and where each variant of two or more rows begins and how many it has."""
     of_id = np.argsort(ids, kind="stable")
-    most = FAR if which == FIRST else MOST
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def keep_near(a: np.ndarray, b: np.ndarray) -> None:
-        d = _distances(check, a, b)
-        near = d <= most
-        found.append((ids[a[near]], ids[b[near]], d[near]))
-
-    marks = []
     for bit in range(HALF):
         masked = (keys << HALF | (rest & ~(1 << bit)))[of_id]
-        order = of_id[np.argsort(masked, kind="stable")]  # by variant, then id
+        order = of_id[np.argsort(masked, kind="stable")]
         masked = np.sort(masked, kind="stable")
         edges = np.flatnonzero(np.diff(masked, prepend=-1)) if len(masked) else np.empty(0, np.int64)
         sizes = np.diff(edges, append=len(masked))
-        keep = sizes > 1
-        if which != FIRST and len(edges):
-            own = roots[order]
-            keep &= np.minimum.reduceat(own, edges) != np.maximum.reduceat(own, edges)
-        first, size = edges[keep], sizes[keep]
-        large = (size > RUN) & (which == FIRST)
-        for gap in range(1, int(size[~large].max(initial=0))):
-            some = (size > gap) & ~large
-            n = size[some] - gap
-            at = np.repeat(first[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            a, b = order[at], order[at + gap]
+        yield bit, order, edges[sizes > 1], sizes[sizes > 1]
+
+
+def _pairs(order: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows within each variant, by their distance in it."""
+    for gap in range(1, int(size.max(initial=0))):
+        some = size > gap
+        n = size[some] - gap
+        at = np.repeat(first[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield order[at], order[at + gap]
+
+
+def met(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids that may be alike: of each id, that with its smallest partner. Ids with more partners, or in variants with more than RUN
+    sets, of which only pairs with the first are looked at, are paired with themselves as a mark."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def keep_near(a: np.ndarray, b: np.ndarray) -> None:
+        near = _distances(check, a, b) <= FAR
+        found.append((ids[a[near]], ids[b[near]]))
+
+    marks = []
+    for bit, order, first, size in _variants(keys, rest, ids):
+        large = size > RUN
+        for a, b in _pairs(order, first[~large], size[~large]):
             # equal segments meet under each of their variants: here only under the first half's first
             some = (rest[a] != rest[b]) | ((bit == 0) & (keys[a] >> HALF & 1 == 0))
-            if which != FIRST:
-                some &= roots[a] != roots[b]
             keep_near(a[some], b[some])
         if large.any():
             n = size[large] - 1
             at = np.repeat(first[large], n) + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             keep_near(order[np.repeat(first[large], n)], order[at])
             marks += [ids[order[first[large]]], ids[order[at]]]
-    a, b, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-    if which == EVERY:
-        pairs = np.unique(np.stack((a, b)), axis=1)
-        return pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int64)
-    # FIRST: by the larger id its smallest partner; NEAREST: by either the nearest
-    x, y, by = (b, a, a) if which == FIRST else (np.append(a, b), np.append(b, a), np.append(d, d))
-    order = np.lexsort((y, by, x))
+    y, x = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+    order = np.lexsort((y, x))  # by the larger id its smallest partner
     x, y = x[order], y[order]
     new = np.ones(len(x), bool)
     new[1:] = x[1:] != x[:-1]
-    if which == FIRST:
-        other = np.zeros(len(x), bool)
-        other[1:] = (x[1:] == x[:-1]) & (y[1:] != y[:-1])
-        own = np.unique(np.concatenate([*marks, x[other], y[other]])) if marks or other.any() else np.empty(0, np.int64)
-        return np.append(y[new], own), np.append(x[new], own), np.zeros(new.sum() + len(own), np.int64)
-    pairs = np.unique(np.stack((np.minimum(x[new], y[new]), np.maximum(x[new], y[new]), by[order][new])), axis=1)
-    return pairs[0], pairs[1], pairs[2]
+    other = np.zeros(len(x), bool)
+    other[1:] = (x[1:] == x[:-1]) & (y[1:] != y[:-1])
+    own = np.unique(np.concatenate([*marks, x[other], y[other]])) if marks or other.any() else np.empty(0, np.int64)
+    return np.append(y[new], own), np.append(x[new], own)
 
 
-def candidates(sets: DataFrame, which: int) -> DataFrame:
-    """(a, b, d) of sets (id, root, print) that meet in a variant; see met(). Each task gives those of its own sets that meet."""
-    whole_print = which != FIRST
+def connected(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, roots: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of roots, fewer than there are roots: any two with sets that meet in a variant, and differ in at most MOST bits, are connected.
+
+    Of a variant with more than RUN sets, its first is linked to all that differ from it in at most 2 MOST bits, and those that differ
+    in at most MOST bits are done with; so on with the rest. Of two near sets, when one is done with, the other is linked to the same.
+    """
+    names, own = np.unique(roots, return_inverse=True)
+    forest = _Forest(len(names))
+    for _, order, first, size in _variants(keys, rest, ids):
+        if not len(first):
+            continue
+        large = size > RUN
+        for a, b in _pairs(order, first[~large], size[~large]):
+            some = own[a] != own[b]
+            a, b = a[some], b[some]
+            near = _distances(prints, a, b) <= MOST
+            forest.join(own[a[near]], own[b[near]])
+        for start, n in zip(first[large].tolist(), size[large].tolist(), strict=True):
+            left = order[start : start + n]
+            while len(left) > 1 and (own[left] != own[left[0]]).any():
+                d = _distances(prints, left, np.full(len(left), left[0]))
+                linked = own[left[d <= 2 * MOST]]
+                forest.join(np.full(len(linked), own[left[0]]), linked)
+                left = left[d > MOST]
+    a, b = forest.links()
+    return names[a], names[b]
+
+
+def candidates(sets: DataFrame, apart: bool) -> DataFrame:
+    """(a, b) of sets (id, root, print) that meet in a variant: pairs and marks, see met(); or if apart, links of roots, see connected(). Each task gives those of its own sets that meet."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, ...]] = []
@@ -207,13 +234,17 @@ def candidates(sets: DataFrame, which: int) -> DataFrame:
 
         def pairs(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             keys, rest, ids, roots, *bits = (np.concatenate(x) for x in zip(*parts, strict=True))
-            check = np.frombuffer(b"".join(bits[0]), np.uint64).reshape(len(keys), -1) if whole_print else np.stack([c.view(np.uint64) for c in bits], axis=1)
-            return pa.RecordBatch.from_arrays(list(map(pa.array, met(keys, rest.astype(np.int64), ids, roots, check, which))), ["a", "b", "d"])
+            rest = rest.astype(np.int64)
+            if apart:
+                found = connected(keys, rest, ids, roots, np.frombuffer(b"".join(bits[0]), np.uint64).reshape(len(keys), -1))
+            else:
+                found = met(keys, rest, ids, np.stack([c.view(np.uint64) for c in bits], axis=1))
+            return pa.RecordBatch.from_arrays(list(map(pa.array, found)), ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = tuple(np.array(x.to_pylist(), object) if whole_print and i == 4 else np.asarray(x) for i, x in enumerate(batch.columns))
+            new = tuple(np.array(x.to_pylist(), object) if apart and i == 4 else np.asarray(x) for i, x in enumerate(batch.columns))
             if size >= TOGETHER and new[0][0] != waiting[-1][0][-1]:
                 cut = 0
             elif size >= TOGETHER and new[0][0] != new[0][-1]:
@@ -227,8 +258,8 @@ def candidates(sets: DataFrame, which: int) -> DataFrame:
         if waiting:
             yield pairs(waiting)
 
-    index = sets.select("id", "root", "print").mapInArrow(lambda batches: _spread(batches, whole_print), f"{INDEX}, {BITS[whole_print]}")
-    return index.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long, d long").distinct()
+    index = sets.select("id", "root", "print").mapInArrow(lambda batches: _spread(batches, apart), f"{INDEX}, {BITS[apart]}")
+    return index.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
 
 
 def _alike(both: Column, n: Column) -> Column:
@@ -237,20 +268,25 @@ def _alike(both: Column, n: Column) -> Column:
     return both * (over + under) >= n * over
 
 
-def links(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sets are alike, saved. sets: (id, n, row), of rows (row, doc_id, text)."""
-    size = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    pairs = saved(pairs.join(size("a"), "a").join(size("b"), "b").filter(_alike(F.least(n_a, n_b), n_a + n_b)), "neardup-pairs")
+def _with_shingles(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, shingles), saved, of each of members (row, id), of rows (row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(x.as_py()).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    members = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct().join(sets, "id").select("row", "id")
     texts = rows.join(members, "row").select("id", "text").mapInArrow(run, "id long, shingles array<long>")
-    texts = saved(texts.groupBy("id").agg(F.first("shingles").alias("shingles")), "neardup-texts")
+    return saved(texts.groupBy("id").agg(F.first("shingles").alias("shingles")), "neardup-texts")
+
+
+def links(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets are alike, saved. sets: (id, n, row), of rows (row, doc_id, text)."""
+    size = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    pairs = saved(pairs.join(size("a"), "a").join(size("b"), "b").filter(_alike(F.least(n_a, n_b), n_a + n_b)), "neardup-pairs")
+    members = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct().join(sets, "id").select("row", "id")
+    texts = _with_shingles(members, rows)
     own = lambda c: texts.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     found = saved(pairs.join(own("a"), "a").join(own("b"), "b").filter(_alike(both, n_a + n_b)).select("a", "b"), "neardup-links")
@@ -258,6 +294,52 @@ def links(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
     return found
 
 
+def links_of_clump(ids: np.ndarray, roots: np.ndarray, prints: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links, fewer than there are roots, that connect any two sets of different roots that differ in at most MOST bits and are alike."""
+    group = np.unique(roots, return_inverse=True)[1]
+    a, b = [], []
+    for x in range(1, len(ids)):
+        other = np.flatnonzero(group[:x] != group[x])
+        d = _distances(prints, other, np.full(len(other), x))
+        near = other[d <= MOST][np.argsort(d[d <= MOST], kind="stable")]
+        while len(near):
+            y, near = near[0], near[1:]
+            n = len(sets[x]) + len(sets[y])
+            if _alike(min(len(sets[x]), len(sets[y])), n) and _alike(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), n):
+                group[group == group[y]] = group[x]
+                near = near[group[near] != group[x]]
+                a.append(int(ids[y]))
+                b.append(int(ids[x]))
+    return a, b
+
+
+def clump_links(marked: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b), saved: links that connect all sets of marked (id, root, n, row, print), of different roots, that are alike and near; see the module's text."""
+    ends = saved(components(candidates(marked, True), "neardup-clumps"), "neardup-clumps")
+    clumps = ends.select(F.col("node").alias("root"), F.col("root").alias("clump"))
+    clumps = clumps.union(clumps.select("clump", "clump")).distinct()  # the smallest of a clump is not among its nodes
+    members = saved(marked.join(clumps, "root"), "neardup-members")
+    texts = _with_shingles(members.select("row", "id"), rows)
+    count, total = F.count("*"), F.sum("n")
+    parts = F.greatest(F.least(F.lit(PARTS), F.ceil(count / SMALLEST)), F.ceil(count / LARGEST), F.ceil(total / SHINGLES)).cast("int")
+    dealt = members.join(members.groupBy("clump").agg(parts.alias("parts")), "clump").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    # with each other part; a clump of one part with that
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: (p != F.col("part")) | (F.col("parts") == 1))
+    dealt = dealt.join(texts, "id").select("clump", "id", "root", "print", "shingles", "part", F.explode(others).alias("other"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id").combine_chunks()
+        prints = np.frombuffer(b"".join(table["print"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        sets = [np.asarray(x.values) for x in table["shingles"]]
+        a, b = links_of_clump(table["id"].to_numpy(), table["root"].to_numpy(), prints, sets)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    blocks = dealt.groupBy("clump", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    found = saved(blocks.applyInArrow(compare, "a long, b long"), "neardup-links")
+    forgotten(ends, members, texts)
+    return found
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(row, doc_id, group) for every row of docs (doc_id, text and any others), saved; row: a hash of all its columns.
 
@@ -267,29 +349,20 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     rows = _identified(docs)
     prints = saved(with_fingerprints(rows), "neardup-prints")
     sets = saved(prints.groupBy("id").agg(F.min("n").alias("n"), F.min("row").alias("row"), F.first("print").alias("print")).filter("n > 0"), "neardup-sets")
-    first = saved(candidates(sets.withColumn("root", F.col("id")), FIRST).select("a", "b"), "neardup-first")
+    first = saved(candidates(sets.withColumn("root", F.col("id")), False), "neardup-first")
     pairs = first.filter("a <> b")
     seen = saved(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "neardup-seen")
-    other = saved(pairs.join(seen, ["a", "b"], "left_anti").union(first.filter("a = b")), "neardup-other")
+    other = pairs.join(seen, ["a", "b"], "left_anti").union(first.filter("a = b"))
     found = links(seen, sets, rows)
     roots = saved(components(found, "neardup-links"), "neardup-roots")
-    marks = other.select(F.col("a").alias("id")).distinct().union(other.select(F.col("b").alias("id")).distinct()).distinct()
-    marked = saved(sets.join(marks, "id").select("id", "print"), "neardup-marked")
-    for which in (NEAREST, NEAREST, NEAREST, EVERY):
-        if marked.isEmpty():
-            break
-        apart = marked.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "print")
-        rest = candidates(apart, which)
-        if which == NEAREST:  # of all that the tasks found nearest
-            both = rest.select(F.col("a").alias("x"), "d", F.col("b").alias("y")).union(rest.select("b", "d", "a"))
-            best = both.groupBy("x").agg(F.min(F.struct("d", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
-            rest = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        rest = saved(rest.select("a", "b").join(seen, ["a", "b"], "left_anti"), "neardup-rest")
-        if not rest.isEmpty():
-            seen, found = seen.union(rest), found.union(links(rest, sets, rows))
-            roots = saved(components(found, "neardup-links"), "neardup-roots")
+    marks = saved(other.select(F.col("a").alias("id")).distinct().union(other.select(F.col("b").alias("id")).distinct()).distinct(), "neardup-marks")
+    if not marks.isEmpty():
+        marked = saved(sets.join(marks, "id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "n", "row", "print"), "neardup-marked")
+        found = found.union(clump_links(marked, rows))
+        forgotten(marked, roots)
+        roots = saved(components(found, "neardup-links"), "neardup-roots")
     groups = saved(prints.join(roots, prints["id"] == roots["node"], "left").select("row", "doc_id", F.coalesce("root", "id").alias("group")), "neardup-groups")
-    forgotten(prints, sets, first, other, marked, roots)
+    forgotten(prints, sets, first, seen, marks, roots)
     return groups
 
 

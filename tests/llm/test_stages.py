@@ -86,3 +86,28 @@ def test_null_and_repeated_ids_lose_no_group(spark):
     assert sorted(r[1] or "" for r in kept) == sorted({r[1] or "" for r in rows})
     assert set(kept) <= set(rows)
     assert {r[0] for r in kept if r[1] == word(9)} == {3} and {r[0] for r in kept if r[1] == word(2)} == {7}
+
+
+def test_many_near_texts_make_no_list_of_pairs(spark, monkeypatch):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(1000)], []
+    for _ in range(200):  # nearly all pairs are at 0.78, and a few texts have a close copy
+        copy = list(base)
+        for at in r.sample(range(1000), 13):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    texts += [x.rsplit(" ", 3)[0] for x in texts[:9]]
+    rows, saved = {}, neardup.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "saved", counted)
+    want = groups_of(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["group"] for x in neardup.similar_groups(df).collect()}
+    assert len({*zip(want, (got[i] for i in range(len(texts))), strict=True)}) == len(set(want)) == len(set(got.values()))
+    assert max(rows.values()) < 20 * len(texts), rows
