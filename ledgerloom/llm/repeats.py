@@ -25,7 +25,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULLS, documents, saved, with_ranges
+from .common import NULLS, documents, with_ranges
 
 SPAN = 50
 GRAM = 20
@@ -217,9 +217,9 @@ def _gram_answers(counted: DataFrame) -> DataFrame:
         keys, counts, ends = [], [], []
         for blob in table["grams"]:
             data = np.frombuffer(blob.as_py(), np.uint8)
-            n = len(data) // 12
-            keys.append(data[: 8 * n].view(np.uint64))
-            counts.append(data[8 * n :].view(np.uint32))
+            n = len(data) // 8
+            keys.append(data[: 4 * n].view(np.uint32))
+            counts.append(data[4 * n :].view(np.uint32))
             ends.append(n)
         own, which = np.unique(np.concatenate(keys), return_inverse=True)
         count = np.concatenate(counts)
@@ -311,11 +311,12 @@ def removed_bytes(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
         chunk = _chunk(table)
         counts = chunk.gram_counts()
-        parts = [(t, chunk.grams[at].tobytes() + counts[at].tobytes()) for t, at in _dealt(_tasks(chunk.grams, n))]
+        # the upper half chose the task; among its grams the lower half is enough, as grams taken for one are only asked about
+        parts = [(t, chunk.grams[at].astype(np.uint32).tobytes() + counts[at].tobytes()) for t, at in _dealt(_tasks(chunk.grams, n))]
         return pa.table({"task": pa.array([p[0] for p in parts], pa.int64()), "chunk": pa.array([table["chunk"][0].as_py()] * len(parts), pa.int64()), "grams": pa.array([p[1] for p in parts], pa.binary())})
 
-    counted = _gram_answers(rows.groupBy("chunk").applyInArrow(count, COUNTED))
-    grams = saved(counted, "repeats-grams")
+    # nothing is saved in between: all is one query, in which Spark deals the texts by chunk, and the grams by task, once for all steps
+    grams = _gram_answers(rows.groupBy("chunk").applyInArrow(count, COUNTED))
 
     def to_ask(chunk: Chunk, answers: pa.Table) -> tuple:
         shared, hot = (np.zeros(len(chunk.grams), bool) for _ in range(2))
@@ -337,7 +338,7 @@ def removed_bytes(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         return pa.table([pa.array(v, t) for v, t in zip(out, types, strict=True)], ["task", "chunk", "sizes", "ranks", "bytes"])
 
     asked = rows.groupBy("chunk").cogroup(grams.groupBy("chunk")).applyInArrow(ask, ASKED)
-    second = saved(_family_answers(asked), "repeats-windows")
+    second = _family_answers(asked)
     both = grams.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept
 

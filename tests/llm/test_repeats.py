@@ -74,3 +74,19 @@ def test_levels_double():
         sizes = [len(x) for x in family.levels]
         assert all(a > b for a, b in zip(sizes, sizes[1:])) and sum(sizes) == len(seen)
         assert all((np.sort(x) == x).all() for x in family.levels)
+
+
+def test_texts_are_dealt_once_for_all_steps(spark):
+    rows = corpus(3)
+    out = repeats.removed_bytes(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == brute.repeats(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") >= 3  # texts twice, grams once
+
+
+def test_grams_are_counted_by_four_bytes(spark):
+    blob = lambda *keys: np.array([*keys, *[2] * len(keys)], np.uint32).tobytes()
+    counted = spark.createDataFrame([(0, 1, blob(7, 9)), (0, 2, blob(7))], repeats.COUNTED)
+    bits = {r["chunk"]: np.unpackbits(np.frombuffer(r["bits"], np.uint8)).tolist() for r in repeats._gram_answers(counted).collect()}
+    assert bits[1][:4] == [1, 0, 0, 0] and bits[2][:2] == [1, 0]
