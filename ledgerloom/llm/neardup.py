@@ -8,8 +8,9 @@ alike one with less (1 in 100,000 at 0.85). The deleted bit is in one half of th
 halves, and within a half the variants are formed and met by sorting. Of those that meet, CHECK more bits of the fingerprint must be near
 (at 0.8, 19 of 128 differ, more than FAR never; of unlike sets 64), and then the sets are compared.
 
-Of the sets that meet, each is compared with its smallest partner first. What that links becomes groups. Sets that met more partners
-are marked. They meet again, and what comes of it is no list of pairs, but links that connect all groups with members
+Of the sets that meet, each is compared with its smallest partner first: what a task meets at a time gives one row for each set with a
+partner, the smallest and whether there are more, and those rows are brought to one for each set. What that links becomes groups. Sets that met
+more partners are marked. They meet again, and what comes of it is no list of pairs, but links that connect all groups with members
 whose whole fingerprints are near (at 0.8, 252 of 1664 bits differ, more than MOST in one pair of 300, at 0.82 in one of 10,000; at 0.7, 325):
 a row for each group and task at most. The sets so connected are a clump. In a clump, any two sets of different groups with near fingerprints are
 compared, in memory: it is cut into parts, each two parts go to one task with their sets, and each task gives links that connect what it
@@ -165,9 +166,9 @@ def _pairs(order: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[t
         yield order[at], order[at + gap]
 
 
-def met(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids that may be alike: of each id, that with its smallest partner. Ids with more partners, or in variants with more than RUN
-    sets, of which only pairs with the first are looked at, are paired with themselves as a mark."""
+def met(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ma.MaskedArray, np.ndarray]:
+    """Of each id that others may be alike to, one row: the id, the smallest of these partners, and whether there may be more. Of variants with
+    more than RUN sets only pairs with the first are looked at, so that all their ids may have more, or have no partner that is known."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def keep_near(a: np.ndarray, b: np.ndarray) -> None:
@@ -186,15 +187,19 @@ def met(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, check: np.ndarray)
             at = np.repeat(first[large], n) + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             keep_near(order[np.repeat(first[large], n)], order[at])
             marks += [ids[order[first[large]]], ids[order[at]]]
-    y, x = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
-    order = np.lexsort((y, x))  # by the larger id its smallest partner
+    a, b = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+    x, y = np.append(a, b), np.append(b, a)
+    order = np.lexsort((y, x))  # by id its smallest partner
     x, y = x[order], y[order]
     new = np.ones(len(x), bool)
     new[1:] = x[1:] != x[:-1]
-    other = np.zeros(len(x), bool)
-    other[1:] = (x[1:] == x[:-1]) & (y[1:] != y[:-1])
-    own = np.unique(np.concatenate([*marks, x[other], y[other]])) if marks or other.any() else np.empty(0, np.int64)
-    return np.append(y[new], own), np.append(x[new], own)
+    other = ~new
+    other[1:] &= y[1:] != y[:-1]
+    several = np.unique(np.concatenate([*marks, x[other]]))
+    alone = np.setdiff1d(several, x[new], assume_unique=True)
+    one = np.ma.array(np.append(y[new], alone), mask=np.arange(new.sum() + len(alone)) >= new.sum())
+    out = np.append(x[new], alone)
+    return out, one, np.isin(out, several)
 
 
 def connected(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, roots: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +231,8 @@ def connected(keys: np.ndarray, rest: np.ndarray, ids: np.ndarray, roots: np.nda
 
 
 def candidates(sets: DataFrame, apart: bool) -> DataFrame:
-    """(a, b) of sets (id, root, print) that meet in a variant: pairs and marks, see met(); or if apart, links of roots, see connected(). Each task gives those of its own sets that meet."""
+    """What each task gives of those of its own sets (id, root, print) that meet in a variant: (id, one, more), see met(); or if apart, (a, b), links of roots, see connected()."""
+    columns = ["a", "b"] if apart else ["id", "one", "more"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, ...]] = []
@@ -239,7 +245,7 @@ def candidates(sets: DataFrame, apart: bool) -> DataFrame:
                 found = connected(keys, rest, ids, roots, np.frombuffer(b"".join(bits[0]), np.uint64).reshape(len(keys), -1))
             else:
                 found = met(keys, rest, ids, np.stack([c.view(np.uint64) for c in bits], axis=1))
-            return pa.RecordBatch.from_arrays(list(map(pa.array, found)), ["a", "b"])
+            return pa.RecordBatch.from_arrays(list(map(pa.array, found)), columns)
 
         for batch in batches:
             if not batch.num_rows:
@@ -259,7 +265,25 @@ def candidates(sets: DataFrame, apart: bool) -> DataFrame:
             yield pairs(waiting)
 
     index = sets.select("id", "root", "print").mapInArrow(lambda batches: _spread(batches, apart), f"{INDEX}, {BITS[apart]}")
-    return index.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+    types = ", ".join(f"{c} {'boolean' if c == 'more' else 'long'}" for c in columns)
+    return index.repartition("key").sortWithinPartitions("key").mapInArrow(meet, types)
+
+
+def partners(found: DataFrame) -> DataFrame:
+    """(id, one, more), one row for each id of found (id, one, more), what tasks gave of it: its smallest partner of all, null if none is known, and whether there may be more."""
+    least = F.min("one")
+    return found.groupBy("id").agg(least.alias("one"), (F.max("more") | (least != F.max("one"))).alias("more"))
+
+
+def marked_ids(first: DataFrame) -> DataFrame:
+    """(id) of both sets of each pair that met, but not as a set and its smallest partner; first: partners().
+
+    The larger set of such a pair has a smaller partner too, so it has more than one. So has the other, or the larger one is its only
+    partner: then it is looked up there.
+    """
+    only = first.filter("not more and one > id").select(F.col("id").alias("x"), F.col("one").alias("id"))
+    missed = only.join(first.select("id", "one"), "id").filter("one <> x").select(F.col("x").alias("id"))
+    return first.filter("more").select("id").union(missed)
 
 
 def _alike(both: Column, n: Column) -> Column:
@@ -349,20 +373,17 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     rows = _identified(docs)
     prints = saved(with_fingerprints(rows), "neardup-prints")
     sets = saved(prints.groupBy("id").agg(F.min("n").alias("n"), F.min("row").alias("row"), F.first("print").alias("print")).filter("n > 0"), "neardup-sets")
-    first = saved(candidates(sets.withColumn("root", F.col("id")), False), "neardup-first")
-    pairs = first.filter("a <> b")
-    seen = saved(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "neardup-seen")
-    other = pairs.join(seen, ["a", "b"], "left_anti").union(first.filter("a = b"))
-    found = links(seen, sets, rows)
+    first = saved(partners(candidates(sets.withColumn("root", F.col("id")), False)), "neardup-first")
+    found = links(first.filter("one < id").select(F.col("one").alias("a"), F.col("id").alias("b")), sets, rows)
     roots = saved(components(found, "neardup-links"), "neardup-roots")
-    marks = saved(other.select(F.col("a").alias("id")).distinct().union(other.select(F.col("b").alias("id")).distinct()).distinct(), "neardup-marks")
+    marks = saved(marked_ids(first), "neardup-marks")
     if not marks.isEmpty():
         marked = saved(sets.join(marks, "id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "n", "row", "print"), "neardup-marked")
         found = found.union(clump_links(marked, rows))
         forgotten(marked, roots)
         roots = saved(components(found, "neardup-links"), "neardup-roots")
     groups = saved(prints.join(roots, prints["id"] == roots["node"], "left").select("row", "doc_id", F.coalesce("root", "id").alias("group")), "neardup-groups")
-    forgotten(prints, sets, first, seen, marks, roots)
+    forgotten(prints, sets, first, marks, roots)
     return groups
 
 

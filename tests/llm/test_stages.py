@@ -111,3 +111,48 @@ def test_many_near_texts_make_no_list_of_pairs(spark, monkeypatch):
     got = {x["doc_id"]: x["group"] for x in neardup.similar_groups(df).collect()}
     assert len({*zip(want, (got[i] for i in range(len(texts))), strict=True)}) == len(set(want)) == len(set(got.values()))
     assert max(rows.values()) < 20 * len(texts), rows
+
+
+def test_many_alike_texts_meet_in_one_row_each(spark, monkeypatch):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(300)], []
+    for _ in range(150):  # nearly all pairs are alike
+        copy = list(base)
+        for at in r.sample(range(300), 3):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    rows, saved = {}, neardup.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        rows.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "saved", counted)
+    want = groups_of(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["group"] for x in neardup.similar_groups(df).collect()}
+    assert len({*zip(want, (got[i] for i in range(len(texts))), strict=True)}) == len(set(want)) == len(set(got.values()))
+    assert rows["neardup-first"] <= len(texts), rows
+
+
+def test_each_pair_that_met_is_seen_or_marked(spark):
+    r = random.Random(10)
+    pairs = {(3, 9), (5, 9), (20, 21), (20, 22), (30, 31)}  # 5 has one partner, which has a smaller one
+    pairs |= {tuple(sorted(r.sample(range(100, 160), 2))) for _ in range(70)}
+    rows = [(50, None, True), (51, None, True), (51, 52, False), (52, 51, False)]
+    for task in range(6):  # a pair meets in some of the tasks
+        some = [p for p in pairs if p[1] % 6 == task or r.random() < 0.2]
+        known = {}
+        for a, b in some:
+            known.setdefault(a, set()).add(b)
+            known.setdefault(b, set()).add(a)
+        rows += [(x, min(y), len(y) > 1) for x, y in known.items()]
+    first = neardup.partners(spark.createDataFrame(rows, "id long, one long, more boolean"))
+    found = {x["id"]: (x["one"], x["more"]) for x in first.collect()}
+    marked = [x["id"] for x in neardup.marked_ids(first).collect()]
+    assert len(marked) == len(set(marked)) and {5, 9, 50, 51} <= set(marked) and not {3, 21, 22, 30, 31, 52} & set(marked)
+    for a, b in pairs:
+        assert found[b][0] == a or {a, b} <= set(marked), (a, b)
+    assert found[50] == (None, True) and found[51] == (52, True) and found[52] == (51, False)
